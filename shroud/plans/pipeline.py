@@ -1,0 +1,130 @@
+"""End-to-end detection: documents -> chunks -> rounds of detect + mask -> findings.
+
+``scan_rounds`` is the loop of the reference's graph (L1-L3) as a bounded
+driver loop over DataFrames: each round detects on the chunks to examine,
+masks every chunk of a document with all items found so far, and writes the
+masked text back. Each round's chunk table is checkpointed (reliable
+checkpoint into ``spark.checkpoint.dir``) so lineage does not grow with the
+number of rounds and a lost executor recomputes from the last round, not
+from the scan.
+
+Partitioning. Documents are hash-partitioned by ``doc_id`` once; chunking is
+narrow, so chunks, detections and per-document item lists all keep that
+partitioning and the chunk/item joins of every round need no further
+shuffle of the text.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from typing import Callable, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shroud.functions.text import clean_text
+from shroud.operators.chunk import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_documents, examinable
+from shroud.operators.detect import DETECTION_COLS, POS_STRIDE, DEFAULT_RULES, Rule, detect_dictionary, detect_rules
+from shroud.operators.findings import findings
+from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_chunks, write_back
+from shroud.session import ensure_checkpoint_dir
+
+Detector = Callable[[DataFrame, int], DataFrame]
+
+
+def rules_detector(rules: Sequence[Rule] = DEFAULT_RULES) -> Detector:
+    return lambda chunks, r: detect_rules(chunks, rules, round_=r)
+
+
+def dictionary_detector(terms: DataFrame) -> Detector:
+    return lambda chunks, r: detect_dictionary(chunks, terms, round_=r)
+
+
+def combined_detector(*detectors: Detector) -> Detector:
+    """Union of detectors; detector k numbers its items from k * POS_STRIDE."""
+
+    def run(chunks: DataFrame, r: int) -> DataFrame:
+        out = None
+        for k, d in enumerate(detectors):
+            part = d(chunks, r).withColumn("item_pos", F.col("item_pos") + F.lit(k * POS_STRIDE))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    return run
+
+
+@dataclass
+class RoundsResult:
+    detections: DataFrame
+    chunks: DataFrame
+    rounds_run: int
+    per_round: list[int] = field(default_factory=list)
+
+
+def _cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
+
+
+def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, reprompt: bool = True,
+                max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS, reexamine: str = "masked",
+                checkpoint: bool = True) -> RoundsResult:
+    """L1-L3: detect, then (while rounds remain) mask and detect again.
+
+    Round 0 examines every non-blank chunk. Later rounds examine the chunks
+    the last masking changed (``reexamine='masked'``) or all chunks
+    (``'all'``). The loop stops early when a round finds nothing. Items of
+    all rounds so far mask every chunk of their document.
+    """
+    if max_rounds < 1:
+        raise ValueError("max_rounds must be at least 1")
+    if not reprompt:
+        max_rounds = 1
+    current = chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed"))
+    all_dets = None
+    per_round: list[int] = []
+    rounds_run = 0
+    for r in range(max_rounds):
+        if r == 0 or reexamine == "all":
+            examine = examinable(current)
+        else:
+            examine = examinable(current.where("changed"))
+        dets = detector(examine.select("doc_id", "chunk_index", "content"), r).select(*DETECTION_COLS)
+        if checkpoint:
+            dets = _cut(dets)
+        n = dets.count()
+        per_round.append(n)
+        rounds_run += 1
+        all_dets = dets if all_dets is None else all_dets.unionByName(dets)
+        if n == 0 or r == max_rounds - 1:
+            break
+        masked = mask_chunks(current.select("doc_id", "chunk_index", "content"), doc_items(all_dets),
+                             max_inline_items)
+        current = write_back(current.select("doc_id", "chunk_index", "content"), masked)
+        if checkpoint:
+            current = _cut(current)
+    return RoundsResult(all_dets, current, rounds_run, per_round)
+
+
+def prepare_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean: bool = True,
+                      partitions: int | None = None) -> DataFrame:
+    """Documents table -> ``doc_id STRING, content STRING`` hash-partitioned by ``doc_id``."""
+    content = clean_text(F.col(text_col)) if clean else F.col(text_col)
+    out = docs.select(F.col(id_col).cast("string").alias("doc_id"), content.alias("content"))
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, "doc_id")
+
+
+def detect_documents(docs: DataFrame, detector: Detector | None = None, size: int = DEFAULT_SIZE,
+                     overlap: int = DEFAULT_OVERLAP, chunker: str = "recursive", max_rounds: int = 2,
+                     reprompt: bool = True, id_col: str = "doc_id", text_col: str = "text",
+                     clean: bool = True, checkpoint: bool = True) -> RoundsResult:
+    """Documents -> detections of all rounds (the whole map-reduce pipeline before post-processing)."""
+    prepared = prepare_documents(docs, id_col, text_col, clean)
+    chunks = chunk_documents(prepared, size, overlap, method=chunker)
+    return scan_rounds(chunks, detector or rules_detector(), max_rounds, reprompt, checkpoint=checkpoint)
+
+
+def run_pipeline(docs: DataFrame, **kwargs) -> DataFrame:
+    """Documents -> findings rows (``id, round, chunk_index, item_pos, text, category, type, justification``)."""
+    return findings(detect_documents(docs, **kwargs).detections)
