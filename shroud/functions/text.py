@@ -12,8 +12,10 @@ agree with Python character for character.
 
 from __future__ import annotations
 
+import functools
 import html
 import html.entities
+import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,11 +43,18 @@ TRAILING_INLINE_SPACE = r"[" + INLINE_SPACE + r"]+(\n|\z)"
 _CHARREF = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def _named_entities() -> tuple[list[str], list[str], list[str]]:
+@functools.lru_cache(maxsize=None)
+def _tables_json() -> tuple[str, str, str]:
+    """JSON texts of the entity table, the legacy (no ';') names and the numeric exceptions.
+
+    Shipped as one string literal each and parsed by ``from_json``, which the
+    optimizer folds to a constant: building a 2,231-entry literal element by
+    element from Python is slow.
+    """
     table = html.entities.html5
-    keys = sorted(table)
     legacy = sorted((k for k in table if not k.endswith(";")), key=lambda k: (-len(k), k))
-    return keys, [table[k] for k in keys], legacy
+    exc = {str(k): v for k, v in _numeric_exceptions().items()}
+    return json.dumps(table), json.dumps(legacy), json.dumps(exc)
 
 
 def _numeric_exceptions() -> dict[int, str]:
@@ -68,15 +77,14 @@ def _codepoint_to_string(num: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(num), 8, "0")), "UTF-32")
 
 
-def _decode_piece(p: Column) -> Column:
-    """Decode the character reference at the start of ``p`` (which starts with '&')."""
-    keys, values, legacy = _named_entities()
-    exc = _numeric_exceptions()
-    named = F.map_from_arrays(F.lit(keys), F.lit(values))
-    legacy_arr = F.lit(legacy)
-    exc_map = F.map_from_arrays(F.lit(list(exc.keys())).cast("array<bigint>"), F.lit(list(exc.values())))
+def _decode_piece(x: Column) -> Column:
+    """Decode the character reference heading piece ``x.p``; ``x.ref`` is its extracted name."""
+    named_json, legacy_json, exc_json = _tables_json()
+    named = F.from_json(F.lit(named_json), "map<string,string>")
+    legacy_arr = F.from_json(F.lit(legacy_json), "array<string>")
+    exc_map = F.from_json(F.lit(exc_json), "map<string,string>")
 
-    ref = F.regexp_extract(p, _CHARREF, 1)
+    p, ref = x["p"], x["ref"]
     rest = F.substring(p, F.length(ref) + 2, 1 << 30)
 
     dec_digits = F.regexp_extract(ref, r"^#0*([0-9]+)", 1)
@@ -85,8 +93,8 @@ def _decode_piece(p: Column) -> Column:
     too_big = F.when(is_hex, F.length(hex_digits) > 6).otherwise(F.length(dec_digits) > 7)
     num = F.when(is_hex, F.conv(hex_digits, 16, 10)).otherwise(dec_digits).try_cast("bigint")
     numeric = (
-        F.when(too_big | (num > 0x10FFFF) | num.between(0xD800, 0xDFFF), F.lit("�"))
-        .when(F.try_element_at(exc_map, num).isNotNull(), F.try_element_at(exc_map, num))
+        F.when(too_big | (num > 0x10FFFF) | num.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(F.try_element_at(exc_map, num.cast("string")).isNotNull(), F.try_element_at(exc_map, num.cast("string")))
         .otherwise(_codepoint_to_string(num))
     )
 
@@ -94,14 +102,10 @@ def _decode_piece(p: Column) -> Column:
     prefix = F.try_element_at(
         F.filter(legacy_arr, lambda n: ref.startswith(n) & (F.length(n) < F.length(ref))), F.lit(1)
     )
-    named_value = (
-        F.when(direct.isNotNull(), direct)
-        .when(
-            prefix.isNotNull(),
-            F.concat(F.try_element_at(named, prefix), F.substring(ref, F.length(prefix) + 1, 64)),
-        )
-        .otherwise(F.concat(F.lit("&"), ref))
-    )
+    by_prefix = F.when(
+        prefix.isNotNull(), F.concat(F.try_element_at(named, prefix), F.substring(ref, F.length(prefix) + 1, 64))
+    ).otherwise(F.concat(F.lit("&"), ref))
+    named_value = F.when(direct.isNotNull(), direct).otherwise(by_prefix)
     decoded = F.when(ref.startswith("#"), numeric).otherwise(named_value)
     return F.when(ref == "", p).otherwise(F.concat(decoded, rest))
 
@@ -111,10 +115,12 @@ def unescape_html(c: Column) -> Column:
 
     Splits before every '&', decodes the reference heading each piece through
     the HTML5 entity table (a map literal built from the stdlib table), and
-    re-joins. Rows without '&' skip the work.
+    re-joins. The reference name of a piece is extracted once (a struct field),
+    not once per use, and ``c`` is referenced once so an upstream expression
+    is not evaluated twice (higher-order functions run interpreted).
     """
-    pieces = F.split(c, "(?=&)")
-    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(pieces, _decode_piece), "")).otherwise(c)
+    pieces = F.transform(F.split(c, "(?=&)"), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, _CHARREF, 1).alias("ref")))
+    return F.array_join(F.transform(pieces, _decode_piece), "")
 
 
 def normalize_line_ends(c: Column) -> Column:

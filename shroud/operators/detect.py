@@ -55,43 +55,77 @@ JAVA_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 @dataclass(frozen=True)
 class Rule:
+    r"""One detection rule.
+
+    ``pattern`` is RE2/Python syntax (``\b`` = ASCII word boundary) and is what
+    the SQL oracle runs. ``java`` is an equivalent Java form tuned for the
+    regex engine: a boundary next to a word character becomes a one-sided
+    look-around, checked after the first character so most positions fail on
+    one class test. ``needs`` is a literal every match contains; chunks
+    without it skip the rule.
+    """
+
     category: str
     type: str
-    pattern: str  # RE2 / Python syntax; \b means an ASCII word boundary
+    pattern: str
     justification: str
+    java: str | None = None
+    needs: str | None = None
 
     @property
     def java_pattern(self) -> str:
-        return self.pattern.replace(r"\b", JAVA_BOUNDARY)
+        return self.java or self.pattern.replace(r"\b", JAVA_BOUNDARY)
+
+
+_NW = f"(?!{_WORD})"
+
+
+def _lead(first: str) -> str:
+    r"""``\b`` + one character of class ``first``, for Java: the class, then a look-behind."""
+    return f"{first}(?<!{_WORD}{first})"
 
 
 # The default rule table (category, identifier type, pattern).
 DEFAULT_RULES: tuple[Rule, ...] = (
     Rule("email", "direct", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-         "An email address reaches one person directly."),
+         "An email address reaches one person directly.", needs="@"),
     Rule("ip address", "indirect", r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-         "An IP address can single out a person's device when combined with other data."),
+         "An IP address can single out a person's device when combined with other data.",
+         java=_lead(r"\d") + r"\d{0,2}\.(?:\d{1,3}\.){2}\d{1,3}" + _NW, needs="."),
     Rule("phone number", "direct", r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}",
-         "A phone number reaches one person directly."),
+         "A phone number reaches one person directly.", needs="+"),
     Rule("payment card", "direct", r"\b\d{16}\b",
-         "A card number belongs to one account holder."),
+         "A card number belongs to one account holder.",
+         java=_lead(r"\d") + r"\d{15}" + _NW),
     Rule("device identifier", "indirect", r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b",
-         "A hardware address identifies one device and so its user."),
+         "A hardware address identifies one device and so its user.",
+         java=_lead("[0-9A-Fa-f]") + r"[0-9A-Fa-f]:(?:[0-9A-Fa-f]{2}:){4}[0-9A-Fa-f]{2}" + _NW, needs=":"),
     Rule("national id", "direct", r"\b\d{3}-\d{2}-\d{4}\b",
-         "A national identification number names one person."),
+         "A national identification number names one person.",
+         java=_lead(r"\d") + r"\d{2}-\d{2}-\d{4}" + _NW, needs="-"),
     Rule("bank account", "direct", r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b",
-         "An account number belongs to one account holder."),
+         "An account number belongs to one account holder.",
+         java=_lead("[A-Z]") + r"[A-Z]\d{2}[A-Z0-9]{10,30}" + _NW),
     Rule("access token", "indirect", r"\b[0-9a-f]{40}\b",
-         "A secret token grants access tied to one account."),
+         "A secret token grants access tied to one account.",
+         java=_lead("[0-9a-f]") + r"[0-9a-f]{39}" + _NW),
 )
 
+_ITEMS_TYPE = "array<struct<text:string,category:string,type:string,justification:string>>"
+
 
 def rule_items(content: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """All matches of all rules in one chunk, as one item array (rule order, then match order)."""
     def as_item(r: Rule):
         return lambda x: item_struct(x, F.lit(r.category), F.lit(r.type), F.lit(r.justification))
 
-    per_rule = [F.transform(F.regexp_extract_all(content, F.lit(r.java_pattern), 0), as_item(r)) for r in rules]
+    def one(r: Rule) -> Column:
+        found = F.transform(F.regexp_extract_all(content, F.lit(r.java_pattern), 0), as_item(r))
+        if r.needs:
+            found = F.when(F.instr(content, r.needs) > 0, found).otherwise(F.array().cast(_ITEMS_TYPE))
+        return found
+
+    per_rule = [one(r) for r in rules]
     return per_rule[0] if len(per_rule) == 1 else F.concat(*per_rule)
 
 

@@ -46,19 +46,25 @@ def doc_items(detections: DataFrame) -> DataFrame:
     )
 
 
-def split_by_item_count(items: DataFrame, max_inline_items: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_by_item_count(items: DataFrame, max_inline_items: int, key: str = "fi"
+                        ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(inline item arrays per doc, items of heavy docs, heavy doc ids).
 
     Arrays are built only for documents whose distinct item count passed the
-    bound, so no collected list is larger than ``max_inline_items``.
+    bound, so no collected list is larger than ``max_inline_items``. Whether
+    any heavy document exists is checked first (a count over the per-document
+    counts, a small table); without one, the plan has no heavy branch.
     """
     counts = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
-    light_ids = counts.where(F.col("n_items") <= max_inline_items).select("doc_id")
     heavy_ids = counts.where(F.col("n_items") > max_inline_items).select("doc_id")
+    fields = [c for c in items.columns if c != "doc_id"]
+    if heavy_ids.limit(1).count() == 0:
+        arrays = items.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("items"))
+        return arrays, None, None
     arrays = (
-        items.join(light_ids, "doc_id", "left_semi")
+        items.join(heavy_ids, "doc_id", "left_anti")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("text", "fi", "li")).alias("items"))
+        .agg(F.collect_list(F.struct(*fields)).alias("items"))
     )
     heavy_items = items.join(heavy_ids, "doc_id", "left_semi")
     return arrays, heavy_items, heavy_ids
@@ -67,9 +73,13 @@ def split_by_item_count(items: DataFrame, max_inline_items: int) -> tuple[DataFr
 # --- in-row matching (bounded item lists) -----------------------------------------
 
 
-def match_ranges_col(content: Column, items: Column) -> Column:
-    """M5: 0-based [s, e) ranges of every occurrence of every item in ``content``."""
-    ft = fold(content)
+def match_ranges_col(content: Column, ft: Column, items: Column) -> Column:
+    """M5: 0-based [s, e) ranges of every occurrence of every item in ``content``.
+
+    ``ft`` must be a column holding ``fold(content)`` computed beforehand: it is
+    read once per candidate position, so passing the expression itself would
+    fold the whole chunk again at every position.
+    """
 
     def for_item(i):
         lf = F.length(i["fi"])
@@ -109,9 +119,11 @@ def apply_ranges_col(content: Column, merged: Column) -> Column:
     )
 
 
-def contains_any_col(content: Column, keys: Column) -> Column:
-    """M2 on precomputed item keys: does any (non-empty) key occur in the text's key?"""
-    tk = match_key(content)
+def contains_any_col(tk: Column, keys: Column) -> Column:
+    """M2 on precomputed keys: does any (non-empty) item key occur in the text key ``tk``?
+
+    ``tk`` should be a column computed beforehand (``match_key(content)``).
+    """
     return F.exists(F.coalesce(keys, F.array()), lambda k: (F.length(k) > 0) & (F.instr(tk, k) > 0))
 
 
@@ -166,9 +178,12 @@ def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int
                      q: int = DEFAULT_Q) -> DataFrame:
     """M3+M5: ``doc_id, chunk_index, content, ranges`` for chunks of documents with items."""
     arrays, heavy_items, heavy_ids = split_by_item_count(items, max_inline_items)
-    light = chunks.join(arrays, "doc_id").select(
-        "doc_id", "chunk_index", "content", match_ranges_col(F.col("content"), F.col("items")).alias("ranges")
+    light = _with_fold(chunks.join(arrays, "doc_id")).select(
+        "doc_id", "chunk_index", "content",
+        match_ranges_col(F.col("content"), F.col("_ft"), F.col("items")).alias("ranges"),
     )
+    if heavy_ids is None:
+        return light
     heavy_chunks = _with_fold(chunks.join(heavy_ids, "doc_id", "left_semi"))
     hits = qgram_candidates(heavy_chunks, "_ft", heavy_items, "fi", q).where(
         fold(F.substring(F.col("content"), F.col("p"), F.col("li"))) == F.col("fi")
@@ -185,17 +200,19 @@ def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int
 def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
                       q: int = DEFAULT_Q, case_insensitive: bool = True, normalize: bool = True) -> DataFrame:
     """M2-M4: chunks holding at least one item of their own document (existence test)."""
-    keyed = items.select("doc_id", match_key(F.col("text"), case_insensitive, normalize).alias("k")).where(F.length("k") > 0).distinct()
-    counts = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
-    light_ids = counts.where(F.col("n_items") <= max_inline_items).select("doc_id")
-    heavy_ids = counts.where(F.col("n_items") > max_inline_items).select("doc_id")
-    arrays = keyed.join(light_ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("k").alias("keys"))
-    light = chunks.join(arrays, "doc_id").where(
-        (F.length("content") > 0) & contains_any_col(F.col("content"), F.col("keys"))
-    ).drop("keys")
+    keyed = items.select("doc_id", match_key(F.col("text"), case_insensitive, normalize).alias("k")) \
+        .where(F.length("k") > 0).distinct()
+    arrays, heavy_items, heavy_ids = split_by_item_count(keyed, max_inline_items, key="k")
+    light = (
+        chunks.join(arrays, "doc_id")
+        .withColumn("_tk", match_key(F.col("content"), case_insensitive, normalize))
+        .where((F.length("content") > 0) & contains_any_col(F.col("_tk"), F.col("items")["k"]))
+        .drop("items", "_tk")
+    )
+    if heavy_ids is None:
+        return light
     heavy_chunks = chunks.join(heavy_ids, "doc_id", "left_semi").where(F.length("content") > 0) \
         .withColumn("_tk", match_key(F.col("content"), case_insensitive, normalize))
-    heavy_items = keyed.join(heavy_ids, "doc_id", "left_semi")
     hit_ids = qgram_candidates(heavy_chunks, "_tk", heavy_items, "k", q).select("doc_id", "chunk_index").distinct()
     heavy = heavy_chunks.drop("_tk").join(hit_ids, ["doc_id", "chunk_index"], "left_semi")
     return light.unionByName(heavy.select(*light.columns))

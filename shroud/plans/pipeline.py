@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from shroud.operators.chunk import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_document
 from shroud.operators.detect import DETECTION_COLS, POS_STRIDE, DEFAULT_RULES, Rule, detect_dictionary, detect_rules
 from shroud.operators.findings import findings
 from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_chunks, write_back
+from shroud.operators.partitioning import by_doc
 from shroud.session import ensure_checkpoint_dir
 
 Detector = Callable[[DataFrame, int], DataFrame]
@@ -80,7 +82,10 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
         raise ValueError("max_rounds must be at least 1")
     if not reprompt:
         max_rounds = 1
-    current = chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed"))
+    # Round 0 chunks feed detection and masking: keep them (recomputed from the
+    # scan if an executor is lost); later rounds' chunks are checkpointed.
+    current = chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     all_dets = None
     per_round: list[int] = []
     rounds_run = 0
@@ -109,10 +114,9 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
 def prepare_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean: bool = True,
                       partitions: int | None = None) -> DataFrame:
     """Documents table -> ``doc_id STRING, content STRING`` hash-partitioned by ``doc_id``."""
-    content = clean_text(F.col(text_col)) if clean else F.col(text_col)
-    out = docs.select(F.col(id_col).cast("string").alias("doc_id"), content.alias("content"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, "doc_id")
+    out = by_doc(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("content")),
+                 partitions=partitions)
+    return out.withColumn("content", clean_text(F.col("content"))) if clean else out
 
 
 def detect_documents(docs: DataFrame, detector: Detector | None = None, size: int = DEFAULT_SIZE,

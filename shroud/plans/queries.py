@@ -13,6 +13,7 @@ import uuid
 from typing import Callable
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from shroud.operators.detect import (DEFAULT_RULES, DETECTION_COLS, detect_dicti
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import (chunks_with_items, doc_items, mask_chunks, merge_ranges_col, ranges_per_chunk,
                                    write_back)
+from shroud.operators.partitioning import by_doc, spread
 from shroud.plans import sqlgen as S
 from shroud.plans.pipeline import scan_rounds, rules_detector, run_pipeline
 from shroud.session import ensure_checkpoint_dir
@@ -42,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
-                                                     F.col("text").alias("content"))
+    return by_doc(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
+                                                            F.col("text").alias("content")))
 
 
 def fixed_chunks(spark, sf_dir, tidy=True) -> DataFrame:
@@ -55,6 +57,13 @@ def round0(spark, sf_dir) -> DataFrame:
     return detect_rules(fixed_chunks(spark, sf_dir), round_=0)
 
 
+def mask_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Chunks and their round-0 detections, kept because several branches read them."""
+    chunks = fixed_chunks(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    dets = detect_rules(chunks, round_=0).persist(StorageLevel.MEMORY_AND_DISK)
+    return chunks, dets
+
+
 def sql_chunks() -> str:
     return S.chunk_rows("documents", "doc_id", "text")
 
@@ -73,12 +82,12 @@ DICTIONARY_TERMS = (
 
 
 def q_load_documents(spark, sf_dir):
-    docs, _ = from_envelope(documents_as_envelopes(table(spark, sf_dir, "documents")))
+    docs, _ = from_envelope(documents_as_envelopes(spread(table(spark, sf_dir, "documents"))))
     return docs
 
 
 def q_clean_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return pages.select("page_id", clean_text(F.col("html")).alias("content"))
 
 
@@ -105,13 +114,13 @@ def q_detect_rules(spark, sf_dir):
 
 
 def q_detect_rules_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"),
-                                                 clean_text(F.col("html")).alias("content"))
+    pages = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("doc_id"),
+                                                         clean_text(F.col("html")).alias("content"))
     return detect_rules(examinable(chunk_documents(pages, method="fixed")), round_=0)
 
 
 def q_detect_rules_conversations(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations").select(
+    conv = spread(table(spark, sf_dir, "conversations")).select(
         F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"),
         F.col("text").alias("content"))
     return detect_rules(examinable(chunk_documents(conv, method="fixed")), round_=0)
@@ -172,30 +181,33 @@ def q_combine_items(spark, sf_dir):
 
 
 def q_fold_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     f = fold(F.col("text"))
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), f.alias("folded"), casefold(f).alias("match_key"))
 
 
 def q_chunks_with_items(spark, sf_dir):
-    return chunks_with_items(fixed_chunks(spark, sf_dir), round0(spark, sf_dir))
+    chunks, dets = mask_inputs(spark, sf_dir)
+    return chunks_with_items(chunks, dets)
 
 
 def q_match_ranges(spark, sf_dir):
-    r = ranges_per_chunk(fixed_chunks(spark, sf_dir), doc_items(round0(spark, sf_dir)))
+    chunks, dets = mask_inputs(spark, sf_dir)
+    r = ranges_per_chunk(chunks, doc_items(dets))
     return r.select("doc_id", "chunk_index", F.explode("ranges").alias("r")).select(
         "doc_id", "chunk_index", "r.s", "r.e").distinct()
 
 
 def q_merged_ranges(spark, sf_dir):
-    r = ranges_per_chunk(fixed_chunks(spark, sf_dir), doc_items(round0(spark, sf_dir)))
+    chunks, dets = mask_inputs(spark, sf_dir)
+    r = ranges_per_chunk(chunks, doc_items(dets))
     return r.select("doc_id", "chunk_index", F.explode(merge_ranges_col(F.col("ranges"))).alias("r")).select(
         "doc_id", "chunk_index", "r.s", "r.e")
 
 
 def q_mask_documents(spark, sf_dir):
-    chunks = fixed_chunks(spark, sf_dir)
-    return write_back(chunks, mask_chunks(chunks, doc_items(round0(spark, sf_dir))))
+    chunks, dets = mask_inputs(spark, sf_dir)
+    return write_back(chunks, mask_chunks(chunks, doc_items(dets)))
 
 
 def q_two_rounds(spark, sf_dir):

@@ -11,6 +11,7 @@ caller-supplied function. Every failure stays on its own row.
 from __future__ import annotations
 
 import io
+import json
 import mimetypes
 import re
 import zipfile
@@ -68,8 +69,8 @@ def normalize_extensions(exts: Iterable[str]) -> list[str]:
 
 def mime_type(path: Column, content: Column | None = None) -> Column:
     """By extension; else by magic bytes (PDF, ZIP named .docx); else octet-stream."""
-    table = mime_table()
-    by_ext = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), extension(path))
+    table = F.from_json(F.lit(json.dumps(mime_table(), sort_keys=True)), "map<string,string>")
+    by_ext = F.try_element_at(table, extension(path))
     out = by_ext
     if content is not None:
         head = F.substring(content, 1, 512)
