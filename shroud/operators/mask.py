@@ -174,11 +174,23 @@ def _with_fold(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_ft", fold(F.col("content")))
 
 
+def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column) -> DataFrame:
+    """Chunks of documents that have items, with ``key`` (e.g. the folded text) as column ``name``.
+
+    The key is computed below the join with the item arrays on purpose: a
+    filter or projection above the join can then only refer to the column,
+    so the optimizer cannot substitute the expression back into a per-position
+    lambda (which would fold the chunk once per position).
+    """
+    ids = arrays.select("doc_id")
+    return chunks.join(ids, "doc_id", "left_semi").withColumn(name, key).join(arrays, "doc_id")
+
+
 def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
                      q: int = DEFAULT_Q) -> DataFrame:
     """M3+M5: ``doc_id, chunk_index, content, ranges`` for chunks of documents with items."""
     arrays, heavy_items, heavy_ids = split_by_item_count(items, max_inline_items)
-    light = _with_fold(chunks.join(arrays, "doc_id")).select(
+    light = _keyed_chunks(chunks, arrays, "_ft", fold(F.col("content"))).select(
         "doc_id", "chunk_index", "content",
         match_ranges_col(F.col("content"), F.col("_ft"), F.col("items")).alias("ranges"),
     )
@@ -204,8 +216,7 @@ def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int
         .where(F.length("k") > 0).distinct()
     arrays, heavy_items, heavy_ids = split_by_item_count(keyed, max_inline_items, key="k")
     light = (
-        chunks.join(arrays, "doc_id")
-        .withColumn("_tk", match_key(F.col("content"), case_insensitive, normalize))
+        _keyed_chunks(chunks, arrays, "_tk", match_key(F.col("content"), case_insensitive, normalize))
         .where((F.length("content") > 0) & contains_any_col(F.col("_tk"), F.col("items")["k"]))
         .drop("items", "_tk")
     )
@@ -220,11 +231,13 @@ def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int
 
 def mask_chunks(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
                 q: int = DEFAULT_Q) -> DataFrame:
-    """M5-M8: masked text of every chunk whose document has items and that holds at least one.
+    """M5-M8: masked text of every chunk of a document that has items.
 
-    Returns ``doc_id, chunk_index, content`` (masked) for changed chunks only.
+    Returns ``doc_id, chunk_index, content``; chunks without an occurrence
+    come back unchanged (:func:`write_back` flags the changed ones). No
+    filter on the ranges here: it would be evaluated as well as projected.
     """
-    r = ranges_per_chunk(chunks, items, max_inline_items, q).where(F.size("ranges") > 0)
+    r = ranges_per_chunk(chunks, items, max_inline_items, q)
     return r.select(
         "doc_id", "chunk_index", apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("content")
     )
