@@ -32,7 +32,7 @@ INLINE_SPACE = r"\t\x{1f} \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000
 # The cleaning patterns, in the order they are applied.
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_TAG = r"<[^>]+>"
-SPACE_RUN = r" +"
+SPACE_RUN = r" {2,}"  # same result as " +" -> " ", without rewriting single spaces
 NEWLINE_RUN = r"\n{3,}"
 BROKEN_LABEL = r"([a-zA-Zα-ωΑ-Ω])\.[" + PY_SPACE + r"]+:"
 SPACE_BEFORE_PUNCT = r" ([.,:])"
@@ -40,7 +40,7 @@ TRAILING_INLINE_SPACE = r"[" + INLINE_SPACE + r"]+(\n|\z)"
 
 # Numeric character references: grammar of the HTML5 tokenizer as Python's
 # html.unescape implements it.
-_CHARREF = r"^&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_CHARREF_BODY = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 @functools.lru_cache(maxsize=None)
@@ -119,7 +119,13 @@ def unescape_html(c: Column) -> Column:
     not once per use, and ``c`` is referenced once so an upstream expression
     is not evaluated twice (higher-order functions run interpreted).
     """
-    pieces = F.transform(F.split(c, "(?=&)"), lambda p: F.struct(p.alias("p"), F.regexp_extract(p, _CHARREF, 1).alias("ref")))
+    def piece(p, i):
+        whole = F.when(i == 0, p).otherwise(F.concat(F.lit("&"), p))
+        ref = F.when(i == 0, F.lit("")).otherwise(F.regexp_extract(p, _CHARREF_BODY, 1))
+        return F.struct(whole.alias("p"), ref.alias("ref"))
+
+    # split on the literal '&' (no regex look-ahead); piece i > 0 followed an '&'
+    pieces = F.transform(F.split(c, "&"), piece)
     return F.array_join(F.transform(pieces, _decode_piece), "")
 
 
@@ -149,9 +155,13 @@ def has_visible_char(c: Column) -> Column:
     return c.rlike(r"[^" + PY_SPACE + r"]")
 
 
+# The same whitespace set as characters, for trim().
+PY_SPACE_CHARS = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
+
+
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()`` with its Unicode whitespace set."""
-    return F.regexp_replace(c, r"^[" + PY_SPACE + r"]+|[" + PY_SPACE + r"]+\z", "")
+    """Python ``str.strip()`` with its Unicode whitespace set (``trim`` with that character set)."""
+    return F.trim(c, F.lit(PY_SPACE_CHARS))
 
 
 def tidy_chunk(c: Column) -> Column:
