@@ -87,6 +87,12 @@ def to_envelope_json(nested: DataFrame) -> DataFrame:
     return nested.select(F.to_json(F.struct("id", "pii")).alias("value"))
 
 
+def write_findings(detections: DataFrame, path: str, fmt: str = "json", nested: bool = True) -> None:
+    """Write the findings, nested ``{id, pii[]}`` per document (default) or as rows."""
+    out = findings_nested(detections) if nested else findings(detections)
+    out.write.mode("overwrite").format(fmt).save(path)
+
+
 def model_answers(detections: DataFrame) -> DataFrame:
     """A detector's fenced answer text per productive chunk (test and replay helper)."""
     return payloads(detections).withColumn("answer", fenced(F.col("payload")))

@@ -154,6 +154,12 @@ def oracle_sql() -> dict[str, str]:
         "merged_ranges": S.merged(S.ranges(chunks, r0)),
         "mask_documents": S.masked(chunks, S.merged(S.ranges(chunks, r0))),
         "two_rounds": two,
+        "stage_counts": f"""
+            SELECT 'documents' AS stage, count(*) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0
+            UNION ALL SELECT 'chunks', count(*) FROM ({_chunks(tidy=False)}) a
+            UNION ALL SELECT 'examined', count(*) FROM ({chunks}) b
+            UNION ALL SELECT 'items', count(*) FROM ({r0}) c
+            UNION ALL SELECT 'unique_items', count(*) FROM ({S.findings(r0)}) d""",
         "findings": S.findings(two),
         "model_detect": S.detections(chunks, 0, DEFAULT_RULES[:1]),
         "file_mime": f"SELECT path, {_ext('path')} AS ext, {_mime('path', 'content')} AS mime FROM ({_corpus_paths()}) p",

@@ -28,6 +28,7 @@ from shroud.operators.chunk import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_document
 from shroud.operators.detect import DETECTION_COLS, POS_STRIDE, DEFAULT_RULES, Rule, detect_dictionary, detect_rules
 from shroud.operators.findings import findings
 from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_chunks, write_back
+from shroud.operators.metrics import observed
 from shroud.operators.partitioning import by_doc
 from shroud.session import ensure_checkpoint_dir
 
@@ -61,6 +62,14 @@ class RoundsResult:
     chunks: DataFrame
     rounds_run: int
     per_round: list[int] = field(default_factory=list)
+    observations: dict = field(default_factory=dict)
+
+    def stage_counts(self) -> dict[str, int]:
+        """P5: rows per stage, gathered by ``observe`` during the jobs that ran anyway."""
+        out = {name: int(obs.get["rows"]) for name, obs in self.observations.items()}
+        for r, n in enumerate(self.per_round):
+            out[f"items_round_{r}"] = n
+        return out
 
 
 def _cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -124,9 +133,11 @@ def detect_documents(docs: DataFrame, detector: Detector | None = None, size: in
                      reprompt: bool = True, id_col: str = "doc_id", text_col: str = "text",
                      clean: bool = True, checkpoint: bool = True) -> RoundsResult:
     """Documents -> detections of all rounds (the whole map-reduce pipeline before post-processing)."""
-    prepared = prepare_documents(docs, id_col, text_col, clean)
-    chunks = chunk_documents(prepared, size, overlap, method=chunker)
-    return scan_rounds(chunks, detector or rules_detector(), max_rounds, reprompt, checkpoint=checkpoint)
+    prepared, docs_obs = observed(prepare_documents(docs, id_col, text_col, clean), "documents")
+    chunks, chunks_obs = observed(chunk_documents(prepared, size, overlap, method=chunker), "chunks")
+    result = scan_rounds(chunks, detector or rules_detector(), max_rounds, reprompt, checkpoint=checkpoint)
+    result.observations = {"documents": docs_obs, "chunks": chunks_obs}
+    return result
 
 
 def run_pipeline(docs: DataFrame, **kwargs) -> DataFrame:

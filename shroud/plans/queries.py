@@ -305,3 +305,21 @@ QUERIES: dict[str, Query] = {
     "file_listing": q_file_listing,
     "pipeline": q_pipeline,
 }
+
+
+def q_stage_counts(spark, sf_dir):
+    """P5: rows per stage (documents, chunks, examined chunks, items, unique items) for round 0."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (F.length("text") > 0))
+    chunks = fixed_chunks(spark, sf_dir, tidy=False)
+    examined = fixed_chunks(spark, sf_dir)
+    dets = detect_rules(examined, round_=0)
+    parts = [("documents", docs), ("chunks", chunks), ("examined", examined), ("items", dets),
+             ("unique_items", findings(dets))]
+    out = None
+    for name, df in parts:
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+QUERIES["stage_counts"] = q_stage_counts
