@@ -19,7 +19,7 @@ justification``. ``(round, chunk_index, item_pos)`` is the order key that
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -62,7 +62,8 @@ class Rule:
     regex engine: a boundary next to a word character becomes a one-sided
     look-around, checked after the first character so most positions fail on
     one class test. ``needs`` is a literal every match contains; chunks
-    without it skip the rule.
+    without it skip the rule. ``check`` names an extra validation of each
+    match (``"luhn"`` for card numbers, ``"octets"`` for IPv4 addresses).
     """
 
     category: str
@@ -71,6 +72,7 @@ class Rule:
     justification: str
     java: str | None = None
     needs: str | None = None
+    check: str | None = None
 
     @property
     def java_pattern(self) -> str:
@@ -114,13 +116,42 @@ DEFAULT_RULES: tuple[Rule, ...] = (
 _ITEMS_TYPE = "array<struct<text:string,category:string,type:string,justification:string>>"
 
 
+def luhn_valid(x: Column) -> Column:
+    """Luhn checksum of a digit string: from the right, every second digit doubled (minus 9 above 9)."""
+    n = F.length(x)
+
+    def add(acc, i):
+        d = F.substring(x, n - i + 1, 1).cast("int")
+        doubled = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
+        return acc + F.when(i % 2 == 0, doubled).otherwise(d)
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
+
+
+def octets_valid(x: Column) -> Column:
+    """Every dot-separated part of an IPv4 candidate is at most 255."""
+    return F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255)
+
+
+CHECKS = {"luhn": luhn_valid, "octets": octets_valid}
+
+
+def with_checks(rules: Sequence[Rule] = DEFAULT_RULES) -> tuple[Rule, ...]:
+    """The rule table with the optional validations on: Luhn for cards, octet range for IPs."""
+    extra = {"payment card": "luhn", "ip address": "octets"}
+    return tuple(replace(r, check=extra.get(r.category, r.check)) for r in rules)
+
+
 def rule_items(content: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Column:
     """All matches of all rules in one chunk, as one item array (rule order, then match order)."""
     def as_item(r: Rule):
         return lambda x: item_struct(x, F.lit(r.category), F.lit(r.type), F.lit(r.justification))
 
     def one(r: Rule) -> Column:
-        found = F.transform(F.regexp_extract_all(content, F.lit(r.java_pattern), 0), as_item(r))
+        matches = F.regexp_extract_all(content, F.lit(r.java_pattern), 0)
+        if r.check:
+            matches = F.filter(matches, CHECKS[r.check])
+        found = F.transform(matches, as_item(r))
         if r.needs:
             found = F.when(F.instr(content, r.needs) > 0, found).otherwise(F.array().cast(_ITEMS_TYPE))
         return found

@@ -87,8 +87,12 @@ def to_envelope_json(nested: DataFrame) -> DataFrame:
     return nested.select(F.to_json(F.struct("id", "pii")).alias("value"))
 
 
-def write_findings(detections: DataFrame, path: str, fmt: str = "json", nested: bool = True) -> None:
-    """Write the findings, nested ``{id, pii[]}`` per document (default) or as rows."""
+def write_findings(detections: DataFrame, path: str, fmt: str = "json", nested: bool = False) -> None:
+    """Write the findings as rows (default) or nested ``{id, pii[]}`` per document.
+
+    The nested form gathers one document's distinct items into one array;
+    use it where documents hold a bounded number of distinct items.
+    """
     out = findings_nested(detections) if nested else findings(detections)
     out.write.mode("overwrite").format(fmt).save(path)
 

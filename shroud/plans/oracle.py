@@ -8,7 +8,7 @@ and ``file_listing`` (its input is a directory Spark writes at run time).
 from __future__ import annotations
 
 from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN
-from shroud.operators.detect import DEFAULT_RULES
+from shroud.operators.detect import DEFAULT_RULES, with_checks
 from shroud.plans import sqlgen as S
 from shroud.plans.queries import DICTIONARY_TERMS
 
@@ -140,6 +140,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_short": f"""SELECT doc_id, count(*) AS n_chunks, sum(length(content)) AS n_chars
                            FROM ({_chunks(tidy=False)}) c GROUP BY doc_id""",
         "detect_rules": r0,
+        "detect_rules_checked": S.detections(chunks, 0, with_checks()),
         "detect_rules_pages": S.detections(pages_chunks, 0),
         "detect_rules_conversations": S.detections(conv_chunks, 0),
         "detect_dictionary": _dictionary(),

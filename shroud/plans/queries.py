@@ -22,7 +22,7 @@ from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN, ITEM_FIELDS, fence
 from shroud.functions.text import clean_text
 from shroud.operators.chunk import chunk_documents, examinable
 from shroud.operators.detect import (DEFAULT_RULES, DETECTION_COLS, detect_dictionary, detect_rules, detect_with,
-                                     render_prompt, terms_table)
+                                     render_prompt, terms_table, with_checks)
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import (chunks_with_items, doc_items, mask_chunks, merge_ranges_col, ranges_per_chunk,
                                    write_back)
@@ -323,3 +323,11 @@ def q_stage_counts(spark, sf_dir):
 
 
 QUERIES["stage_counts"] = q_stage_counts
+
+
+def q_detect_rules_checked(spark, sf_dir):
+    """D1 with the optional validations: Luhn checksum for cards, octets <= 255 for IPs."""
+    return detect_rules(fixed_chunks(spark, sf_dir), with_checks(), round_=0)
+
+
+QUERIES["detect_rules_checked"] = q_detect_rules_checked

@@ -109,12 +109,26 @@ def chunk_rows(source: str, id_expr: str, text_expr: str, size: int = DEFAULT_SI
 # --- detection ------------------------------------------------------------------------------
 
 
+CHECKS = {
+    # Luhn: from the right, every second digit doubled (minus 9 above 9); sum divisible by 10
+    "luhn": ("list_sum(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN i % 2 = 0 THEN "
+             "(CASE WHEN 2 * CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) > 9 "
+             "THEN 2 * CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) - 9 "
+             "ELSE 2 * CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) END) "
+             "ELSE CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) END)) % 10 = 0"),
+    "octets": "list_bool_and(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER) <= 255))",
+}
+
+
 def rule_items(col: str, rules=DEFAULT_RULES) -> str:
     parts = []
     for r in rules:
         item = (f"{{'text': x, 'category': {lit(r.category)}, 'type': {lit(r.type)}, "
                 f"'justification': {lit(r.justification)}}}")
-        parts.append(f"list_transform(regexp_extract_all({col}, {lit(r.pattern)}, 0), lambda x: {item})")
+        matches = f"regexp_extract_all({col}, {lit(r.pattern)}, 0)"
+        if r.check:
+            matches = f"list_filter({matches}, lambda m: {CHECKS[r.check]})"
+        parts.append(f"list_transform({matches}, lambda x: {item})")
     return " || ".join(parts)
 
 

@@ -108,12 +108,13 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False, extensions: Iterable[str] | None = None,
                max_mb: float | None = None, sort_by: str = "name", names: Iterable[str] | None = None,
-               with_content: bool = False, id_mode: str = "position") -> DataFrame:
+               with_content: bool = False, id_mode: str = "position", id_start: int = 0) -> DataFrame:
     """``path, filename, ext, length, modificationTime, file_id[, content]``.
 
     Flat mode keeps only files directly in ``path``. A missing directory
     gives an empty result, not an error. ``id_mode='position'`` numbers the
-    files 0.. in sort order; ``'hash'`` uses a path hash (no global sort).
+    files from ``id_start`` (0, or 1 as the notebook variant does) in sort
+    order; ``'hash'`` uses a path hash (no global sort).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     try:
@@ -141,7 +142,7 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False, extensio
         return files.withColumn("file_id", F.sha2(F.col("path"), 256))
     key = SORT_KEYS.get(sort_by, "path")
     order = [F.col(key), F.col("path")] if key != "path" else [F.col("path")]
-    meta = consecutive_ids(files.drop("content") if with_content else files, order).withColumn(
+    meta = consecutive_ids(files.drop("content") if with_content else files, order, start=id_start).withColumn(
         "file_id", F.col("file_id").cast("string"))
     if with_content:
         return meta.join(files.select("path", "content"), "path")

@@ -93,3 +93,26 @@ def test_prompt_holds_text(spark):
     df = spark.createDataFrame([("hello {text}",)], "c string")
     p = df.select(render_prompt(F.col("c")).alias("p")).first().p
     assert "hello {text}" in p and "json" in p
+
+
+def test_optional_checks(spark):
+    from shroud.operators.detect import with_checks
+
+    def luhn(s):
+        total = 0
+        for i, ch in enumerate(reversed(s)):
+            d = int(ch)
+            if i % 2 == 1:
+                d = d * 2 - 9 if d * 2 > 9 else d * 2
+            total += d
+        return total % 10 == 0
+
+    rnd = random.Random(11)
+    cards = ["".join(rnd.choice("0123456789") for _ in range(16)) for _ in range(300)] + ["4111111111111111"]
+    ips = ["1.2.3.4", "255.255.255.255", "256.1.1.1", "10.0.0.300", "999.9.9.9"]
+    text = " ".join(cards + ips)
+    df = spark.createDataFrame([("d", 0, text)], "doc_id string, chunk_index int, content string")
+    got = {(r.category, r.text) for r in detect_rules(df, with_checks(), round_=0).collect()}
+    want = {("payment card", c) for c in cards if luhn(c)} | {("ip address", i) for i in ips
+                                                              if all(int(o) <= 255 for o in i.split("."))}
+    assert got == want and ("payment card", "4111111111111111") in got

@@ -18,7 +18,7 @@ def test_rounds_counts_and_sink(spark):
     assert counts["chunks"] >= counts["documents"]
     assert counts["items_round_0"] > 0 and res.rounds_run == 2
     out = os.path.join(tempfile.mkdtemp(prefix="shroud-sink-"), "findings")
-    write_findings(res.detections, out)
+    write_findings(res.detections, out, nested=True)
     lines = [json.loads(x) for x in spark.read.text(out).toPandas()["value"]]
     assert lines and all(set(x) == {"id", "pii"} for x in lines)
     assert all(set(p) == {"text", "category", "type", "justification"} for x in lines for p in x["pii"])
