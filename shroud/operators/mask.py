@@ -243,6 +243,29 @@ def mask_chunks(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEF
     )
 
 
+def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
+                   q: int = DEFAULT_Q) -> DataFrame:
+    """M5-M9 as one co-partitioned step: every chunk, masked where its document's items occur.
+
+    Equal to ``write_back(chunks, mask_chunks(chunks, items))`` but keyed on
+    ``doc_id`` only: chunks of documents without items pass through an
+    anti-join, chunks of documents with items come out of the item join
+    masked. With chunks and items hash-partitioned by ``doc_id`` neither side
+    moves the text again (a join on ``(doc_id, chunk_index)`` would).
+    Adds ``changed``.
+    """
+    base = chunks.select("doc_id", "chunk_index", "content")
+    r = ranges_per_chunk(base, items, max_inline_items, q)
+    masked = r.select(
+        "doc_id", "chunk_index", "content",
+        apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("_masked"),
+    ).select("doc_id", "chunk_index", F.col("_masked").alias("content"),
+             (F.col("_masked") != F.col("content")).alias("changed"))
+    ids = items.select("doc_id").distinct()
+    untouched = base.join(ids, "doc_id", "left_anti").withColumn("changed", F.lit(False))
+    return untouched.unionByName(masked)
+
+
 def write_back(chunks: DataFrame, masked: DataFrame) -> DataFrame:
     """M9: masked text replaces the chunk at (doc_id, chunk_index); other chunks unchanged.
 

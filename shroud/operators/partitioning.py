@@ -29,3 +29,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         return df
     n = max(cores, shuffle_partitions(df))
     return df.repartition(n, *keys) if keys else df.repartition(n)
+
+
+def save_by_doc(df: DataFrame, key: str = "doc_id", buckets: int | None = None, prefix: str = "shroud") -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` in the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (reliable storage, survives
+    lost executors) and, unlike it, the table is read back hash-partitioned
+    by ``key``: joins and aggregations on ``key`` with the same number of
+    partitions need no exchange. Input already partitioned by ``key`` into
+    ``buckets`` partitions writes one file per bucket.
+    """
+    import os
+    import uuid
+
+    from shroud.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    n = buckets or shuffle_partitions(df)
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
+    df.write.bucketBy(n, key).mode("overwrite").option("path", path).saveAsTable(name)
+    return spark.table(name)

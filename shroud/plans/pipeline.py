@@ -3,15 +3,16 @@
 ``scan_rounds`` is the loop of the reference's graph (L1-L3) as a bounded
 driver loop over DataFrames: each round detects on the chunks to examine,
 masks every chunk of a document with all items found so far, and writes the
-masked text back. Each round's chunk table is checkpointed (reliable
-checkpoint into ``spark.checkpoint.dir``) so lineage does not grow with the
-number of rounds and a lost executor recomputes from the last round, not
-from the scan.
+masked text back. Each round's chunks and detections are written as tables
+bucketed by ``doc_id`` under ``spark.checkpoint.dir`` (reliable storage), so
+lineage does not grow with the number of rounds and a lost executor
+recomputes from the last round, not from the scan.
 
 Partitioning. Documents are hash-partitioned by ``doc_id`` once; chunking is
 narrow, so chunks, detections and per-document item lists all keep that
-partitioning and the chunk/item joins of every round need no further
-shuffle of the text.
+partitioning. ``checkpoint()`` and ``persist()`` would forget it (the next
+join would shuffle the text again); the bucketed round tables keep it, so
+the chunk/item joins of every round move no text.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ from shroud.functions.text import clean_text
 from shroud.operators.chunk import DEFAULT_OVERLAP, DEFAULT_SIZE, chunk_documents, examinable
 from shroud.operators.detect import DETECTION_COLS, POS_STRIDE, DEFAULT_RULES, Rule, detect_dictionary, detect_rules
 from shroud.operators.findings import findings
-from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_chunks, write_back
+from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_documents
 from shroud.operators.metrics import observed
-from shroud.operators.partitioning import by_doc
-from shroud.session import ensure_checkpoint_dir
+from shroud.operators.partitioning import by_doc, save_by_doc
 
 Detector = Callable[[DataFrame, int], DataFrame]
 
@@ -72,11 +72,6 @@ class RoundsResult:
         return out
 
 
-def _cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, reprompt: bool = True,
                 max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS, reexamine: str = "masked",
                 checkpoint: bool = True) -> RoundsResult:
@@ -86,15 +81,19 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
     the last masking changed (``reexamine='masked'``) or all chunks
     (``'all'``). The loop stops early when a round finds nothing. Items of
     all rounds so far mask every chunk of their document.
+
+    With ``checkpoint`` each round's chunks and detections are written as
+    tables bucketed by ``doc_id`` in the checkpoint folder: lineage is cut
+    every round, and the tables come back hash-partitioned by ``doc_id`` so
+    the next round's item lists and chunk/item joins move no text.
     """
     if max_rounds < 1:
         raise ValueError("max_rounds must be at least 1")
     if not reprompt:
         max_rounds = 1
-    # Round 0 chunks feed detection and masking: keep them (recomputed from the
-    # scan if an executor is lost); later rounds' chunks are checkpointed.
-    current = chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    materialize = save_by_doc if checkpoint else (lambda df, **_: df.persist(StorageLevel.MEMORY_AND_DISK))
+    current = materialize(chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed")),
+                          prefix="chunks")
     all_dets = None
     per_round: list[int] = []
     rounds_run = 0
@@ -103,20 +102,15 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
             examine = examinable(current)
         else:
             examine = examinable(current.where("changed"))
-        dets = detector(examine.select("doc_id", "chunk_index", "content"), r).select(*DETECTION_COLS)
-        if checkpoint:
-            dets = _cut(dets)
+        dets = materialize(detector(examine.select("doc_id", "chunk_index", "content"), r).select(*DETECTION_COLS),
+                           prefix="detections")
         n = dets.count()
         per_round.append(n)
         rounds_run += 1
         all_dets = dets if all_dets is None else all_dets.unionByName(dets)
         if n == 0 or r == max_rounds - 1:
             break
-        masked = mask_chunks(current.select("doc_id", "chunk_index", "content"), doc_items(all_dets),
-                             max_inline_items)
-        current = write_back(current.select("doc_id", "chunk_index", "content"), masked)
-        if checkpoint:
-            current = _cut(current)
+        current = materialize(mask_documents(current, doc_items(all_dets), max_inline_items), prefix="chunks")
     return RoundsResult(all_dets, current, rounds_run, per_round)
 
 

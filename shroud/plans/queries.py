@@ -24,9 +24,9 @@ from shroud.operators.chunk import chunk_documents, examinable
 from shroud.operators.detect import (DEFAULT_RULES, DETECTION_COLS, detect_dictionary, detect_rules, detect_with,
                                      render_prompt, terms_table, with_checks)
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
-from shroud.operators.mask import (chunks_with_items, doc_items, mask_chunks, merge_ranges_col, ranges_per_chunk,
+from shroud.operators.mask import (chunks_with_items, doc_items, mask_chunks, mask_documents, merge_ranges_col, ranges_per_chunk,
                                    write_back)
-from shroud.operators.partitioning import by_doc, spread
+from shroud.operators.partitioning import by_doc, save_by_doc, spread
 from shroud.plans import sqlgen as S
 from shroud.plans.pipeline import scan_rounds, rules_detector, run_pipeline
 from shroud.session import ensure_checkpoint_dir
@@ -58,9 +58,9 @@ def round0(spark, sf_dir) -> DataFrame:
 
 
 def mask_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Chunks and their round-0 detections, kept because several branches read them."""
-    chunks = fixed_chunks(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    dets = detect_rules(chunks, round_=0).persist(StorageLevel.MEMORY_AND_DISK)
+    """Chunks and their round-0 detections, written once (bucketed by doc_id) because several branches read them."""
+    chunks = save_by_doc(fixed_chunks(spark, sf_dir), prefix="chunks")
+    dets = save_by_doc(detect_rules(chunks, round_=0), prefix="detections")
     return chunks, dets
 
 
@@ -207,7 +207,7 @@ def q_merged_ranges(spark, sf_dir):
 
 def q_mask_documents(spark, sf_dir):
     chunks, dets = mask_inputs(spark, sf_dir)
-    return write_back(chunks, mask_chunks(chunks, doc_items(dets)))
+    return mask_documents(chunks, doc_items(dets))
 
 
 def q_two_rounds(spark, sf_dir):
