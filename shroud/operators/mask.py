@@ -138,16 +138,23 @@ def contains_any(text: Column, items: Column, case_insensitive: bool = True, nor
 # --- q-gram index join (documents with many items) -------------------------------
 
 
-def _prefix_rows(chunks: DataFrame, key_col: str, q: int) -> DataFrame:
-    """One row per (chunk position, prefix length): ``doc_id, chunk_index, p, key``."""
+def _prefix_rows(chunks: DataFrame, key_col: str, lengths: list[int]) -> DataFrame:
+    """One row per (chunk position, prefix length): ``doc_id, chunk_index, p, key``.
+
+    The prefixes are built in-row and exploded once, so a position row holds
+    only its short prefix, not the chunk text.
+    """
     k = F.col(key_col)
-    pos = chunks.select("doc_id", "chunk_index", k.alias("_k"),
-                        F.explode(F.sequence(F.lit(1), F.greatest(F.length(k), F.lit(1)))).alias("p"))
-    room = F.length("_k") - F.col("p") + 1
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(q), room)), lambda n: F.substring(F.col("_k"), F.col("p"), n)
-    )
-    return pos.where(room > 0).select("doc_id", "chunk_index", "p", F.explode(prefixes).alias("key"))
+    n = F.length(k)
+    lens = F.array(*[F.lit(x) for x in lengths])
+
+    def at(p):
+        fitting = F.filter(lens, lambda l: p + l - 1 <= n)
+        return F.transform(fitting, lambda l: F.struct(p.alias("p"), F.substring(k, p, l).alias("key")))
+
+    entries = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at))
+    return chunks.select("doc_id", "chunk_index", F.explode(entries).alias("e")).select(
+        "doc_id", "chunk_index", "e.p", "e.key")
 
 
 def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_key: str, q: int = DEFAULT_Q) -> DataFrame:
@@ -157,7 +164,11 @@ def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_k
     for verified hits. Chunk text is not carried through the explode; the
     verification joins the candidates back to the chunks.
     """
-    prefixes = _prefix_rows(chunks, chunk_key, q)
+    # Prefix lengths to emit: q, plus every item length below q that occurs
+    # (at most q - 1 values, so collecting them is bounded).
+    short = items.select(F.length(item_key).alias("l")).where(F.col("l") < q).distinct().collect()
+    lengths = sorted({r.l for r in short if r.l > 0} | {q})
+    prefixes = _prefix_rows(chunks, chunk_key, lengths)
     item_side = items.withColumn("_ik", F.col(item_key)).withColumn("key", F.substring(F.col("_ik"), 1, q))
     cands = prefixes.join(item_side, ["doc_id", "key"]).drop("key")
     texts = chunks.select("doc_id", "chunk_index", F.col(chunk_key).alias("_ck"), "content")

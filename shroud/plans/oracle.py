@@ -154,6 +154,8 @@ def oracle_sql() -> dict[str, str]:
         "match_ranges": f"SELECT DISTINCT doc_id, chunk_index, s, e FROM ({S.ranges(chunks, r0)}) r",
         "merged_ranges": S.merged(S.ranges(chunks, r0)),
         "mask_documents": S.masked(chunks, S.merged(S.ranges(chunks, r0))),
+        "mask_documents_indexed": S.masked(chunks, S.merged(S.ranges(chunks, r0))),
+        "chunks_with_items_indexed": S.exists_items(chunks, r0),
         "two_rounds": two,
         "stage_counts": f"""
             SELECT 'documents' AS stage, count(*) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0

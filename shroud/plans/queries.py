@@ -331,3 +331,19 @@ def q_detect_rules_checked(spark, sf_dir):
 
 
 QUERIES["detect_rules_checked"] = q_detect_rules_checked
+
+
+def q_mask_documents_indexed(spark, sf_dir):
+    """M5-M9 through the q-gram index join for every document (the path for documents with many items)."""
+    chunks, dets = mask_inputs(spark, sf_dir)
+    return mask_documents(chunks, doc_items(dets), max_inline_items=0)
+
+
+def q_chunks_with_items_indexed(spark, sf_dir):
+    """M2-M4 through the q-gram index join for every document."""
+    chunks, dets = mask_inputs(spark, sf_dir)
+    return chunks_with_items(chunks, dets, max_inline_items=0)
+
+
+QUERIES["mask_documents_indexed"] = q_mask_documents_indexed
+QUERIES["chunks_with_items_indexed"] = q_chunks_with_items_indexed
