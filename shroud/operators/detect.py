@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shroud.functions.fold import match_key
+from shroud.functions.text import PY_SPACE
 from shroud.functions.payload import item_struct, parse_items, strip_fence
 from shroud.session import ship_package
 
@@ -192,6 +193,11 @@ def detect_rules(chunks: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, round
 # --- dictionary ---------------------------------------------------------------
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
+_TOKEN_CLASS = r"[\p{L}\p{N}_]"
+_NON_TOKEN_CLASS = r"[^\p{L}\p{N}_]"
+# Zero-width split at every token/non-token boundary: pieces alternate between
+# tokens and separators and concatenate back to the text.
+BOUNDARY_SPLIT = f"(?<={_TOKEN_CLASS})(?={_NON_TOKEN_CLASS})|(?<={_NON_TOKEN_CLASS})(?={_TOKEN_CLASS})"
 
 
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -207,29 +213,66 @@ def terms_table(spark, terms: Iterable[tuple[str, str, str, str]]) -> DataFrame:
 
 def detect_dictionary(chunks: DataFrame, terms: DataFrame, round_: int | None = None, pos_offset: int = 0,
                       broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    """Tokens equal (accent- and case-insensitively) to a dictionary term.
+    """Token sequences equal (accent- and case-insensitively) to a dictionary term.
 
-    The found text is the token as written in the chunk; ``item_pos`` is the
-    token's position in the chunk.
+    A term of several tokens ("John Doe") matches the same tokens separated by
+    whitespace only. The found text is the span as written in the chunk;
+    ``item_pos`` is the position of its first token among the chunk's tokens.
+    Candidates come from an equi-join on the first token's key; the following
+    tokens are checked in-row against a window no longer than the longest term.
     """
     keyed_terms = (
-        terms.select(match_key(F.col("term")).alias("key"), "category", "type", "justification")
-        .dropDuplicates(["key"])
+        terms.select(F.transform(F.regexp_extract_all(F.col("term"), F.lit(TOKEN_PATTERN), 0), lambda t: match_key(t)).alias("keys"),
+                     "category", "type", "justification")
+        .where(F.size("keys") > 0)
+        .dropDuplicates(["keys"])
+        .withColumn("key", F.col("keys")[0])
     )
+    longest = keyed_terms.agg(F.max(F.size("keys"))).first()[0] or 1  # one scalar
     keyed_terms = checked_broadcast(keyed_terms, broadcast_max_rows)
-    tokens = chunks.select(
-        "doc_id",
-        "chunk_index",
-        _round_col(chunks, round_).cast("int").alias("round"),
-        F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(TOKEN_PATTERN), 0)).alias("item_pos", "text"),
-    ).withColumn("key", match_key(F.col("text")))
+    if longest == 1:
+        # single-token terms only: tokens alone, no separators to check
+        single = chunks.select(
+            "doc_id", "chunk_index", _round_col(chunks, round_).cast("int").alias("round"),
+            F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(TOKEN_PATTERN), 0)).alias("item_pos", "text"),
+        ).withColumn("key", match_key(F.col("text")))
+        return single.join(keyed_terms.drop("keys"), "key").select(
+            "doc_id", "chunk_index", "round", (F.col("item_pos").cast("long") + F.lit(pos_offset)).alias("item_pos"),
+            "text", "category", "type", "justification")
+    width = 2 * longest - 2
+
+    # The piece array is a column referenced twice below, so it is split once
+    # per chunk (not once per piece inside the lambda).
+    split = chunks.select(
+        "doc_id", "chunk_index", _round_col(chunks, round_).cast("int").alias("round"),
+        F.split(F.col("content"), BOUNDARY_SPLIT).alias("_pieces"),
+    )
+    pieces = F.col("_pieces")
+    entries = F.filter(
+        F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("tok"), F.slice(pieces, i + 2, width).alias("rest"))),
+        lambda e: e["tok"].rlike("^" + _TOKEN_CLASS),
+    )
+    skip = F.when(pieces[0].rlike("^" + _TOKEN_CLASS), 0).otherwise(1)
+    tokens = split.select("doc_id", "chunk_index", "round", skip.alias("_skip"), F.explode(entries).alias("e")) \
+        .select("doc_id", "chunk_index", "round", "_skip", "e.i", "e.tok", "e.rest", match_key(F.col("e.tok")).alias("key"))
     hits = tokens.join(keyed_terms, "key")
-    return hits.select(
+
+    n = F.size("keys")
+    rest = F.col("rest")
+    following_match = F.forall(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda k: (n == 1) | (
+            F.coalesce(F.try_element_at(rest, 2 * k - 1), F.lit("x")).rlike(r"^[" + PY_SPACE + r"]+$")
+            & (match_key(F.coalesce(F.try_element_at(rest, 2 * k), F.lit(""))) == F.try_element_at(F.col("keys"), k + 1))
+        ),
+    )
+    text = F.concat(F.col("tok"), F.array_join(F.slice(rest, 1, 2 * (n - 1)), ""))
+    return hits.where(following_match).select(
         "doc_id",
         "chunk_index",
         "round",
-        (F.col("item_pos").cast("long") + F.lit(pos_offset)).alias("item_pos"),
-        "text",
+        (F.floor((F.col("i") - F.col("_skip")) / 2).cast("long") + F.lit(pos_offset)).alias("item_pos"),
+        F.when(n == 1, F.col("tok")).otherwise(text).alias("text"),
         "category",
         "type",
         "justification",

@@ -96,6 +96,45 @@ def _dictionary() -> str:
     FROM tok JOIN dk ON tok.text = dk.text JOIN t ON dk.key = t.key"""
 
 
+def _phrases() -> str:
+    """Multi-word dictionary: token list + separator list per chunk, first-token equi-join, rest checked."""
+    from shroud.functions.text import PY_SPACE
+    from shroud.plans.queries import PHRASE_TERMS
+
+    tok = r"[\p{L}\p{N}_]+"
+    sep = r"[^\p{L}\p{N}_]+"
+    def fast_key(x):
+        return f"CASE WHEN regexp_matches({x}, '^[\x00-\x7f]*$') THEN lower({x}) ELSE {S.key(x)} END"
+    terms = " UNION ALL ".join(
+        f"SELECT {S.lit(t)} AS term, {S.lit(c)} AS category, {S.lit(ty)} AS type, {S.lit(j)} AS justification"
+        for t, c, ty, j in PHRASE_TERMS)
+    return f"""
+    WITH t AS (
+      SELECT list_transform(regexp_extract_all(term, {S.lit(tok)}, 0), lambda w: {S.key('w')}) AS keys,
+             category, type, justification FROM ({terms}) x
+    ),
+    firsts AS (SELECT DISTINCT keys[1] AS k FROM t),
+    c AS (
+      SELECT * FROM ({_chunks()}) c0
+      WHERE EXISTS (SELECT 1 FROM firsts WHERE contains({S.key('c0.content')}, firsts.k))
+    ),
+    tk AS (
+      SELECT doc_id, chunk_index, regexp_extract_all(content, {S.lit(tok)}, 0) AS toks,
+             regexp_extract_all(content, {S.lit(sep)}, 0) AS seps,
+             CASE WHEN regexp_matches(content, {S.lit('^' + tok)}) THEN 0 ELSE 1 END AS off
+      FROM c
+    ),
+    keyed AS (SELECT *, list_transform(toks, lambda w: {fast_key('w')}) AS keys_ FROM tk),
+    pos AS (SELECT doc_id, chunk_index, toks, seps, off, keys_, unnest(generate_series(1, len(toks))) AS j FROM keyed)
+    SELECT doc_id, chunk_index, 0 AS round, CAST(j - 1 AS BIGINT) AS item_pos,
+           toks[j] || array_to_string(list_transform(range(1, len(t.keys)), lambda k: seps[j + k - 1 + off] || toks[j + k]), '') AS text,
+           t.category, t.type, t.justification
+    FROM pos JOIN t ON pos.keys_[j] = t.keys[1]
+    WHERE j + len(t.keys) - 1 <= len(toks)
+      AND coalesce(list_bool_and(list_transform(range(1, len(t.keys)), lambda k:
+            keys_[j + k] = t.keys[k + 1] AND regexp_full_match(seps[j + k - 1 + off], {S.lit('[' + PY_SPACE + ']+')}))), true)"""
+
+
 def _corpus_paths() -> str:
     endings = [".txt", ".md", ".docx", ".pdf", ".rtf", ".odt", ".TXT", ".html", "", ".tar.gz", ".Md", ".json"]
     arr = "[" + ", ".join(S.lit(e) for e in endings) + "]"
@@ -144,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "detect_rules_pages": S.detections(pages_chunks, 0),
         "detect_rules_conversations": S.detections(conv_chunks, 0),
         "detect_dictionary": _dictionary(),
+        "detect_dictionary_phrases": _phrases(),
         "prompt_column": f"SELECT doc_id, chunk_index, {S.prompt('content')} AS prompt FROM ({chunks}) c",
         "payload_parse": _payload_parse(),
         "group_items": f"SELECT doc_id, round, chunk_index, n_items, items_text FROM ({_payloads(r0)}) p",

@@ -8,12 +8,10 @@ and is paired, where SQL can say the same, with a DuckDB statement in
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from typing import Callable
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +25,6 @@ from shroud.operators.findings import combine_payloads, findings, model_answers,
 from shroud.operators.mask import (chunks_with_items, doc_items, mask_chunks, mask_documents, merge_ranges_col, ranges_per_chunk,
                                    write_back)
 from shroud.operators.partitioning import by_doc, save_by_doc, spread
-from shroud.plans import sqlgen as S
 from shroud.plans.pipeline import scan_rounds, rules_detector, run_pipeline
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources.envelope import documents_as_envelopes, from_envelope
@@ -64,10 +61,6 @@ def mask_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return chunks, dets
 
 
-def sql_chunks() -> str:
-    return S.chunk_rows("documents", "doc_id", "text")
-
-
 # Gazetteer stand-in for the dictionary detector. The synthetic
 # prose has no real names; these invented capitalised words occur in it.
 DICTIONARY_TERMS = (
@@ -347,3 +340,20 @@ def q_chunks_with_items_indexed(spark, sf_dir):
 
 QUERIES["mask_documents_indexed"] = q_mask_documents_indexed
 QUERIES["chunks_with_items_indexed"] = q_chunks_with_items_indexed
+
+
+# Multi-word stand-ins (word sequences that occur in the synthetic prose).
+PHRASE_TERMS = (
+    ("Eriner thanea", "name", "direct", "Listed in the name dictionary."),
+    ("Nicht aulich", "location data", "indirect", "Listed in the place dictionary."),
+    ("Orre Orre", "name", "direct", "Listed in the name dictionary."),
+    ("Orre", "name", "direct", "Listed in the name dictionary."),
+)
+
+
+def q_detect_dictionary_phrases(spark, sf_dir):
+    """D2 with multi-word terms: whitespace-separated token sequences, overlapping matches included."""
+    return detect_dictionary(fixed_chunks(spark, sf_dir), terms_table(spark, PHRASE_TERMS), round_=0)
+
+
+QUERIES["detect_dictionary_phrases"] = q_detect_dictionary_phrases

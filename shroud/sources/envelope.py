@@ -57,13 +57,17 @@ def _reject_reason(f: Column) -> Column:
     )
 
 
-def from_envelope(envelopes: DataFrame, clean: bool = True) -> tuple[DataFrame, DataFrame]:
+def from_envelope(envelopes: DataFrame, clean: bool = True, unique_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """Envelopes -> (documents ``id, name, type, content``, rejects ``file, reason``).
 
-    Content is cleaned on load (C1-C9) unless ``clean`` is off.
+    Content is cleaned on load (C1-C9) unless ``clean`` is off. With
+    ``unique_ids`` a repeated id keeps its last envelope in arrival order and
+    the earlier ones go to the rejects (Q17).
     """
     f = F.col("file")
     tagged = envelopes.select(f, _reject_reason(f).alias("reason"))
+    if unique_ids:
+        tagged = _mark_superseded(tagged)
     content = f["data"]["content"]
     docs = tagged.where(F.col("reason").isNull()).select(
         f["id"].alias("id"),
@@ -81,6 +85,21 @@ def from_envelope_json(lines: DataFrame, value_col: str = "value", clean: bool =
     return from_envelope(parsed, clean)
 
 
+def _mark_superseded(tagged: DataFrame) -> DataFrame:
+    """Give every envelope but the last of its id (arrival order) the reason 'superseded'.
+
+    The last arrival per id is found with a partial ``max`` aggregate (a hot
+    id is combined map-side), then joined back on the id.
+    """
+    seq = tagged.withColumn("_seq", F.monotonically_increasing_id())
+    last = (seq.where(F.col("reason").isNull()).groupBy(F.col("file")["id"].alias("_id"))
+            .agg(F.max("_seq").alias("_last")))
+    joined = seq.join(last, F.col("file")["id"] == F.col("_id"), "left")
+    reason = F.when(F.col("reason").isNull() & F.col("_last").isNotNull() & (F.col("_seq") != F.col("_last")),
+                    F.lit("superseded")).otherwise(F.col("reason"))
+    return joined.select("file", reason.alias("reason"))
+
+
 def latest_per_id(docs: DataFrame, order_col: str) -> DataFrame:
     """Q17: one document per id, the last by ``order_col`` (ingest order); a hot id aggregates partially."""
     cols = [c for c in docs.columns if c != "id"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import json
+import logging
 import mimetypes
 import re
 import zipfile
@@ -26,6 +27,8 @@ from pyspark.sql.utils import AnalysisException
 from shroud.session import ship_package
 from shroud.sources.envelope import envelope_col
 
+log = logging.getLogger(__name__)
+
 # The document kinds the loader accepts and their MIME types.
 KNOWN_TYPES = {
     ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
@@ -121,6 +124,7 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False, extensio
         files = reader.load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            log.warning("Directory not found: %s", path)
             cols = "path string, filename string, ext string, length bigint, modificationTime timestamp, file_id string"
             if with_content:
                 cols += ", content binary"
@@ -237,7 +241,13 @@ def files_to_envelopes(extracted: DataFrame) -> DataFrame:
 def load_directory(spark: SparkSession, path: str, recursive: bool = False, extensions: Iterable[str] | None = None,
                    max_mb: float | None = None, sort_by: str = "name", names: Iterable[str] | None = None,
                    extractors: dict[str, Callable[[bytes], str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """A directory -> (envelopes, rejects)."""
+    """A directory -> (envelopes, rejects).
+
+    When ``names`` are given and none of them is found the load stops with an
+    error, as the reference client does (S6).
+    """
     files = list_files(spark, path, recursive, extensions, max_mb, sort_by, names, with_content=True)
+    if names and list_files(spark, path, recursive, extensions, max_mb, sort_by, names).limit(1).count() == 0:
+        raise ValueError(f"none of the requested files found in {path}")
     ok, rejects = extract_documents(files, extractors)
     return files_to_envelopes(ok), rejects

@@ -116,3 +116,17 @@ def test_optional_checks(spark):
     want = {("payment card", c) for c in cards if luhn(c)} | {("ip address", i) for i in ips
                                                               if all(int(o) <= 255 for o in i.split("."))}
     assert got == want and ("payment card", "4111111111111111") in got
+
+
+def test_dictionary_multi_word_terms(spark):
+    chunks = spark.createDataFrame([("d", 0, "Met John  Doe and JOHN\tDÖE, not John, Doe nor John Doey.")],
+                                   "doc_id string, chunk_index int, content string")
+    terms = terms_table(spark, [("John Doe", "name", "direct", "listed"), ("nor", "word", "indirect", "listed")])
+    rows = detect_dictionary(chunks, terms, round_=0).orderBy("item_pos").collect()
+    assert [(r.text, r.item_pos) for r in rows] == [("John  Doe", 1), ("JOHN\tDÖE", 4), ("nor", 9)]
+
+
+def test_dictionary_phrase_at_chunk_end(spark):
+    chunks = spark.createDataFrame([("d", 0, "ends with John"), ("d", 1, "John")], "doc_id string, chunk_index int, content string")
+    terms = terms_table(spark, [("John Doe", "name", "direct", "listed")])
+    assert detect_dictionary(chunks, terms, round_=0).count() == 0

@@ -99,3 +99,22 @@ def test_load_directory_with_pdf_extractor(spark):
     got = {r.name: r.content for r in docs.collect()}
     assert got["d.pdf"] == "%PDF-1.4 fake"
     assert {r.type for r in docs.collect()} >= {"application/pdf", "text/plain"}
+
+
+def test_duplicate_ids_keep_last(spark):
+    from shroud.sources.envelope import envelope_col
+
+    rows = [("7", "a.txt", "first"), ("8", "b.txt", "only"), ("7", "a.txt", "second")]
+    df = spark.createDataFrame(rows, "id string, name string, c string").coalesce(1)
+    env = df.select(envelope_col(F.col("id"), F.col("name"), F.lit("text/plain"), F.length("c"), F.col("c")).alias("file"))
+    docs, rejects = from_envelope(env, unique_ids=True)
+    assert sorted((r.id, r.content) for r in docs.collect()) == [("7", "second"), ("8", "only")]
+    assert [r.reason for r in rejects.collect()] == ["superseded"]
+
+
+def test_named_files_missing_abort(spark):
+    import pytest
+
+    d = _corpus()
+    with pytest.raises(ValueError):
+        load_directory(spark, d, names=["nope.txt"])
