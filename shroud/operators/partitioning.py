@@ -19,8 +19,15 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def doc_partitions(df: DataFrame) -> int:
+    """Partition count for document-keyed data: the shuffle setting, or more if
+    the input already has more splits (so partitions stay near the input split
+    size, ``spark.sql.files.maxPartitionBytes``, as the data grows)."""
+    return max(shuffle_partitions(df), df.rdd.getNumPartitions())
+
+
 def by_doc(df: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    return df.repartition(partitions or shuffle_partitions(df), key)
+    return df.repartition(partitions or doc_partitions(df), key)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -46,7 +53,7 @@ def save_by_doc(df: DataFrame, key: str = "doc_id", buckets: int | None = None,
     from shroud.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
-    n = buckets or shuffle_partitions(df)
+    n = buckets or doc_partitions(df)
     name = f"{prefix}_{uuid.uuid4().hex}"
     path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
     df.write.bucketBy(n, key).mode("overwrite").option("path", path).saveAsTable(name)
