@@ -207,8 +207,15 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def terms_table(spark, terms: Iterable[tuple[str, str, str, str]]) -> DataFrame:
-    """(term, category, type, justification) rows as a DataFrame."""
-    return spark.createDataFrame(list(terms), "term string, category string, type string, justification string")
+    """(term, category, type, justification) rows as a DataFrame, built from JVM literals.
+
+    For a term list given in code; large dictionaries should be read as a table.
+    """
+    rows = [F.struct(*[F.lit(v).cast("string").alias(k) for k, v in zip(("term", "category", "type", "justification"), t)])
+            for t in terms]
+    if not rows:
+        return spark.createDataFrame([], "term string, category string, type string, justification string")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def detect_dictionary(chunks: DataFrame, terms: DataFrame, round_: int | None = None, pos_offset: int = 0,
