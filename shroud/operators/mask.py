@@ -35,6 +35,11 @@ RANGE_TYPE = "array<struct<s:int,e:int>>"
 # --- per-document item lists ---------------------------------------------------
 
 
+def mask_key(c: Column, case_insensitive: bool = False) -> Column:
+    """What masking compares: the folded text, lower-cased too when masking ignores case (Q9 option)."""
+    return F.lower(fold(c)) if case_insensitive else fold(c)
+
+
 def doc_items(detections: DataFrame) -> DataFrame:
     """Distinct item texts per document with their folded form: ``doc_id, text, fi, li``."""
     return (
@@ -73,7 +78,7 @@ def split_by_item_count(items: DataFrame, max_inline_items: int, key: str = "fi"
 # --- in-row matching (bounded item lists) -----------------------------------------
 
 
-def match_ranges_col(content: Column, ft: Column, items: Column) -> Column:
+def match_ranges_col(content: Column, ft: Column, items: Column, case_insensitive: bool = False) -> Column:
     """M5: 0-based [s, e) ranges of every occurrence of every item in ``content``.
 
     ``ft`` must be a column holding ``fold(content)`` computed beforehand: it is
@@ -86,7 +91,8 @@ def match_ranges_col(content: Column, ft: Column, items: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(ft) - lf + 1, F.lit(1)))
         hits = F.filter(
             starts,
-            lambda p: (F.substring(ft, p, lf) == i["fi"]) & (fold(F.substring(content, p, i["li"])) == i["fi"]),
+            lambda p: (F.substring(ft, p, lf) == i["fi"])
+            & (mask_key(F.substring(content, p, i["li"]), case_insensitive) == i["fi"]),
         )
         found = F.transform(hits, lambda p: F.struct((p - 1).alias("s"), (p - 1 + i["li"]).alias("e")))
         return F.when(F.instr(ft, i["fi"]) > 0, found).otherwise(F.array().cast(RANGE_TYPE))
@@ -198,18 +204,26 @@ def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column)
 
 
 def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
-                     q: int = DEFAULT_Q) -> DataFrame:
-    """M3+M5: ``doc_id, chunk_index, content, ranges`` for chunks of documents with items."""
+                     q: int = DEFAULT_Q, case_insensitive: bool = False) -> DataFrame:
+    """M3+M5: ``doc_id, chunk_index, content, ranges`` for chunks of documents with items.
+
+    ``items`` holds ``doc_id, text`` (e.g. :func:`doc_items`); the comparison
+    keys are derived here so they always match ``case_insensitive``.
+    """
+    items = (items.select("doc_id", "text", mask_key(F.col("text"), case_insensitive).alias("fi"),
+                          F.length("text").alias("li"))
+             .where(F.length("fi") > 0))
     arrays, heavy_items, heavy_ids = split_by_item_count(items, max_inline_items)
-    light = _keyed_chunks(chunks, arrays, "_ft", fold(F.col("content"))).select(
+    light = _keyed_chunks(chunks, arrays, "_ft", mask_key(F.col("content"), case_insensitive)).select(
         "doc_id", "chunk_index", "content",
-        match_ranges_col(F.col("content"), F.col("_ft"), F.col("items")).alias("ranges"),
+        match_ranges_col(F.col("content"), F.col("_ft"), F.col("items"), case_insensitive).alias("ranges"),
     )
     if heavy_ids is None:
         return light
-    heavy_chunks = _with_fold(chunks.join(heavy_ids, "doc_id", "left_semi"))
+    heavy_chunks = chunks.join(heavy_ids, "doc_id", "left_semi") \
+        .withColumn("_ft", mask_key(F.col("content"), case_insensitive))
     hits = qgram_candidates(heavy_chunks, "_ft", heavy_items, "fi", q).where(
-        fold(F.substring(F.col("content"), F.col("p"), F.col("li"))) == F.col("fi")
+        mask_key(F.substring(F.col("content"), F.col("p"), F.col("li")), case_insensitive) == F.col("fi")
     )
     heavy_ranges = hits.groupBy("doc_id", "chunk_index").agg(
         F.collect_list(F.struct((F.col("p") - 1).alias("s"), (F.col("p") - 1 + F.col("li")).alias("e"))).alias("ranges")
@@ -241,21 +255,21 @@ def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int
 
 
 def mask_chunks(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
-                q: int = DEFAULT_Q) -> DataFrame:
+                q: int = DEFAULT_Q, case_insensitive: bool = False) -> DataFrame:
     """M5-M8: masked text of every chunk of a document that has items.
 
     Returns ``doc_id, chunk_index, content``; chunks without an occurrence
     come back unchanged (:func:`write_back` flags the changed ones). No
     filter on the ranges here: it would be evaluated as well as projected.
     """
-    r = ranges_per_chunk(chunks, items, max_inline_items, q)
+    r = ranges_per_chunk(chunks, items, max_inline_items, q, case_insensitive)
     return r.select(
         "doc_id", "chunk_index", apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("content")
     )
 
 
 def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
-                   q: int = DEFAULT_Q) -> DataFrame:
+                   q: int = DEFAULT_Q, case_insensitive: bool = False) -> DataFrame:
     """M5-M9 as one co-partitioned step: every chunk, masked where its document's items occur.
 
     Equal to ``write_back(chunks, mask_chunks(chunks, items))`` but keyed on
@@ -266,7 +280,7 @@ def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int =
     Adds ``changed``.
     """
     base = chunks.select("doc_id", "chunk_index", "content")
-    r = ranges_per_chunk(base, items, max_inline_items, q)
+    r = ranges_per_chunk(base, items, max_inline_items, q, case_insensitive)
     masked = r.select(
         "doc_id", "chunk_index", "content",
         apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("_masked"),

@@ -74,13 +74,14 @@ class RoundsResult:
 
 def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, reprompt: bool = True,
                 max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS, reexamine: str = "masked",
-                checkpoint: bool = True) -> RoundsResult:
+                checkpoint: bool = True, mask_ignore_case: bool = False) -> RoundsResult:
     """L1-L3: detect, then (while rounds remain) mask and detect again.
 
     Round 0 examines every non-blank chunk. Later rounds examine the chunks
     the last masking changed (``reexamine='masked'``) or all chunks
     (``'all'``). The loop stops early when a round finds nothing. Items of
-    all rounds so far mask every chunk of their document.
+    all rounds so far mask every chunk of their document, case-sensitively as
+    the reference does unless ``mask_ignore_case``.
 
     With ``checkpoint`` each round's chunks and detections are written as
     tables bucketed by ``doc_id`` in the checkpoint folder: lineage is cut
@@ -110,7 +111,8 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
         all_dets = dets if all_dets is None else all_dets.unionByName(dets)
         if n == 0 or r == max_rounds - 1:
             break
-        current = materialize(mask_documents(current, doc_items(all_dets), max_inline_items), prefix="chunks")
+        current = materialize(mask_documents(current, doc_items(all_dets), max_inline_items,
+                                             case_insensitive=mask_ignore_case), prefix="chunks")
     return RoundsResult(all_dets, current, rounds_run, per_round)
 
 
