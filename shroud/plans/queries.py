@@ -19,11 +19,10 @@ from shroud.functions.fold import casefold, fold
 from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN, ITEM_FIELDS, fenced, parse_items, strip_fence
 from shroud.functions.text import clean_text
 from shroud.operators.chunk import chunk_documents, examinable
-from shroud.operators.detect import (DEFAULT_RULES, DETECTION_COLS, detect_dictionary, detect_rules, detect_with,
+from shroud.operators.detect import (DEFAULT_RULES, detect_dictionary, detect_rules, detect_with,
                                      render_prompt, terms_table, with_checks)
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
-from shroud.operators.mask import (chunks_with_items, doc_items, mask_chunks, mask_documents, merge_ranges_col, ranges_per_chunk,
-                                   write_back)
+from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
 from shroud.operators.partitioning import by_doc, save_by_doc, spread
 from shroud.plans.pipeline import scan_rounds, rules_detector, run_pipeline
 from shroud.session import ensure_checkpoint_dir

@@ -13,7 +13,7 @@ from __future__ import annotations
 from shroud.functions import text as tx
 from shroud.functions.fold import casefold_tables, fold_tables
 from shroud.operators.chunk import DEFAULT_OVERLAP, DEFAULT_SIZE
-from shroud.operators.detect import DEFAULT_RULES, PROMPT_TEMPLATE, Rule
+from shroud.operators.detect import DEFAULT_RULES, PROMPT_TEMPLATE
 
 NL = "chr(10)"
 

@@ -26,6 +26,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # whole documents go to the recursive splitter: keep Arrow batches modest
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", os.environ.get("SHROUD_ARROW_BATCH", "2000"))
         .config("spark.driver.memory", os.environ.get("SHROUD_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
