@@ -356,3 +356,11 @@ def q_detect_dictionary_phrases(spark, sf_dir):
 
 
 QUERIES["detect_dictionary_phrases"] = q_detect_dictionary_phrases
+
+
+def q_pipeline_fixed(spark, sf_dir):
+    """The full pipeline (clean, chunk, two rounds, findings) with the fixed-window chunker."""
+    return run_pipeline(table(spark, sf_dir, "documents"), chunker="fixed")
+
+
+QUERIES["pipeline_fixed"] = q_pipeline_fixed
