@@ -204,6 +204,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'items', count(*) FROM ({r0}) c
             UNION ALL SELECT 'unique_items', count(*) FROM ({S.findings(r0)}) d""",
         "findings": S.findings(two),
+        "pipeline_pages": S.findings(S.two_rounds(S.chunk_rows("pages", "page_id", S.clean("html")))),
         "pipeline_fixed": S.findings(S.two_rounds(S.chunk_rows("documents", "doc_id", S.clean("text")))),
         "model_detect": S.detections(chunks, 0, DEFAULT_RULES[:1]),
         "file_mime": f"SELECT path, {_ext('path')} AS ext, {_mime('path', 'content')} AS mime FROM ({_corpus_paths()}) p",

@@ -364,3 +364,12 @@ def q_pipeline_fixed(spark, sf_dir):
 
 
 QUERIES["pipeline_fixed"] = q_pipeline_fixed
+
+
+def q_pipeline_pages(spark, sf_dir):
+    """The full pipeline over raw web pages: markup cleaning, fixed chunks, two rounds, findings."""
+    pages = spread(table(spark, sf_dir, "pages"))
+    return run_pipeline(pages, id_col="page_id", text_col="html", chunker="fixed")
+
+
+QUERIES["pipeline_pages"] = q_pipeline_pages
