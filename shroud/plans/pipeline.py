@@ -30,7 +30,7 @@ from shroud.operators.detect import DETECTION_COLS, POS_STRIDE, DEFAULT_RULES, R
 from shroud.operators.findings import findings
 from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_documents
 from shroud.operators.metrics import observed
-from shroud.operators.partitioning import by_doc, save_by_doc
+from shroud.operators.partitioning import by_doc, doc_partitions, save_by_doc
 
 Detector = Callable[[DataFrame, int], DataFrame]
 
@@ -92,7 +92,15 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
         raise ValueError("max_rounds must be at least 1")
     if not reprompt:
         max_rounds = 1
-    materialize = save_by_doc if checkpoint else (lambda df, **_: df.persist(StorageLevel.MEMORY_AND_DISK))
+    # One bucket count for every round table, so they stay co-partitioned
+    # with each other (a union reports the sum of its inputs' partitions).
+    buckets = doc_partitions(chunks)
+    if checkpoint:
+        def materialize(df: DataFrame, prefix: str) -> DataFrame:
+            return save_by_doc(df, buckets=buckets, prefix=prefix)
+    else:
+        def materialize(df: DataFrame, prefix: str) -> DataFrame:
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
     current = materialize(chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed")),
                           prefix="chunks")
     all_dets = None
