@@ -302,16 +302,21 @@ def render_prompt(content: Column, template: str = PROMPT_TEMPLATE) -> Column:
     return F.replace(F.lit(template), F.lit("{text}"), content)
 
 
-def detect_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series], round_: int | None = None,
-                require_fence: bool = True, use_prompt: bool = False, rebalance: int | None = None,
-                pos_offset: int = 0) -> DataFrame:
+def detect_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series] | None = None,
+                round_: int | None = None, require_fence: bool = True, use_prompt: bool = False,
+                rebalance: int | None = None, pos_offset: int = 0,
+                setup: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
     """D3: items from a caller's function of chunk text -> raw answer text.
 
     ``answer`` receives a pandas Series of texts (one Arrow batch) and returns
-    a Series of answers. Answers go through the fence and JSON gates; a bad
-    answer gives no items. ``rebalance`` spreads chunks over that many
-    partitions first, worth it when the function is costly per chunk.
+    a Series of answers. Alternatively ``setup`` is called once per task to
+    build that function (open a client or load a model once, not per batch).
+    Answers go through the fence and JSON gates; a bad answer gives no items.
+    ``rebalance`` spreads chunks over that many partitions first, worth it
+    when the function is costly per chunk.
     """
+    if (answer is None) == (setup is None):
+        raise ValueError("give exactly one of answer or setup")
     ship_package(chunks.sparkSession)
     src = chunks.select("doc_id", "chunk_index", _round_col(chunks, round_).cast("int").alias("round"),
                         (render_prompt(F.col("content")) if use_prompt else F.col("content")).alias("content"))
@@ -319,9 +324,12 @@ def detect_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series], rou
         src = src.repartition(rebalance, "doc_id", "chunk_index")
 
     def run(batches):
+        fn = answer if setup is None else None
         for pdf in batches:
+            if fn is None:
+                fn = setup()
             out = pdf[["doc_id", "chunk_index", "round"]].copy()
-            out["answer"] = answer(pdf["content"]).astype(object).values if len(pdf) else []
+            out["answer"] = fn(pdf["content"]).astype(object).values if len(pdf) else []
             yield out
 
     answered = src.mapInPandas(run, "doc_id string, chunk_index int, round int, answer string")

@@ -130,3 +130,17 @@ def test_dictionary_phrase_at_chunk_end(spark):
     chunks = spark.createDataFrame([("d", 0, "ends with John"), ("d", 1, "John")], "doc_id string, chunk_index int, content string")
     terms = terms_table(spark, [("John Doe", "name", "direct", "listed")])
     assert detect_dictionary(chunks, terms, round_=0).count() == 0
+
+
+def test_detect_with_setup_once_per_task(spark):
+    def setup():
+        import os
+
+        pid = os.getpid()
+        return lambda texts: texts.map(lambda t: "```json\n" + json.dumps(
+            [{"text": w, "category": "word", "type": "indirect", "justification": str(pid)} for w in t.split()[:1]]) + "\n```")
+
+    chunks = spark.createDataFrame([("a", i, f"w{i} x") for i in range(20)], "doc_id string, chunk_index int, content string").coalesce(1)
+    rows = detect_with(chunks, setup=setup, round_=0).collect()
+    assert sorted(r.text for r in rows) == sorted(f"w{i}" for i in range(20))
+    assert len({r.justification for r in rows}) == 1  # one handle for the task
