@@ -19,7 +19,7 @@ from shroud.plans.queries import QUERIES  # noqa: E402
 from shroud.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "pipeline",
+    "scan_documents",
     "load_documents",
     "clean_pages",
     "chunk_recursive",
@@ -41,7 +41,7 @@ def main() -> None:
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     t0 = time.perf_counter()
     if os.path.isdir(warm_dir):
-        QUERIES["pipeline"](spark, warm_dir).write.format("noop").mode("overwrite").save()
+        QUERIES["scan_documents"](spark, warm_dir).write.format("noop").mode("overwrite").save()
     warmup = round(time.perf_counter() - t0, 3)
     times: dict[str, float] = {}
     for name in names:

@@ -1,6 +1,6 @@
 """DuckDB oracle statements, one per SQL-expressible registered query.
 
-Queries left out (rows-only check): ``chunk_recursive`` and ``pipeline``
+Queries left out (rows-only check): ``chunk_recursive`` and ``scan_documents``
 (the recursive splitter is a sequential walk per document, not relational)
 and ``file_listing`` (its input is a directory Spark writes at run time).
 """
@@ -204,8 +204,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'items', count(*) FROM ({r0}) c
             UNION ALL SELECT 'unique_items', count(*) FROM ({S.findings(r0)}) d""",
         "findings": S.findings(two),
-        "pipeline_pages": S.findings(S.two_rounds(S.chunk_rows("pages", "page_id", S.clean("html")))),
-        "pipeline_fixed": S.findings(S.two_rounds(S.chunk_rows("documents", "doc_id", S.clean("text")))),
+        "scan_pages": S.findings(S.two_rounds(S.chunk_rows("pages", "page_id", S.clean("html")))),
+        "scan_documents_fixed": S.findings(S.two_rounds(S.chunk_rows("documents", "doc_id", S.clean("text")))),
         "model_detect": S.detections(chunks, 0, DEFAULT_RULES[:1]),
         "file_mime": f"SELECT path, {_ext('path')} AS ext, {_mime('path', 'content')} AS mime FROM ({_corpus_paths()}) p",
         "file_ids": f"""SELECT path, length, CAST(row_number() OVER (ORDER BY length, path) - 1 AS VARCHAR) AS file_id

@@ -24,7 +24,7 @@ from shroud.operators.detect import (DEFAULT_RULES, detect_dictionary, detect_ru
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
 from shroud.operators.partitioning import by_doc, save_by_doc, spread
-from shroud.plans.pipeline import scan_rounds, rules_detector, run_pipeline
+from shroud.plans.scan import scan_rounds, rules_detector, find_items
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources.envelope import documents_as_envelopes, from_envelope
 from shroud.sources.files import extract_documents, files_to_envelopes, list_files, mime_type, consecutive_ids, extension
@@ -264,9 +264,9 @@ def q_file_listing(spark, sf_dir):
     return docs_out.select("id", "name", "type", F.length("content").alias("n_chars"))
 
 
-def q_pipeline(spark, sf_dir):
+def q_scan_documents(spark, sf_dir):
     """Flagship: documents -> clean -> recursive chunks -> rules, two rounds -> findings."""
-    return run_pipeline(table(spark, sf_dir, "documents"))
+    return find_items(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
@@ -295,7 +295,7 @@ QUERIES: dict[str, Query] = {
     "file_mime": q_file_mime,
     "file_ids": q_file_ids,
     "file_listing": q_file_listing,
-    "pipeline": q_pipeline,
+    "scan_documents": q_scan_documents,
 }
 
 
@@ -358,18 +358,18 @@ def q_detect_dictionary_phrases(spark, sf_dir):
 QUERIES["detect_dictionary_phrases"] = q_detect_dictionary_phrases
 
 
-def q_pipeline_fixed(spark, sf_dir):
-    """The full pipeline (clean, chunk, two rounds, findings) with the fixed-window chunker."""
-    return run_pipeline(table(spark, sf_dir, "documents"), chunker="fixed")
+def q_scan_documents_fixed(spark, sf_dir):
+    """End to end (clean, chunk, two rounds, findings) with the fixed-window chunker."""
+    return find_items(table(spark, sf_dir, "documents"), chunker="fixed")
 
 
-QUERIES["pipeline_fixed"] = q_pipeline_fixed
+QUERIES["scan_documents_fixed"] = q_scan_documents_fixed
 
 
-def q_pipeline_pages(spark, sf_dir):
-    """The full pipeline over raw web pages: markup cleaning, fixed chunks, two rounds, findings."""
+def q_scan_pages(spark, sf_dir):
+    """End to end over raw web pages: markup cleaning, fixed chunks, two rounds, findings."""
     pages = spread(table(spark, sf_dir, "pages"))
-    return run_pipeline(pages, id_col="page_id", text_col="html", chunker="fixed")
+    return find_items(pages, id_col="page_id", text_col="html", chunker="fixed")
 
 
-QUERIES["pipeline_pages"] = q_pipeline_pages
+QUERIES["scan_pages"] = q_scan_pages

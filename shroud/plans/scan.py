@@ -136,7 +136,7 @@ def detect_documents(docs: DataFrame, detector: Detector | None = None, size: in
                      overlap: int = DEFAULT_OVERLAP, chunker: str = "recursive", max_rounds: int = 2,
                      reprompt: bool = True, id_col: str = "doc_id", text_col: str = "text",
                      clean: bool = True, checkpoint: bool = True) -> RoundsResult:
-    """Documents -> detections of all rounds (the whole map-reduce pipeline before post-processing)."""
+    """Documents -> detections of all rounds (everything before post-processing)."""
     prepared, docs_obs = observed(prepare_documents(docs, id_col, text_col, clean), "documents")
     chunks, chunks_obs = observed(chunk_documents(prepared, size, overlap, method=chunker), "chunks")
     result = scan_rounds(chunks, detector or rules_detector(), max_rounds, reprompt, checkpoint=checkpoint)
@@ -144,6 +144,6 @@ def detect_documents(docs: DataFrame, detector: Detector | None = None, size: in
     return result
 
 
-def run_pipeline(docs: DataFrame, **kwargs) -> DataFrame:
+def find_items(docs: DataFrame, **kwargs) -> DataFrame:
     """Documents -> findings rows (``id, round, chunk_index, item_pos, text, category, type, justification``)."""
     return findings(detect_documents(docs, **kwargs).detections)

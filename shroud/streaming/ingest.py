@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shroud.operators.findings import findings
-from shroud.plans.pipeline import detect_documents
+from shroud.plans.scan import detect_documents
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources.envelope import ENVELOPE_ROW, from_envelope
 
@@ -34,11 +34,11 @@ def envelope_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
     return reader.json(source_dir)
 
 
-def process_batch(batch: DataFrame, batch_id: int, output_dir: str, **pipeline) -> None:
+def process_batch(batch: DataFrame, batch_id: int, output_dir: str, **options) -> None:
     """One micro-batch: envelopes -> findings and rejects under ``batch_id=<n>``."""
     docs, rejects = from_envelope(batch, unique_ids=True)
     prepared = docs.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
-    result = detect_documents(prepared, clean=False, **pipeline)
+    result = detect_documents(prepared, clean=False, **options)
     out = findings(result.detections).withColumn("batch_id", F.lit(batch_id))
     out.write.mode("overwrite").parquet(os.path.join(output_dir, "findings", f"batch_id={batch_id}"))
     docs.select("id").distinct().write.mode("overwrite").parquet(
@@ -48,12 +48,12 @@ def process_batch(batch: DataFrame, batch_id: int, output_dir: str, **pipeline)
 
 def detect_stream(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str | None = None,
                   available_now: bool = False, processing_time: str | None = None,
-                  max_files_per_trigger: int | None = None, **pipeline) -> StreamingQuery:
-    """Start the streaming detection query. ``pipeline`` goes to :func:`detect_documents`."""
+                  max_files_per_trigger: int | None = None, **options) -> StreamingQuery:
+    """Start the streaming detection query. ``options`` go to :func:`detect_documents`."""
     checkpoint_dir = checkpoint_dir or os.path.join(ensure_checkpoint_dir(spark), "detect-stream")
     writer = (
         envelope_stream(spark, source_dir, max_files_per_trigger)
-        .writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, output_dir, **pipeline))
+        .writeStream.foreachBatch(lambda df, bid: process_batch(df, bid, output_dir, **options))
         .option("checkpointLocation", checkpoint_dir)
     )
     if available_now:

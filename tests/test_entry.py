@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"chunk_recursive", "file_listing", "pipeline"}
+ROWS_ONLY = {"chunk_recursive", "file_listing", "scan_documents"}
 
 
 def test_entry_runs(spark):

@@ -17,7 +17,7 @@ def test_no_cartesian_products(spark):
 def test_round_masking_moves_no_text(spark):
     """With sort-merge joins forced (as at scale), no exchange sits on the chunk table."""
     from shroud.operators.mask import doc_items, mask_documents
-    from shroud.plans.pipeline import detect_documents
+    from shroud.plans.scan import detect_documents
 
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     res = detect_documents(docs, chunker="fixed")

@@ -1,4 +1,4 @@
-"""End-to-end pipeline: rounds, stage counts (P5) and the sink."""
+"""End-to-end detection: rounds, stage counts (P5) and the sink."""
 
 import json
 import os
@@ -6,7 +6,7 @@ import tempfile
 
 from conftest import SF_SMALL
 from shroud.operators.findings import write_findings
-from shroud.plans.pipeline import combined_detector, detect_documents, dictionary_detector, rules_detector
+from shroud.plans.scan import combined_detector, detect_documents, dictionary_detector, rules_detector
 from shroud.operators.detect import terms_table
 
 

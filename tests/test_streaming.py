@@ -1,4 +1,4 @@
-"""Streaming front end: findings per micro-batch equal the batch pipeline's."""
+"""Streaming front end: findings per micro-batch equal the batch run's."""
 
 import os
 import tempfile
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from shroud.operators.findings import findings
-from shroud.plans.pipeline import detect_documents
+from shroud.plans.scan import detect_documents
 from shroud.sources.envelope import documents_as_envelopes
 from shroud.streaming.ingest import detect_stream
 
