@@ -149,9 +149,12 @@ def chunk_documents(
         pieces = F.filter(F.transform(pieces, tidy_chunk), lambda x: x != "")
     whole = F.array(text)
     chunks = F.when(F.length(text) < size, whole).otherwise(pieces)
+    # Null or empty texts are dropped after the explode, not before: a filter
+    # on the text would be pushed below the projection that computes it (for
+    # instance cleaning) and evaluate that expression again.
     return (
-        docs.where(text.isNotNull() & (F.length(text) > 0))
-        .select(F.col(id_col).alias("doc_id"), F.posexplode(chunks).alias("chunk_index", "content"))
+        docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.coalesce(chunks, F.array())).alias("chunk_index", "content"))
+        .where(F.col("content").isNotNull() & (F.length("content") > 0))
     )
 
 
