@@ -118,3 +118,14 @@ def test_named_files_missing_abort(spark):
     d = _corpus()
     with pytest.raises(ValueError):
         load_directory(spark, d, names=["nope.txt"])
+
+
+def test_consecutive_ids_across_partitions(spark):
+    from shroud.sources.files import consecutive_ids
+
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("g")).repartition(7)
+    out = consecutive_ids(df, [F.col("g"), F.col("k")], name="pos", start=1).collect()
+    got = sorted((r.pos, r.g, r.k) for r in out)
+    want = sorted(((r.g, r.k) for r in df.collect()))
+    assert [p for p, _, _ in got] == list(range(1, 5001))
+    assert [(g, k) for _, g, k in got] == want
