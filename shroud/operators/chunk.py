@@ -130,11 +130,17 @@ def chunk_documents(
     text_col: str = "content",
     tidy: bool = True,
     separators=DEFAULT_SEPARATORS,
+    group_size: int | None = None,
 ) -> DataFrame:
     """Documents -> ``(doc_id, chunk_index, content)`` rows (K1-K5).
 
     ``chunk_index`` is the 0-based position among the document's chunks and
     stays stable across masking rounds. Null or empty texts give no chunk.
+
+    With ``group_size`` a column ``grp`` is added: 0 for documents with at
+    most that many chunks, ``chunk_index // group_size`` for longer ones, so
+    that ``(doc_id, grp)`` keys work units of bounded size even when one
+    document holds a large share of all chunks.
     """
     validate_chunk_params(size, overlap)
     text = F.col(text_col)
@@ -152,10 +158,13 @@ def chunk_documents(
     # Null or empty texts are dropped after the explode, not before: a filter
     # on the text would be pushed below the projection that computes it (for
     # instance cleaning) and evaluate that expression again.
-    return (
-        docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.coalesce(chunks, F.array())).alias("chunk_index", "content"))
-        .where(F.col("content").isNotNull() & (F.length("content") > 0))
-    )
+    arrays = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(chunks, F.array()).alias("_chunks"))
+    out = arrays.select("doc_id", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("chunk_index", "content"))
+    out = out.where(F.col("content").isNotNull() & (F.length("content") > 0))
+    if group_size:
+        grp = F.when(F.col("_n") > group_size, F.floor(F.col("chunk_index") / group_size)).otherwise(0)
+        out = out.withColumn("grp", grp.cast("int"))
+    return out.drop("_n")
 
 
 def examinable(chunks: DataFrame) -> DataFrame:

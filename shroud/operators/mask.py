@@ -191,6 +191,23 @@ def _with_fold(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_ft", fold(F.col("content")))
 
 
+def _part(chunks: DataFrame) -> list[str]:
+    """Work-unit key of a chunk table: ``doc_id``, or ``(doc_id, grp)`` when long documents are split."""
+    return ["doc_id", "grp"] if "grp" in chunks.columns else ["doc_id"]
+
+
+def _per_part(chunks: DataFrame, by_doc_table: DataFrame) -> DataFrame:
+    """Re-key a per-document table to the chunk table's work units (one copy per chunk group).
+
+    The group list is a distinct over the chunk table's own key, so it needs
+    no exchange of the text; the per-document table is small.
+    """
+    if _part(chunks) == ["doc_id"]:
+        return by_doc_table
+    groups = chunks.select("doc_id", "grp").distinct()
+    return groups.join(by_doc_table, "doc_id")
+
+
 def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column) -> DataFrame:
     """Chunks of documents that have items, with ``key`` (e.g. the folded text) as column ``name``.
 
@@ -199,8 +216,10 @@ def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column)
     so the optimizer cannot substitute the expression back into a per-position
     lambda (which would fold the chunk once per position).
     """
-    ids = arrays.select("doc_id")
-    return chunks.join(ids, "doc_id", "left_semi").withColumn(name, key).join(arrays, "doc_id")
+    part = _part(chunks)
+    arrays = _per_part(chunks, arrays)
+    ids = arrays.select(*part)
+    return chunks.join(ids, part, "left_semi").withColumn(name, key).join(arrays, part)
 
 
 def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
@@ -214,13 +233,14 @@ def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int
                           F.length("text").alias("li"))
              .where(F.length("fi") > 0))
     arrays, heavy_items, heavy_ids = split_by_item_count(items, max_inline_items)
+    part = _part(chunks)
     light = _keyed_chunks(chunks, arrays, "_ft", mask_key(F.col("content"), case_insensitive)).select(
-        "doc_id", "chunk_index", "content",
+        *part, "chunk_index", "content",
         match_ranges_col(F.col("content"), F.col("_ft"), F.col("items"), case_insensitive).alias("ranges"),
     )
     if heavy_ids is None:
         return light
-    heavy_chunks = chunks.join(heavy_ids, "doc_id", "left_semi") \
+    heavy_chunks = chunks.join(_per_part(chunks, heavy_ids), part, "left_semi") \
         .withColumn("_ft", mask_key(F.col("content"), case_insensitive))
     hits = qgram_candidates(heavy_chunks, "_ft", heavy_items, "fi", q).where(
         mask_key(F.substring(F.col("content"), F.col("p"), F.col("li")), case_insensitive) == F.col("fi")
@@ -229,7 +249,7 @@ def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int
         F.collect_list(F.struct((F.col("p") - 1).alias("s"), (F.col("p") - 1 + F.col("li")).alias("e"))).alias("ranges")
     )
     heavy = heavy_chunks.drop("_ft").join(heavy_ranges, ["doc_id", "chunk_index"], "left").select(
-        "doc_id", "chunk_index", "content", F.coalesce(F.col("ranges"), F.array().cast(RANGE_TYPE)).alias("ranges")
+        *part, "chunk_index", "content", F.coalesce(F.col("ranges"), F.array().cast(RANGE_TYPE)).alias("ranges")
     )
     return light.unionByName(heavy)
 
@@ -247,7 +267,7 @@ def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int
     )
     if heavy_ids is None:
         return light
-    heavy_chunks = chunks.join(heavy_ids, "doc_id", "left_semi").where(F.length("content") > 0) \
+    heavy_chunks = chunks.join(_per_part(chunks, heavy_ids), _part(chunks), "left_semi").where(F.length("content") > 0) \
         .withColumn("_tk", match_key(F.col("content"), case_insensitive, normalize))
     hit_ids = qgram_candidates(heavy_chunks, "_tk", heavy_items, "k", q).select("doc_id", "chunk_index").distinct()
     heavy = heavy_chunks.drop("_tk").join(hit_ids, ["doc_id", "chunk_index"], "left_semi")
@@ -279,15 +299,16 @@ def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int =
     moves the text again (a join on ``(doc_id, chunk_index)`` would).
     Adds ``changed``.
     """
-    base = chunks.select("doc_id", "chunk_index", "content")
+    part = _part(chunks)
+    base = chunks.select(*part, "chunk_index", "content")
     r = ranges_per_chunk(base, items, max_inline_items, q, case_insensitive)
     masked = r.select(
-        "doc_id", "chunk_index", "content",
+        *part, "chunk_index", "content",
         apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("_masked"),
-    ).select("doc_id", "chunk_index", F.col("_masked").alias("content"),
+    ).select(*part, "chunk_index", F.col("_masked").alias("content"),
              (F.col("_masked") != F.col("content")).alias("changed"))
-    ids = items.select("doc_id").distinct()
-    untouched = base.join(ids, "doc_id", "left_anti").withColumn("changed", F.lit(False))
+    ids = _per_part(base, items.select("doc_id").distinct()).select(*part)
+    untouched = base.join(ids, part, "left_anti").withColumn("changed", F.lit(False))
     return untouched.unionByName(masked)
 
 

@@ -38,7 +38,25 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
-def save_by_doc(df: DataFrame, key: str = "doc_id", buckets: int | None = None, prefix: str = "shroud") -> DataFrame:
+def _table_path(df: DataFrame, prefix: str) -> tuple[str, str]:
+    import os
+    import uuid
+
+    from shroud.session import ensure_checkpoint_dir
+
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    return name, os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", name)
+
+
+def save_table(df: DataFrame, prefix: str = "shroud") -> DataFrame:
+    """Write ``df`` as plain parquet in the shared checkpoint folder and read it back (cuts lineage)."""
+    _, path = _table_path(df, prefix)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def save_by_doc(df: DataFrame, key: str | list[str] = "doc_id", buckets: int | None = None,
+                prefix: str = "shroud") -> DataFrame:
     """Write ``df`` as a table bucketed by ``key`` in the shared checkpoint folder and read it back.
 
     This cuts the lineage like ``checkpoint()`` (reliable storage, survives
@@ -47,14 +65,8 @@ def save_by_doc(df: DataFrame, key: str = "doc_id", buckets: int | None = None,
     partitions need no exchange. Input already partitioned by ``key`` into
     ``buckets`` partitions writes one file per bucket.
     """
-    import os
-    import uuid
-
-    from shroud.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
     n = buckets or doc_partitions(df)
-    name = f"{prefix}_{uuid.uuid4().hex}"
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", name)
-    df.write.bucketBy(n, key).mode("overwrite").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    name, path = _table_path(df, prefix)
+    df.write.bucketBy(n, *keys).mode("overwrite").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)

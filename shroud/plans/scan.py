@@ -30,10 +30,13 @@ from shroud.operators.detect import DETECTION_COLS, POS_STRIDE, DEFAULT_RULES, R
 from shroud.operators.findings import findings
 from shroud.operators.mask import DEFAULT_MAX_INLINE_ITEMS, doc_items, mask_documents
 from shroud.operators.metrics import observed
-from shroud.operators.partitioning import by_doc, doc_partitions, save_by_doc
+from shroud.operators.partitioning import by_doc, doc_partitions, save_by_doc, save_table, spread
 
 Detector = Callable[[DataFrame, int], DataFrame]
 
+# Chunks per work unit of a long document (about 1 MB of text at 1,024 characters a chunk).
+DEFAULT_GROUP_CHUNKS = 1024
+
 
 def rules_detector(rules: Sequence[Rule] = DEFAULT_RULES) -> Detector:
     return lambda chunks, r: detect_rules(chunks, rules, round_=r)
@@ -92,17 +95,26 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
         raise ValueError("max_rounds must be at least 1")
     if not reprompt:
         max_rounds = 1
-    # One bucket count for every round table, so they stay co-partitioned
-    # with each other (a union reports the sum of its inputs' partitions).
+    # Work units: (doc_id, grp) when long documents are split into chunk
+    # groups, else doc_id. One bucket count for every round table, so they
+    # stay co-partitioned (a union reports the sum of its inputs' partitions).
+    part = ["doc_id", "grp"] if "grp" in chunks.columns else ["doc_id"]
     buckets = doc_partitions(chunks)
     if checkpoint:
         def materialize(df: DataFrame, prefix: str) -> DataFrame:
-            return save_by_doc(df, buckets=buckets, prefix=prefix)
+            return save_by_doc(df, key=part, buckets=buckets, prefix=prefix)
+
+        def keep(df: DataFrame, prefix: str) -> DataFrame:
+            return save_table(df, prefix=prefix)
     else:
         def materialize(df: DataFrame, prefix: str) -> DataFrame:
             return df.persist(StorageLevel.MEMORY_AND_DISK)
-    current = materialize(chunks.select("doc_id", "chunk_index", "content", F.lit(True).alias("changed")),
-                          prefix="chunks")
+        keep = materialize
+    # The one shuffle of the text: chunks to their work unit.
+    first = chunks.select(*part, "chunk_index", "content", F.lit(True).alias("changed"))
+    if part != ["doc_id"]:
+        first = first.repartition(buckets, *part)
+    current = materialize(first, prefix="chunks")
     all_dets = None
     per_round: list[int] = []
     rounds_run = 0
@@ -111,8 +123,8 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
             examine = examinable(current)
         else:
             examine = examinable(current.where("changed"))
-        dets = materialize(detector(examine.select("doc_id", "chunk_index", "content"), r).select(*DETECTION_COLS),
-                           prefix="detections")
+        dets = keep(detector(examine.select("doc_id", "chunk_index", "content"), r).select(*DETECTION_COLS),
+                    prefix="detections")
         n = dets.count()
         per_round.append(n)
         rounds_run += 1
@@ -125,20 +137,33 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
 
 
 def prepare_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean: bool = True,
-                      partitions: int | None = None) -> DataFrame:
-    """Documents table -> ``doc_id STRING, content STRING`` hash-partitioned by ``doc_id``."""
-    out = by_doc(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("content")),
-                 partitions=partitions)
+                      partitions: int | None = None, partition_by_doc: bool = True) -> DataFrame:
+    """Documents table -> ``doc_id STRING, content STRING``.
+
+    Hash-partitioned by ``doc_id`` (``partition_by_doc``), or left in its scan
+    partitions (rebalanced only when under-split) when the chunks are shuffled
+    to their work units later anyway.
+    """
+    out = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("content"))
+    out = by_doc(out, partitions=partitions) if partition_by_doc else spread(out)
     return out.withColumn("content", clean_text(F.col("content"))) if clean else out
 
 
 def detect_documents(docs: DataFrame, detector: Detector | None = None, size: int = DEFAULT_SIZE,
                      overlap: int = DEFAULT_OVERLAP, chunker: str = "recursive", max_rounds: int = 2,
                      reprompt: bool = True, id_col: str = "doc_id", text_col: str = "text",
-                     clean: bool = True, checkpoint: bool = True) -> RoundsResult:
-    """Documents -> detections of all rounds (everything before post-processing)."""
-    prepared, docs_obs = observed(prepare_documents(docs, id_col, text_col, clean), "documents")
-    chunks, chunks_obs = observed(chunk_documents(prepared, size, overlap, method=chunker), "chunks")
+                     clean: bool = True, checkpoint: bool = True,
+                     group_chunks: int | None = DEFAULT_GROUP_CHUNKS) -> RoundsResult:
+    """Documents -> detections of all rounds (everything before post-processing).
+
+    Documents with more than ``group_chunks`` chunks are split into groups of
+    that many chunks, each its own work unit (a document holding a large share
+    of the data does not land in one task); ``None`` keeps one unit per document.
+    """
+    prepared, docs_obs = observed(
+        prepare_documents(docs, id_col, text_col, clean, partition_by_doc=group_chunks is None), "documents")
+    chunks, chunks_obs = observed(
+        chunk_documents(prepared, size, overlap, method=chunker, group_size=group_chunks), "chunks")
     result = scan_rounds(chunks, detector or rules_detector(), max_rounds, reprompt, checkpoint=checkpoint)
     result.observations = {"documents": docs_obs, "chunks": chunks_obs}
     return result

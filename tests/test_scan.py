@@ -37,3 +37,34 @@ def test_no_items_gives_empty_result_with_schema(spark):
     res = detect_documents(docs)
     assert res.detections.count() == 0 and res.rounds_run == 1
     assert "text" in res.detections.columns
+
+
+def test_chunk_groups_give_same_results(spark):
+    """Long documents split into chunk groups (forced with a tiny group size) change nothing in the results."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    cols = ["doc_id", "chunk_index", "round", "item_pos", "text", "category", "type", "justification"]
+    a = detect_documents(docs, chunker="fixed", group_chunks=None)
+    b = detect_documents(docs, chunker="fixed", group_chunks=2)
+    assert "grp" in b.chunks.columns and b.chunks.where("grp > 0").count() > 0
+    assert sorted(map(tuple, a.detections.select(*cols).collect())) == sorted(map(tuple, b.detections.select(*cols).collect()))
+    ca = {(r.doc_id, r.chunk_index): (r.content, r.changed) for r in a.chunks.collect()}
+    cb = {(r.doc_id, r.chunk_index): (r.content, r.changed) for r in b.chunks.collect()}
+    assert ca == cb
+
+
+def test_chunk_groups_masking_moves_no_text(spark):
+    from shroud.operators.mask import doc_items, mask_documents
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    res = detect_documents(docs, chunker="fixed", group_chunks=2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = mask_documents(res.chunks, doc_items(res.detections))._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    scans = [i for i, l in enumerate(lines) if "FileScan" in l and ".chunks_" in l]
+    assert scans
+    for i in scans:
+        assert not any("Exchange" in l for l in lines[max(0, i - 2):i]), "\n".join(lines[i - 3:i + 1])
