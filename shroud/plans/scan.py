@@ -3,16 +3,17 @@
 ``scan_rounds`` is the loop of the reference's graph (L1-L3) as a bounded
 driver loop over DataFrames: each round detects on the chunks to examine,
 masks every chunk of a document with all items found so far, and writes the
-masked text back. Each round's chunks and detections are written as tables
-bucketed by ``doc_id`` under ``spark.checkpoint.dir`` (reliable storage), so
-lineage does not grow with the number of rounds and a lost executor
-recomputes from the last round, not from the scan.
-
-Partitioning. Documents are hash-partitioned by ``doc_id`` once; chunking is
-narrow, so chunks, detections and per-document item lists all keep that
-partitioning. ``checkpoint()`` and ``persist()`` would forget it (the next
-join would shuffle the text again); the bucketed round tables keep it, so
-the chunk/item joins of every round move no text.
+masked text back. Each round's chunks are written as a table bucketed by
+the work unit and its detections as a plain table, both under
+``spark.checkpoint.dir`` (reliable storage), so lineage does not grow with
+the number of rounds and a lost executor recomputes from the last round, not
+from the scan.
+
+Partitioning. The work unit is ``(doc_id, grp)``: one unit per document, or
+groups of ``group_chunks`` chunks for long documents. Round-0 chunks are
+shuffled once to their unit; ``checkpoint()`` and ``persist()`` would forget
+that partitioning (the next join would shuffle the text again), the bucketed
+round tables keep it, so the chunk/item joins of every round move no text.
 """
 
 from __future__ import annotations
