@@ -176,7 +176,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_pages": f"SELECT page_id, {S.clean('html')} AS content FROM pages",
         "chunk_fixed": _chunks(tidy=False),
         "chunk_tidy": chunks,
-        "chunk_short": f"""SELECT doc_id, count(*) AS n_chunks, sum(length(content)) AS n_chars
+        "chunk_short": f"""SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars
                            FROM ({_chunks(tidy=False)}) c GROUP BY doc_id""",
         "detect_rules": r0,
         "detect_rules_checked": S.detections(chunks, 0, with_checks()),
