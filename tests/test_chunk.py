@@ -66,3 +66,20 @@ def test_recursive_chunks_properties(spark):
 def test_blank_chunks_skipped(spark):
     df = spark.createDataFrame([("a", 0, " \n\t\x1c"), ("a", 1, "x")], "doc_id string, chunk_index int, content string")
     assert [r.chunk_index for r in examinable(df).collect()] == [1]
+
+
+def test_recursive_chunks_equal_plain_python(spark):
+    """Rows-only query chunk_recursive against a brute-force rendering on every sf0.001 document."""
+    import __spark_entry__ as E
+
+    got = {}
+    for r in E.queries()["chunk_recursive"](spark, SF_SMALL).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_index] = r.content
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    want = {}
+    for d, t in texts.items():
+        if not t:
+            continue
+        pieces = [t] if len(t) < 1024 else [re.sub(r"\n+", " ", c.strip()) for c in recursive_split(t, 1024, 128) if c.strip()]
+        want[d] = dict(enumerate(pieces))
+    assert got == want

@@ -68,3 +68,50 @@ def test_chunk_groups_masking_moves_no_text(spark):
     assert scans
     for i in scans:
         assert not any("Exchange" in l for l in lines[max(0, i - 2):i]), "\n".join(lines[i - 3:i + 1])
+
+
+def test_scan_documents_equals_brute_force(spark):
+    """Rows-only flagship query against a plain-Python rendering of the whole flow on sf0.001."""
+    import re
+
+    import __spark_entry__ as E
+    from shroud.operators.chunk import recursive_split
+    from shroud.operators.detect import DEFAULT_RULES
+    from test_clean import python_rules
+    from test_detect import py_rule_matches
+    from test_mask import _py_mask
+
+    def detect(chunks, rnd):
+        out = []
+        for (d, i), c in chunks.items():
+            if not c.strip():
+                continue
+            pos = 0
+            for rule in DEFAULT_RULES:
+                for m in py_rule_matches(rule, c):
+                    out.append((d, rnd, i, pos, m, rule.category, rule.type, rule.justification))
+                    pos += 1
+        return out
+
+    chunks = {}
+    for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect():
+        t = python_rules(r.text)
+        if not t:
+            continue
+        pieces = [t] if len(t) < 1024 else [re.sub(r"\n+", " ", c.strip()) for c in recursive_split(t, 1024, 128) if c.strip()]
+        for i, p in enumerate(pieces):
+            chunks[(str(r.doc_id), i)] = p
+    dets = detect(chunks, 0)
+    items = {}
+    for d, *_rest in dets:
+        items.setdefault(d, set()).add(_rest[3])
+    masked = {k: _py_mask(c, sorted(items.get(k[0], ()))) for k, c in chunks.items()}
+    dets += detect({k: c for k, c in masked.items() if c != chunks[k]}, 1)
+    best = {}
+    for d, rnd, i, pos, text, cat, typ, just in sorted(dets, key=lambda x: (x[0], x[1], x[2], x[3])):
+        if "****" in text:
+            continue
+        best.setdefault((d, f"{text}_{cat}"), (d, rnd, i, pos, text, cat, typ, just))
+    want = sorted(best.values())
+    got = sorted(tuple(r) for r in E.queries()["scan_documents"](spark, SF_SMALL).collect())
+    assert got == want and want
