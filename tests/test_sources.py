@@ -129,3 +129,16 @@ def test_consecutive_ids_across_partitions(spark):
     want = sorted(((r.g, r.k) for r in df.collect()))
     assert [p for p, _, _ in got] == list(range(1, 5001))
     assert [(g, k) for _, g, k in got] == want
+
+
+def test_file_listing_query_against_brute_force(spark):
+    """Rows-only file_listing: one text file per (lang, source), numbered 0.. in path order, all plain text."""
+    import __spark_entry__ as E
+
+    sf = "/root/testdata/sf0.001"
+    rows = E.queries()["file_listing"](spark, sf).collect()
+    groups = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "source").distinct().count()
+    assert len(rows) == groups
+    assert sorted(int(r.id) for r in rows) == list(range(groups))
+    assert {r.type for r in rows} == {"text/plain"}
+    assert all(r.name.endswith(".txt") and r.n_chars > 0 for r in rows)
