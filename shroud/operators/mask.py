@@ -295,7 +295,8 @@ def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int =
     Equal to ``write_back(chunks, mask_chunks(chunks, items))`` but keyed on
     ``doc_id`` only: chunks of documents without items pass through an
     anti-join, chunks of documents with items come out of the item join
-    masked. With chunks and items hash-partitioned by ``doc_id`` neither side
+    masked. With chunks hash-partitioned by their work unit (``doc_id`` or
+    ``(doc_id, grp)``) and joined on that unit, neither side
     moves the text again (a join on ``(doc_id, chunk_index)`` would).
     Adds ``changed``.
     """

@@ -87,10 +87,12 @@ def scan_rounds(chunks: DataFrame, detector: Detector, max_rounds: int = 2, repr
     all rounds so far mask every chunk of their document, case-sensitively as
     the reference does unless ``mask_ignore_case``.
 
-    With ``checkpoint`` each round's chunks and detections are written as
-    tables bucketed by ``doc_id`` in the checkpoint folder: lineage is cut
-    every round, and the tables come back hash-partitioned by ``doc_id`` so
-    the next round's item lists and chunk/item joins move no text.
+    With ``checkpoint`` each round's chunks are written as a table bucketed by
+    the work unit (``doc_id``, or ``(doc_id, grp)`` when chunks carry a group)
+    and its detections as a plain table, in the checkpoint folder: lineage is
+    cut every round, and the chunk tables come back hash-partitioned by the
+    unit, so the next round's chunk/item joins move no text. Without it the
+    tables are only persisted.
     """
     if max_rounds < 1:
         raise ValueError("max_rounds must be at least 1")
