@@ -239,14 +239,22 @@ def files_to_envelopes(extracted: DataFrame) -> DataFrame:
 
 def load_directory(spark: SparkSession, path: str, recursive: bool = False, extensions: Iterable[str] | None = None,
                    max_mb: float | None = None, sort_by: str = "name", names: Iterable[str] | None = None,
-                   extractors: dict[str, Callable[[bytes], str]] | None = None) -> tuple[DataFrame, DataFrame]:
+                   extractors: dict[str, Callable[[bytes], str]] | None = None,
+                   metrics: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """A directory -> (envelopes, rejects).
 
     When ``names`` are given and none of them is found the load stops with an
-    error, as the reference client does (S6).
+    error, as the reference client does (S6). Pass a dict as ``metrics`` to get
+    ``loaded``/``rejected`` counters (``Observation``; read ``.get`` after an
+    action on the returned frames).
     """
     files = list_files(spark, path, recursive, extensions, max_mb, sort_by, names, with_content=True)
     if names and list_files(spark, path, recursive, extensions, max_mb, sort_by, names).limit(1).count() == 0:
         raise ValueError(f"none of the requested files found in {path}")
     ok, rejects = extract_documents(files, extractors)
+    if metrics is not None:
+        from shroud.operators.metrics import observed
+
+        ok, metrics["loaded"] = observed(ok, "loaded")
+        rejects, metrics["rejected"] = observed(rejects, "rejected")
     return files_to_envelopes(ok), rejects

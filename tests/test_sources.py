@@ -94,9 +94,13 @@ def test_extract_and_mime(spark):
 
 def test_load_directory_with_pdf_extractor(spark):
     d = _corpus()
-    env, rejects = load_directory(spark, d, extractors={".pdf": lambda b: b.decode("latin-1")})
+    metrics = {}
+    env, rejects = load_directory(spark, d, extractors={".pdf": lambda b: b.decode("latin-1")}, metrics=metrics)
     docs, _ = from_envelope(env)
     got = {r.name: r.content for r in docs.collect()}
+    n_rejects = rejects.count()
+    assert metrics["loaded"].get["rows"] == len(got)
+    assert metrics["rejected"].get["rows"] == n_rejects == 2  # e.xyz, g.txt
     assert got["d.pdf"] == "%PDF-1.4 fake"
     assert {r.type for r in docs.collect()} >= {"application/pdf", "text/plain"}
 
