@@ -314,17 +314,11 @@ def q_stage_counts(spark, sf_dir):
     return out
 
 
-QUERIES["stage_counts"] = q_stage_counts
-
-
 def q_detect_rules_checked(spark, sf_dir):
     """D1 with the optional validations: Luhn checksum for cards, octets <= 255 for IPs."""
     return detect_rules(fixed_chunks(spark, sf_dir), with_checks(), round_=0)
 
 
-QUERIES["detect_rules_checked"] = q_detect_rules_checked
-
-
 def q_mask_documents_indexed(spark, sf_dir):
     """M5-M9 through the q-gram index join for every document (the path for documents with many items)."""
     chunks, dets = mask_inputs(spark, sf_dir)
@@ -337,10 +331,6 @@ def q_chunks_with_items_indexed(spark, sf_dir):
     return chunks_with_items(chunks, dets, max_inline_items=0)
 
 
-QUERIES["mask_documents_indexed"] = q_mask_documents_indexed
-QUERIES["chunks_with_items_indexed"] = q_chunks_with_items_indexed
-
-
 # Multi-word stand-ins (word sequences that occur in the synthetic prose).
 PHRASE_TERMS = (
     ("Eriner thanea", "name", "direct", "Listed in the name dictionary."),
@@ -355,21 +345,23 @@ def q_detect_dictionary_phrases(spark, sf_dir):
     return detect_dictionary(fixed_chunks(spark, sf_dir), terms_table(spark, PHRASE_TERMS), round_=0)
 
 
-QUERIES["detect_dictionary_phrases"] = q_detect_dictionary_phrases
-
-
 def q_scan_documents_fixed(spark, sf_dir):
     """End to end (clean, chunk, two rounds, findings) with the fixed-window chunker."""
     return find_items(table(spark, sf_dir, "documents"), chunker="fixed")
 
 
-QUERIES["scan_documents_fixed"] = q_scan_documents_fixed
-
-
 def q_scan_pages(spark, sf_dir):
     """End to end over raw web pages: markup cleaning, fixed chunks, two rounds, findings."""
     pages = spread(table(spark, sf_dir, "pages"))
     return find_items(pages, id_col="page_id", text_col="html", chunker="fixed")
 
 
-QUERIES["scan_pages"] = q_scan_pages
+QUERIES.update({
+    "stage_counts": q_stage_counts,
+    "detect_rules_checked": q_detect_rules_checked,
+    "mask_documents_indexed": q_mask_documents_indexed,
+    "chunks_with_items_indexed": q_chunks_with_items_indexed,
+    "detect_dictionary_phrases": q_detect_dictionary_phrases,
+    "scan_documents_fixed": q_scan_documents_fixed,
+    "scan_pages": q_scan_pages,
+})
