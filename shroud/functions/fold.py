@@ -85,7 +85,14 @@ def casefold(c: Column) -> Column:
 
 
 def match_key(c: Column, case_insensitive: bool = True, normalize: bool = True) -> Column:
-    """The comparison form of a text for the existence test (M2)."""
+    """The comparison form of a text for the existence test (M2).
+
+    No ASCII character is in the fold or case-fold tables, so an ASCII-only
+    text skips them: its key is ``lower`` alone (about twice as fast on
+    tokens, same result).
+    """
+    if case_insensitive and normalize:
+        return F.when(c.rlike(r"^[\x00-\x7f]*$"), F.lower(c)).otherwise(casefold(fold(c)))
     if normalize:
         c = fold(c)
     if case_insensitive:
