@@ -58,8 +58,12 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (as ``--py-files`` would).
 
     Needed only by the steps that run Python in tasks (the recursive splitter,
-    caller-supplied detectors, file extractors). Done once per context.
+    caller-supplied detectors, file extractors). The zip is built in memory
+    and written through the Hadoop file system into the shared checkpoint
+    folder, from where Spark distributes it. Done once per context.
     """
+    import hashlib
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -68,12 +72,22 @@ def ship_package(spark: SparkSession) -> None:
     import shroud
 
     root = os.path.dirname(os.path.abspath(shroud.__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="shroud-pkg-"), "shroud.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for dirpath, _, files in os.walk(root):
-            for f in files:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for dirpath, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(target)
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/shroud-{digest}.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
     sc._shroud_shipped = True
