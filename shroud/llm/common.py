@@ -39,3 +39,38 @@ def partitions_for(df: DataFrame) -> int:
 def row_key(*cols: str):
     """A key of a whole row's content; rows that are equal in ``cols`` share it."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in cols])
+
+
+def sorted_groups(batches, keys: list[str]):
+    """(columns, lo, hi) of every run of equal ``keys`` in batches sorted by them.
+
+    A run may span batches; only the last, unfinished run is carried over.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if held is not None and held.num_rows:
+            t = pa.concat_tables([held, t])
+        t = t.combine_chunks()
+        key = [np.asarray(t.column(k)) for k in keys]
+        change = np.zeros(max(t.num_rows - 1, 0), bool)
+        for k in key:
+            change |= k[1:] != k[:-1]
+        cuts = np.flatnonzero(change) + 1
+        if not len(cuts):
+            held = t
+            continue
+        yield from _slices(t.slice(0, int(cuts[-1])), np.concatenate([[0], cuts]))
+        held = t.slice(int(cuts[-1]))
+    if held is not None and held.num_rows:
+        yield from _slices(held, np.array([0, held.num_rows]))
+
+
+def _slices(t, cuts):
+    cols = {n: t.column(n).combine_chunks() for n in t.column_names}
+    cols = {n: c.to_numpy(zero_copy_only=False) if c.type not in ("binary", "string") else c for n, c in cols.items()}
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield cols, int(lo), int(hi)
