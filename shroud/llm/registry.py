@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shroud.llm.common import table
 from shroud.llm.line_dedup import dedup_lines
 from shroud.llm.packing import pack_documents
+from shroud.llm.quality import quality_scores
 
 
 def tokenizer_file() -> str:
@@ -26,9 +27,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {}
