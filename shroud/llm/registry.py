@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shroud.llm import oracle
 from shroud.llm.common import table
 from shroud.llm.jaccard_forest import jaccard_join
 from shroud.llm.line_dedup import dedup_lines
+from shroud.llm.mixing import mix
 from shroud.llm.packing import pack_documents
 from shroud.llm.quality import quality_scores
 
@@ -28,6 +31,20 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+#: Relative language weights of op5; domains and sources weigh alike.
+LANGUAGE_WEIGHTS = {"en": 400, "de": 200, "fr": 200, "es": 200}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """120 % of all tokens over hashed site groups, languages and sources, at most four epochs of any source."""
+    domain = F.concat(F.lit("d"), F.substring(F.md5("source"), 1, 1))
+    out = mix(table(spark, sf_dir, "documents"), domain, F.col("lang"), F.col("source"), budget_percent=120,
+              language_weights=LANGUAGE_WEIGHTS)
+    return out.select("doc_id", F.col("mx_domain").alias("domain"), F.col("mx_language").alias("language"),
+                      F.col("mx_source").alias("leaf_source"), F.col("mx_epoch").alias("epoch"),
+                      F.col("mx_tokens").alias("tokens"), F.col("mx_take").alias("take"))
+
+
 def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -39,8 +56,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op5_mixing": op5_mixing,
     "op8_jaccard_forest": op8_jaccard_forest,
     "op9_quality": op9_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixing": oracle.MIXING.format(weights=" ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHTS.items())),
+}
