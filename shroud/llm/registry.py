@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.llm import oracle
@@ -35,10 +35,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LANGUAGE_WEIGHTS = {"en": 400, "de": 200, "fr": 200, "es": 200}
 
 
+def site_group() -> Column:
+    """The domain level: sources by a hash, as the tables name no domain."""
+    return F.concat(F.lit("d"), F.substring(F.md5("source"), 1, 1))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """120 % of all tokens over hashed site groups, languages and sources, at most four epochs of any source."""
-    domain = F.concat(F.lit("d"), F.substring(F.md5("source"), 1, 1))
-    out = mix(table(spark, sf_dir, "documents"), domain, F.col("lang"), F.col("source"), budget_percent=120,
+    out = mix(table(spark, sf_dir, "documents"), site_group(), F.col("lang"), F.col("source"), budget_percent=120,
               language_weights=LANGUAGE_WEIGHTS)
     return out.select("doc_id", F.col("mx_domain").alias("domain"), F.col("mx_language").alias("language"),
                       F.col("mx_source").alias("leaf_source"), F.col("mx_epoch").alias("epoch"),
