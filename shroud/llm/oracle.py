@@ -61,3 +61,42 @@ SELECT doc_id, domain, language, leaf_source, whole AS epoch, tokens, least(toke
 FROM c WHERE before < rest
 """
 )
+
+#: One rule of the secret scan: its matches with their starts.
+_RULE = """
+SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v,
+       unnest(gs[:len(ms)]) AS g
+FROM (SELECT doc_id, regexp_extract_all(tx, {re}) AS ms, regexp_extract_all(tx, {re}, {group}) AS vs,
+             string_split_regex(tx, {re}) AS gs FROM t)
+"""
+
+_ASSIGN = "'(?i)(password|passwd|secret|token|api_?key)[\"\'\']?\\x20*[:=]\\x20*[\"\'\']?([A-Za-z0-9+/_.=-]+)'"
+_RULES = [
+    ("assign", _ASSIGN, 2),
+    ("access", "'AKIA[A-Z0-9]{12,}'", 0),
+    ("hex", "'[0-9a-f]{32,}'", 0),
+    ("pem", "'-----BEGIN [A-Z ]*PRIVATE KEY-----'", 0),
+    ("jwt", "'eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}'", 0),
+]
+
+SECRETS = (
+    "WITH t AS (SELECT doc_id, coalesce(text, '') AS tx FROM documents),\nm AS ("
+    + "UNION ALL".join(
+        _RULE.replace("{kind}", k).replace("{rank}", str(i)).replace("{re}", e).replace("{group}", str(g))
+        for i, (k, e, g) in enumerate(_RULES))
+    + """),
+p AS (
+  SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS e FROM m),
+f AS (
+  SELECT doc_id, kind, rank, (e - length(m))::BIGINT AS s, kind || ':' || (e - length(m)) || ':' || e AS span
+  FROM p WHERE kind <> 'assign' OR length(v) >= 8),
+a AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM f GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)
+"""
+)

@@ -15,6 +15,8 @@ from shroud.llm.mixing import mix
 from shroud.llm.packing import pack_documents
 from shroud.llm.quality import quality_scores
 
+from shroud.llm.secrets import findings_by_path, scan_history
+
 
 def tokenizer_file() -> str:
     import public_tokenizers
@@ -49,6 +51,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("mx_tokens").alias("tokens"), F.col("mx_take").alias("take"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as the first version of every path, scanned against an empty ledger."""
+    versions = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"), F.lit(1).alias("version"), F.col("text").alias("content"))
+    _, findings, light = scan_history(versions)
+    return findings_by_path(light, findings).select(
+        F.col("path").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op8_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -61,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op5_mixing": op5_mixing,
+    "op7_secrets": op7_secrets,
     "op8_jaccard_forest": op8_jaccard_forest,
     "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_secrets": oracle.SECRETS,
     "op5_mixing": oracle.MIXING.format(weights=" ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHTS.items())),
 }
