@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import oracle
+from shroud.llm import kneser_ney, oracle
 from shroud.llm.common import table
 from shroud.llm.jaccard_forest import jaccard_join
 from shroud.llm.line_dedup import dedup_lines
@@ -51,6 +51,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("mx_tokens").alias("tokens"), F.col("mx_take").alias("take"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = kneser_ney.held_out_tenth(F.col("doc_id"))
+    return kneser_ney.score(docs, kneser_ney.train(docs.filter(~held_out)), held_out)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as the first version of every path, scanned against an empty ledger."""
     versions = table(spark, sf_dir, "documents").select(
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op5_mixing": op5_mixing,
+    "op6_kneser_ney": op6_kneser_ney,
     "op7_secrets": op7_secrets,
     "op8_jaccard_forest": op8_jaccard_forest,
     "op9_quality": op9_quality,
