@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm import textscan as ts
-from shroud.llm.common import row_key, sorted_groups
+from shroud.llm.common import materialize, row_key, sorted_groups
 from shroud.session import ship_package
 
 LINE_SCHEMA = ("dd_ord long, dd_key long, pos long, occ long, cnt long, h long, "
@@ -139,10 +139,12 @@ def deletions(docs: DataFrame, min_bytes: int) -> DataFrame:
     ship_package(docs.sparkSession)
     lines = docs.select("dd_ord", "dd_key", "text").mapInArrow(_line_rows, LINE_SCHEMA)
     held = ["dd_ord", "dd_key", "pos", "cnt", "a", "b", "pa", "pb"]
-    first = (
+    # written, so that the join below deals both sides itself and hot lines can be split
+    first = materialize(
         lines.groupBy("h", "occ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*held)).alias("f"))
         .filter("n > 1")
-        .select("h", "occ", *[F.col(f"f.{c}").alias(f"f_{c}") for c in held])
+        .select("h", "occ", *[F.col(f"f.{c}").alias(f"f_{c}") for c in held]),
+        "earliest-lines",
     )
     shared = lines.join(first, ["h", "occ"]).filter("dd_key <> f_dd_key").drop("h", "occ", "dd_ord", "f_dd_ord")
     ordered = shared.repartition("dd_key").sortWithinPartitions("dd_key", "f_dd_key", "pos")
