@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import kneser_ney, oracle
+from shroud.llm import kneser_ney, oracle, pii
 from shroud.llm.common import table
 from shroud.llm.jaccard_forest import jaccard_join
 from shroud.llm.line_dedup import dedup_lines
@@ -33,6 +33,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find_pii(docs, pii.train(docs))
+
+
 #: Relative language weights of op5; domains and sources weigh alike.
 LANGUAGE_WEIGHTS = {"en": 400, "de": 200, "fr": 200, "es": 200}
 
@@ -77,6 +82,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
+    "op3_pii": op3_pii,
     "op5_mixing": op5_mixing,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_secrets": op7_secrets,
