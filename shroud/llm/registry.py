@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import kneser_ney, oracle, pii
+from shroud.llm import cover_tree, kneser_ney, oracle, pii
 from shroud.llm.common import table
 from shroud.llm.jaccard_forest import jaccard_join
 from shroud.llm.line_dedup import dedup_lines
@@ -38,6 +38,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.train(docs))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 #: Relative language weights of op5; domains and sources weigh alike.
 LANGUAGE_WEIGHTS = {"en": 400, "de": 200, "fr": 200, "es": 200}
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
     "op3_pii": op3_pii,
+    "op4_cover_tree": op4_cover_tree,
     "op5_mixing": op5_mixing,
     "op6_kneser_ney": op6_kneser_ney,
     "op7_secrets": op7_secrets,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_cover_tree": oracle.TOP_K,
     "op7_secrets": oracle.SECRETS,
     "op5_mixing": oracle.MIXING.format(weights=" ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHTS.items())),
 }
