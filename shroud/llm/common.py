@@ -8,13 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.session import ensure_checkpoint_dir
+from shroud.session import ensure_checkpoint_dir, ship_package
+
+#: Rows of whole texts in one Arrow batch at most.
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def python_workers(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, and keep Arrow batches of whole texts small."""
+    ship_package(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def shared_path(spark: SparkSession, prefix: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     return os.path.join(ensure_checkpoint_dir(spark), "llm", f"{prefix}-{uuid.uuid4().hex}")
