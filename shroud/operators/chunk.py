@@ -34,9 +34,7 @@ DEFAULT_SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ": ", ", ", "... ",
 def validate_chunk_params(size: int, overlap: int) -> None:
     """K7: size > 0 and 0 <= overlap < size."""
     if size <= 0 or overlap < 0 or overlap >= size:
-        raise ValueError(
-            "Chunk size must be positive, overlap must be non-negative, and overlap must be less than chunk size."
-        )
+        raise ValueError(f"need 0 <= overlap < size, got size {size} and overlap {overlap}")
 
 
 def fixed_windows(c: Column, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP) -> Column:
@@ -116,6 +114,7 @@ def recursive_udf(size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP, sepa
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def split_texts(texts: pd.Series) -> pd.Series:
+        # shorter texts are whole chunks; they come as null
         return texts.map(lambda t: recursive_split(t, size, overlap, seps) if t else [])
 
     return split_texts
@@ -148,7 +147,7 @@ def chunk_documents(
         pieces = fixed_windows(text, size, overlap)
     elif method == "recursive":
         ship_package(docs.sparkSession)
-        pieces = recursive_udf(size, overlap, separators)(text)
+        pieces = recursive_udf(size, overlap, separators)(F.when(F.length(text) >= size, text))
     else:
         raise ValueError(f"unknown chunking method: {method}")
     if tidy:
@@ -157,9 +156,10 @@ def chunk_documents(
     chunks = F.when(F.length(text) < size, whole).otherwise(pieces)
     # Null or empty texts are dropped after the explode, not before: a filter
     # on the text would be pushed below the projection that computes it (for
-    # instance cleaning) and evaluate that expression again.
+    # instance cleaning) and evaluate that expression again. The outer explode
+    # for the same reason: an inner one adds a size filter of its own.
     arrays = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(chunks, F.array()).alias("_chunks"))
-    out = arrays.select("doc_id", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("chunk_index", "content"))
+    out = arrays.select("doc_id", F.size("_chunks").alias("_n"), F.posexplode_outer("_chunks").alias("chunk_index", "content"))
     out = out.where(F.col("content").isNotNull() & (F.length("content") > 0))
     if group_size:
         grp = F.when(F.col("_n") > group_size, F.floor(F.col("chunk_index") / group_size)).otherwise(0)

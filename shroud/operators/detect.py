@@ -232,7 +232,7 @@ def detect_dictionary(chunks: DataFrame, terms: DataFrame, round_: int | None =
         terms.select(F.transform(F.regexp_extract_all(F.col("term"), F.lit(TOKEN_PATTERN), 0), lambda t: match_key(t)).alias("keys"),
                      "category", "type", "justification")
         .where(F.size("keys") > 0)
-        .dropDuplicates(["keys"])
+        .dropDuplicates(["keys", "category", "type", "justification"])  # a term may have several categories
         .withColumn("key", F.col("keys")[0])
     )
     longest = keyed_terms.agg(F.max(F.size("keys"))).first()[0] or 1  # one scalar

@@ -23,7 +23,7 @@ from shroud.operators.detect import (DEFAULT_RULES, detect_dictionary, detect_ru
                                      render_prompt, terms_table, with_checks)
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
-from shroud.operators.partitioning import by_doc, save_by_doc, spread
+from shroud.operators.partitioning import save_by_doc, spread
 from shroud.plans.scan import scan_rounds, rules_detector, find_items
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources.envelope import documents_as_envelopes, from_envelope
@@ -40,8 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_texts(spark, sf_dir) -> DataFrame:
-    return by_doc(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
-                                                            F.col("text").alias("content")))
+    """The documents in their scan partitions: row-local operators need no shuffle of the text."""
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"),
+                                                           F.col("text").alias("content")))
 
 
 def fixed_chunks(spark, sf_dir, tidy=True) -> DataFrame:

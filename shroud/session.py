@@ -40,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a scratch one only if none is configured.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
-    store) and is used as is. Only an unconfigured (local/test) session gets a
-    fresh scratch folder.
+    store) and is used as is. Only an unconfigured session in local mode (tests)
+    gets a fresh scratch folder; on a cluster that is an error, because each
+    executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -49,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="shroud-ckpt-", dir=os.environ.get("SHROUD_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir

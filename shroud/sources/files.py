@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from shroud.operators.partitioning import save_table
 from shroud.session import ship_package
 from shroud.sources.envelope import envelope_col
 
@@ -88,10 +89,13 @@ def consecutive_ids(df: DataFrame, order: list[Column], name: str = "file_id", s
     """Consecutive positions in a global sort order without a single-partition window.
 
     Range-partition by the order, number rows inside each partition, then add
-    each partition's offset (a table of one row per partition).
+    each partition's offset (a table of one row per partition). The numbered
+    rows are written first: both the offsets and the result must see the same
+    partitions, which a plan evaluated twice does not promise.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
     local = ordered.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    local = save_table(local, prefix="numbered")
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
@@ -155,6 +159,17 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False, extensio
 # --- content extraction ----------------------------------------------------------------
 
 
+def _odt_line(node) -> str:
+    """All text of a paragraph in order: nested spans and links with their tails, tabs, line breaks, spaces."""
+    own = {"tab": "\t", "line-break": "\n", "s": " " * int(next((v for k, v in node.attrib.items() if k.endswith("}c")), 1))}
+    out = [own.get(node.tag.rpartition("}")[2], ""), node.text or ""]
+    for child in node:
+        if child.tag.rpartition("}")[2] not in ("note", "annotation"):
+            out.append(_odt_line(child))
+        out.append(child.tail or "")
+    return "".join(out)
+
+
 def _xml_text(xml: bytes, para_tag: str, text_tags: tuple[str, ...]) -> str:
     root = ElementTree.fromstring(xml)
     paras = []
@@ -171,7 +186,8 @@ def docx_text(data: bytes) -> str:
 
 def odt_text(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return _xml_text(z.read("content.xml"), "}p", ("}p", "}span", "}h"))
+        root = ElementTree.fromstring(z.read("content.xml"))
+    return "\n".join(_odt_line(p) for p in root.iter() if p.tag.endswith(("}p", "}h")))
 
 
 DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".odt": odt_text}

@@ -144,3 +144,11 @@ def test_detect_with_setup_once_per_task(spark):
     rows = detect_with(chunks, setup=setup, round_=0).collect()
     assert sorted(r.text for r in rows) == sorted(f"w{i}" for i in range(20))
     assert len({r.justification for r in rows}) == 1  # one handle for the task
+
+
+def test_a_term_keeps_all_its_categories(spark):
+    from shroud.operators.detect import detect_dictionary, terms_table
+
+    chunks = spark.createDataFrame([("d", 0, "In Paris today")], "doc_id string, chunk_index int, content string")
+    terms = terms_table(spark, [("Paris", "name", "direct", "n"), ("paris", "location data", "indirect", "l"), ("Paris", "name", "direct", "n")])
+    assert sorted(r.category for r in detect_dictionary(chunks, terms).collect()) == ["location data", "name"]

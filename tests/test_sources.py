@@ -146,3 +146,32 @@ def test_file_listing_query_against_brute_force(spark):
     assert sorted(int(r.id) for r in rows) == list(range(groups))
     assert {r.type for r in rows} == {"text/plain"}
     assert all(r.name.endswith(".txt") and r.n_chars > 0 for r in rows)
+
+
+def test_odt_keeps_text_in_order():
+    import io
+    import zipfile
+
+    from shroud.sources.files import odt_text
+
+    body = ("<d xmlns:t='urn:t'><t:h>Title</t:h><t:p>Call <t:span>John</t:span> Smith<t:tab/>at <t:a>a@b.org</t:a> now"
+            "<t:line-break/>or<t:s t:c='2'/>later</t:p></d>")
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("content.xml", body)
+    assert odt_text(data.getvalue()) == "Title\nCall John Smith\tat a@b.org now\nor  later"
+
+
+def test_positions_over_several_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from shroud.sources.files import consecutive_ids
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 20_000, 1, 7).select(F.concat(F.lit("p"), F.xxhash64("id") % 5_000).alias("path"), "id")
+        got = consecutive_ids(df, [F.col("path"), F.col("id")]).orderBy("file_id").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r.file_id for r in got] == list(range(20_000))
+    assert [(r.path, r.id) for r in got] == sorted((r.path, r.id) for r in got)
