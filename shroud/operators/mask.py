@@ -6,11 +6,16 @@ its document's items depends on how many distinct items the document has:
 * at most ``max_inline_items`` (the usual case): the document's item list is
   collected (size bounded by that check) and joined to its chunks on
   ``doc_id``; matching runs in-row with native higher-order functions.
-* more than that: an exact q-gram index join. Every position of those
-  documents' chunks emits its prefixes of length 1..q; every item emits its
-  first q characters; an equi-join on ``(doc_id, prefix)`` gives candidate
-  positions, verified against the chunk text. Work grows with text length
-  times prefix collisions, not with chunks times items.
+* more than that: an exact prefix index join. An item's key is its first
+  1, 2, 4, ... or ``q`` characters, the longest such prefix it has; every
+  position of those documents' chunks emits its prefixes of the lengths that
+  occur (at most seven); an equi-join on ``(doc_id, prefix)`` gives candidate
+  positions, verified against the chunk text. A key covers at least half of
+  an item, so items that begin alike (phone numbers, addresses of one network)
+  do not all meet at every position.
+
+A chunk is known by ``(doc_id, chunk_index)`` and a hash of its text, so
+several texts under one id keep apart on both paths.
 
 Semantics (fixed by the reference's behaviour): positions are found in the
 folded chunk; the original text at that position, over the *original* item
@@ -21,13 +26,15 @@ ones too; overlapping or touching ranges merge; each range becomes as many
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.functions.fold import fold, match_key
 
 DEFAULT_MAX_INLINE_ITEMS = 512
-DEFAULT_Q = 4
+DEFAULT_Q = 64
 
 RANGE_TYPE = "array<struct<s:int,e:int>>"
 
@@ -144,8 +151,21 @@ def contains_any(text: Column, items: Column, case_insensitive: bool = True, nor
 # --- q-gram index join (documents with many items) -------------------------------
 
 
+_CHUNK = ["doc_id", "chunk_index", "_row"]
+
+
+def _with_row(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("_row", F.xxhash64("content"))
+
+
+def _key_length(item: Column, q: int) -> Column:
+    """The largest power of two that is at most the item's length and ``q``."""
+    n = F.least(F.length(item), F.lit(q))
+    return F.greatest(*[F.when(n >= 1 << i, 1 << i) for i in range(q.bit_length())], F.lit(1))
+
+
 def _prefix_rows(chunks: DataFrame, key_col: str, lengths: list[int]) -> DataFrame:
-    """One row per (chunk position, prefix length): ``doc_id, chunk_index, p, key``.
+    """One row per (chunk position, prefix length): the chunk's identity, ``p`` and ``key``.
 
     The prefixes are built in-row and exploded once, so a position row holds
     only its short prefix, not the chunk text.
@@ -159,26 +179,24 @@ def _prefix_rows(chunks: DataFrame, key_col: str, lengths: list[int]) -> DataFra
         return F.transform(fitting, lambda l: F.struct(p.alias("p"), F.substring(k, p, l).alias("key")))
 
     entries = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at))
-    return chunks.select("doc_id", "chunk_index", F.explode(entries).alias("e")).select(
-        "doc_id", "chunk_index", "e.p", "e.key")
+    return chunks.select(*_CHUNK, F.explode(entries).alias("e")).select(*_CHUNK, "e.p", "e.key")
 
 
 def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_key: str, q: int = DEFAULT_Q) -> DataFrame:
-    """Exact substring hits of item keys in chunk keys, via an equi-join on q-prefixes.
+    """Exact substring hits of item keys in chunk keys, via an equi-join on prefixes.
 
-    Returns ``doc_id, chunk_index, p`` (1-based) plus the item columns, only
-    for verified hits. Chunk text is not carried through the explode; the
-    verification joins the candidates back to the chunks.
+    ``chunks`` carry ``_row``. Returns the chunk's identity, ``p`` (1-based) and
+    the item columns, only for verified hits. Chunk text is not carried through
+    the explode; the verification joins the candidates back to the chunks.
     """
-    # Prefix lengths to emit: q, plus every item length below q that occurs
-    # (at most q - 1 values, so collecting them is bounded).
-    short = items.select(F.length(item_key).alias("l")).where(F.col("l") < q).distinct().collect()
-    lengths = sorted({r.l for r in short if r.l > 0} | {q})
-    prefixes = _prefix_rows(chunks, chunk_key, lengths)
-    item_side = items.withColumn("_ik", F.col(item_key)).withColumn("key", F.substring(F.col("_ik"), 1, q))
+    item_side = items.withColumn("_ik", F.col(item_key)).withColumn("_kl", _key_length(F.col("_ik"), q))
+    # at most seven lengths, so collecting them is bounded
+    lengths = sorted(r["_kl"] for r in item_side.select("_kl").distinct().collect())
+    prefixes = _prefix_rows(chunks, chunk_key, lengths or [1])
+    item_side = item_side.withColumn("key", F.expr("substring(_ik, 1, _kl)")).drop("_kl")
     cands = prefixes.join(item_side, ["doc_id", "key"]).drop("key")
-    texts = chunks.select("doc_id", "chunk_index", F.col(chunk_key).alias("_ck"), "content")
-    verified = cands.join(texts, ["doc_id", "chunk_index"]).where(
+    texts = chunks.select(*_CHUNK, F.col(chunk_key).alias("_ck"), "content")
+    verified = cands.join(texts, _CHUNK).where(
         F.substring(F.col("_ck"), F.col("p"), F.length("_ik")) == F.col("_ik")
     )
     return verified.drop("_ik", "_ck")
@@ -223,8 +241,8 @@ def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column)
 
 
 def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
-                     q: int = DEFAULT_Q, case_insensitive: bool = False) -> DataFrame:
-    """M3+M5: ``doc_id, chunk_index, content, ranges`` for chunks of documents with items.
+                     q: int = DEFAULT_Q, case_insensitive: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """M3+M5: ``doc_id, chunk_index, content, ranges`` (and ``keep``) for chunks of documents with items.
 
     ``items`` holds ``doc_id, text`` (e.g. :func:`doc_items`); the comparison
     keys are derived here so they always match ``case_insensitive``.
@@ -235,21 +253,21 @@ def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int
     arrays, heavy_items, heavy_ids = split_by_item_count(items, max_inline_items)
     part = _part(chunks)
     light = _keyed_chunks(chunks, arrays, "_ft", mask_key(F.col("content"), case_insensitive)).select(
-        *part, "chunk_index", "content",
+        *part, "chunk_index", "content", *keep,
         match_ranges_col(F.col("content"), F.col("_ft"), F.col("items"), case_insensitive).alias("ranges"),
     )
     if heavy_ids is None:
         return light
-    heavy_chunks = chunks.join(_per_part(chunks, heavy_ids), part, "left_semi") \
+    heavy_chunks = _with_row(chunks.join(_per_part(chunks, heavy_ids), part, "left_semi")) \
         .withColumn("_ft", mask_key(F.col("content"), case_insensitive))
     hits = qgram_candidates(heavy_chunks, "_ft", heavy_items, "fi", q).where(
         mask_key(F.substring(F.col("content"), F.col("p"), F.col("li")), case_insensitive) == F.col("fi")
     )
-    heavy_ranges = hits.groupBy("doc_id", "chunk_index").agg(
-        F.collect_list(F.struct((F.col("p") - 1).alias("s"), (F.col("p") - 1 + F.col("li")).alias("e"))).alias("ranges")
+    heavy_ranges = hits.groupBy(*_CHUNK).agg(
+        F.collect_set(F.struct((F.col("p") - 1).alias("s"), (F.col("p") - 1 + F.col("li")).alias("e"))).alias("ranges")
     )
-    heavy = heavy_chunks.drop("_ft").join(heavy_ranges, ["doc_id", "chunk_index"], "left").select(
-        *part, "chunk_index", "content", F.coalesce(F.col("ranges"), F.array().cast(RANGE_TYPE)).alias("ranges")
+    heavy = heavy_chunks.drop("_ft").join(heavy_ranges, _CHUNK, "left").select(
+        *part, "chunk_index", "content", *keep, F.coalesce(F.col("ranges"), F.array().cast(RANGE_TYPE)).alias("ranges")
     )
     return light.unionByName(heavy)
 
@@ -267,10 +285,10 @@ def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int
     )
     if heavy_ids is None:
         return light
-    heavy_chunks = chunks.join(_per_part(chunks, heavy_ids), _part(chunks), "left_semi").where(F.length("content") > 0) \
+    heavy_chunks = _with_row(chunks.join(_per_part(chunks, heavy_ids), _part(chunks), "left_semi").where(F.length("content") > 0)) \
         .withColumn("_tk", match_key(F.col("content"), case_insensitive, normalize))
-    hit_ids = qgram_candidates(heavy_chunks, "_tk", heavy_items, "k", q).select("doc_id", "chunk_index").distinct()
-    heavy = heavy_chunks.drop("_tk").join(hit_ids, ["doc_id", "chunk_index"], "left_semi")
+    hit_ids = qgram_candidates(heavy_chunks, "_tk", heavy_items, "k", q).select(*_CHUNK).distinct()
+    heavy = heavy_chunks.drop("_tk").join(hit_ids, _CHUNK, "left_semi")
     return light.unionByName(heavy.select(*light.columns))
 
 
@@ -288,6 +306,23 @@ def mask_chunks(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEF
     )
 
 
+def masked_changes(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
+                   q: int = DEFAULT_Q, case_insensitive: bool = False) -> DataFrame:
+    """M5-M9 as a delta: only the chunks that masking changes, under their new text.
+
+    ``chunks`` of documents without items are dropped by a semi-join before
+    anything else. The masked text is computed in a generator, so that the
+    filter on it cannot be pushed below and compute it a second time.
+    """
+    part = _part(chunks)
+    extra = [c for c in chunks.columns if c not in (*part, "chunk_index", "content", "changed")]
+    keyed = chunks.withColumn("_kept", F.struct(F.lit(0), *extra))
+    r = ranges_per_chunk(keyed, items, max_inline_items, q, case_insensitive, keep=["_kept"])
+    masked = F.explode_outer(F.array(apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges")))))
+    return (r.select(*part, "chunk_index", "_kept", F.col("content").alias("_was"), masked.alias("content"))
+            .where(F.col("content") != F.col("_was")).select(*part, "chunk_index", "content", *[f"_kept.{c}" for c in extra]))
+
+
 def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
                    q: int = DEFAULT_Q, case_insensitive: bool = False) -> DataFrame:
     """M5-M9 as one co-partitioned step: every chunk, masked where its document's items occur.

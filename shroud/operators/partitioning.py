@@ -1,13 +1,9 @@
-"""Partitioning helpers shared by the plans.
-
-``by_doc`` hash-partitions on the document id once, so that chunks (an
-explode, narrow), detections, per-document item lists and the chunk/item
-joins of every masking round are co-partitioned and shuffle no text. A
-documents table stored bucketed by ``doc_id`` gives the same layout for free.
+"""Partitioning and table helpers shared by the plans.
 
 ``spread`` rebalances only an under-split scan (fewer partitions than the
 cluster has cores, e.g. a small file with one row group); a large input
-already has enough splits and is left alone.
+already has enough splits and is left alone. ``save_table`` cuts lineage with
+plain files in the shared checkpoint folder, and ``drop_table`` removes them.
 """
 
 from __future__ import annotations
@@ -19,17 +15,6 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def doc_partitions(df: DataFrame) -> int:
-    """Partition count for document-keyed data: the shuffle setting, or more if
-    the input already has more splits (so partitions stay near the input split
-    size, ``spark.sql.files.maxPartitionBytes``, as the data grows)."""
-    return max(shuffle_partitions(df), df.rdd.getNumPartitions())
-
-
-def by_doc(df: DataFrame, key: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    return df.repartition(partitions or doc_partitions(df), key)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -55,18 +40,11 @@ def save_table(df: DataFrame, prefix: str = "shroud") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def save_by_doc(df: DataFrame, key: str | list[str] = "doc_id", buckets: int | None = None,
-                prefix: str = "shroud") -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key`` in the shared checkpoint folder and read it back.
-
-    This cuts the lineage like ``checkpoint()`` (reliable storage, survives
-    lost executors) and, unlike it, the table is read back hash-partitioned
-    by ``key``: joins and aggregations on ``key`` with the same number of
-    partitions need no exchange. Input already partitioned by ``key`` into
-    ``buckets`` partitions writes one file per bucket.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    n = buckets or doc_partitions(df)
-    name, path = _table_path(df, prefix)
-    df.write.bucketBy(n, *keys).mode("overwrite").option("path", path).saveAsTable(name)
-    return df.sparkSession.table(name)
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`save_table` wrote (or unpersist a persisted one)."""
+    df.unpersist()
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/tables/" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

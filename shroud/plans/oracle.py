@@ -1,8 +1,7 @@
 """DuckDB oracle statements, one per SQL-expressible registered query.
 
 Queries left out (rows-only check): ``chunk_recursive`` and ``scan_documents``
-(the recursive splitter is a sequential walk per document, not relational)
-and ``file_listing`` (its input is a directory Spark writes at run time).
+(the recursive splitter is a sequential walk per document, not relational).
 """
 
 from __future__ import annotations
@@ -204,6 +203,13 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'items', count(*) FROM ({r0}) c
             UNION ALL SELECT 'unique_items', count(*) FROM ({S.findings(r0)}) d""",
         "findings": S.findings(two),
+        "two_rounds_first_match": S.two_rounds(chunks, "WHERE item_pos = 0"),
+        "findings_first_match": S.findings(S.two_rounds(chunks, "WHERE item_pos = 0")),
+        "file_listing": """
+            SELECT lang, source, CAST(sum(length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) + 1) AS BIGINT)
+                     AS n_chars,
+                   CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines
+            FROM documents WHERE text IS NOT NULL GROUP BY lang, source""",
         "scan_pages": S.findings(S.two_rounds(S.chunk_rows("pages", "page_id", S.clean("html")))),
         "scan_documents_fixed": S.findings(S.two_rounds(S.chunk_rows("documents", "doc_id", S.clean("text")))),
         "model_detect": S.detections(chunks, 0, DEFAULT_RULES[:1]),

@@ -23,8 +23,8 @@ from shroud.operators.detect import (DEFAULT_RULES, detect_dictionary, detect_ru
                                      render_prompt, terms_table, with_checks)
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
-from shroud.operators.partitioning import save_by_doc, spread
-from shroud.plans.scan import scan_rounds, rules_detector, find_items
+from shroud.operators.partitioning import save_table, spread
+from shroud.plans.scan import find_items, first_match_detector, rules_detector, scan_rounds
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources.envelope import documents_as_envelopes, from_envelope
 from shroud.sources.files import extract_documents, files_to_envelopes, list_files, mime_type, consecutive_ids, extension
@@ -55,9 +55,9 @@ def round0(spark, sf_dir) -> DataFrame:
 
 
 def mask_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Chunks and their round-0 detections, written once (bucketed by doc_id) because several branches read them."""
-    chunks = save_by_doc(fixed_chunks(spark, sf_dir), prefix="chunks")
-    dets = save_by_doc(detect_rules(chunks, round_=0), prefix="detections")
+    """Chunks and their round-0 detections, written once because several branches read them."""
+    chunks = save_table(fixed_chunks(spark, sf_dir), prefix="chunks")
+    dets = save_table(detect_rules(chunks, round_=0), prefix="detections")
     return chunks, dets
 
 
@@ -164,7 +164,7 @@ def q_group_items(spark, sf_dir):
 
 
 def _two_rounds(spark, sf_dir):
-    return scan_rounds(fixed_chunks(spark, sf_dir), rules_detector(), max_rounds=2)
+    return scan_rounds(fixed_chunks(spark, sf_dir), rules_detector(), max_rounds=2).drop_chunks()
 
 
 def q_combine_items(spark, sf_dir):
@@ -207,6 +207,16 @@ def q_two_rounds(spark, sf_dir):
     return _two_rounds(spark, sf_dir).detections
 
 
+def q_two_rounds_first_match(spark, sf_dir):
+    """Round 0 reports one item a chunk, so masking it lets round 1 find the next."""
+    return scan_rounds(fixed_chunks(spark, sf_dir), first_match_detector(), max_rounds=2).drop_chunks().detections
+
+
+def q_findings_first_match(spark, sf_dir):
+    """P2, P3 over items of both rounds."""
+    return findings(q_two_rounds_first_match(spark, sf_dir))
+
+
 def q_findings(spark, sf_dir):
     return findings(_two_rounds(spark, sf_dir).detections)
 
@@ -254,15 +264,19 @@ def q_file_ids(spark, sf_dir):
 
 
 def q_file_listing(spark, sf_dir):
-    """S1-S13 on real files: Spark writes the documents as text files, then lists and loads them."""
+    """S1-S13 on real files: Spark writes the documents as text files, then lists and loads them.
+
+    How many files there are depends on the partitions; files, characters and lines per folder do not.
+    """
     base = os.path.join(ensure_checkpoint_dir(spark), f"corpus-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
-    (docs.select("lang", "source", "text").repartition("lang", "source")
-     .write.partitionBy("lang", "source").text(base))
-    files = list_files(spark, base, recursive=True, extensions=["txt"], with_content=True)
-    ok, rejects = extract_documents(files)
-    docs_out, _ = from_envelope(files_to_envelopes(ok))
-    return docs_out.select("id", "name", "type", F.length("content").alias("n_chars"))
+    docs.select("lang", "source", "text").where("text is not null").write.partitionBy("lang", "source").text(base)
+    files = list_files(spark, base, recursive=True, extensions=["txt"], with_content=True, id_mode="hash")
+    ok, _ = extract_documents(files)
+    folder = ok.select(F.regexp_extract("path", "/lang=([^/]*)/source=([^/]*)/", 1).alias("lang"),
+                       F.regexp_extract("path", "/lang=([^/]*)/source=([^/]*)/", 2).alias("source"),
+                       F.length("text").alias("n"), F.regexp_count("text", F.lit("\n")).alias("lines"))
+    return folder.groupBy("lang", "source").agg(F.sum("n").cast("long").alias("n_chars"), F.sum("lines").cast("long").alias("n_lines"))
 
 
 def q_scan_documents(spark, sf_dir):
@@ -291,7 +305,9 @@ QUERIES: dict[str, Query] = {
     "merged_ranges": q_merged_ranges,
     "mask_documents": q_mask_documents,
     "two_rounds": q_two_rounds,
+    "two_rounds_first_match": q_two_rounds_first_match,
     "findings": q_findings,
+    "findings_first_match": q_findings_first_match,
     "model_detect": q_model_detect,
     "file_mime": q_file_mime,
     "file_ids": q_file_ids,

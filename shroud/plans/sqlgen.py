@@ -231,8 +231,14 @@ def findings(dets: str) -> str:
     SELECT doc_id AS id, round, chunk_index, item_pos, text, category, type, justification FROM r WHERE rn = 1"""
 
 
-def two_rounds(chunks: str) -> str:
-    """Round 0 on all chunks; mask with round-0 items; round 1 on the changed chunks."""
+def two_rounds(chunks: str, only: str = "") -> str:
+    """Round 0 on all chunks; mask with round-0 items; round 1 on the changed chunks.
+
+    ``only`` is a condition on what a round reports of a chunk's items.
+    """
+    def detections(c, r):
+        return f"SELECT * FROM ({globals()['detections'](c, r)}) only_ {only}"
+
     d0 = detections(chunks, 0)
     m = masked(chunks, merged(ranges(chunks, d0)))
     changed = f"SELECT doc_id, chunk_index, content FROM ({m}) mm WHERE changed AND {visible('content')}"

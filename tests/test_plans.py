@@ -14,25 +14,18 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
 
 
-def test_round_masking_moves_no_text(spark):
-    """With sort-merge joins forced (as at scale), no exchange sits on the chunk table."""
-    from shroud.operators.mask import doc_items, mask_documents
-    from shroud.plans.scan import detect_documents
-
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    res = detect_documents(docs, chunker="fixed")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        lines = plan(mask_documents(res.chunks, doc_items(res.detections))).split("\n")
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    scans = [i for i, l in enumerate(lines) if "FileScan" in l and ".chunks_" in l]
-    assert scans
-    for i in scans:
-        assert not any("Exchange" in l for l in lines[max(0, i - 2):i]), "\n".join(lines[i - 3:i + 1])
-    assert any("Exchange" in l for l in lines)  # item-sized shuffles remain
+def test_row_local_queries_move_no_text(spark):
+    """Nothing but the rebalancing of an under-split scan stands between the scan and the result."""
+    for name in ["detect_rules", "chunk_fixed", "prompt_column", "chunk_recursive", "chunk_tidy", "model_detect"]:
+        p = plan(QUERIES[name](spark, SF_SMALL))
+        assert "hashpartitioning(doc_id" not in p, name
+
+
+def test_one_evaluation_before_the_explode(spark):
+    p = plan(QUERIES["chunk_recursive"](spark, SF_SMALL))
+    assert p.count("ArrowEvalPython") == 1
+    cleaned = plan(QUERIES["detect_rules_pages"](spark, SF_SMALL))
+    assert cleaned.count("<!--") == plan(QUERIES["clean_pages"](spark, SF_SMALL)).count("<!--")
 
 
 def test_blank_filter_before_python(spark):

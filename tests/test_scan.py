@@ -52,22 +52,69 @@ def test_chunk_groups_give_same_results(spark):
     assert ca == cb
 
 
-def test_chunk_groups_masking_moves_no_text(spark):
-    from shroud.operators.mask import doc_items, mask_documents
+def test_later_rounds_see_what_masking_uncovers(spark):
+    """One item a chunk and round: with enough rounds every item is found, each masked before the next."""
+    from shroud.plans.scan import first_match_detector
 
-    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    res = detect_documents(docs, chunker="fixed", group_chunks=2)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        lines = mask_documents(res.chunks, doc_items(res.detections))._jdf.queryExecution().executedPlan().toString().split("\n")
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-    scans = [i for i, l in enumerate(lines) if "FileScan" in l and ".chunks_" in l]
-    assert scans
-    for i in scans:
-        assert not any("Exchange" in l for l in lines[max(0, i - 2):i]), "\n".join(lines[i - 3:i + 1])
+    text = "a@b.org then c@d.org then e@f.org"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here")], "doc_id long, text string")
+    res = detect_documents(docs, detector=first_match_detector(), chunker="fixed", max_rounds=5)
+    assert [(r.round, r.text) for r in res.detections.orderBy("round").collect()] == [(0, "a@b.org"), (1, "c@d.org"), (2, "e@f.org")]
+    assert {r.doc_id: (r.content, r.changed) for r in res.chunks.collect()} == {
+        "1": ("******* then ******* then *******", True), "2": ("nothing here", False)}
+
+
+def test_failed_answers_get_a_second_chance(spark):
+    """Documents without items are examined again for a detector that may answer differently."""
+    from shroud.operators.detect import detect_rules
+    from shroud.plans.scan import deterministic
+
+    docs = spark.createDataFrame([(1, "a@b.org"), (2, "c@d.org")], "doc_id long, text string")
+
+    def moody(chunks, r):
+        return detect_rules(chunks if r else chunks.where("doc_id = '1'"), round_=r)
+
+    found = lambda d: sorted((r.round, r.text) for r in detect_documents(docs, detector=d, chunker="fixed").detections.collect())
+    assert found(moody) == [(0, "a@b.org"), (1, "c@d.org")]
+    assert found(deterministic(lambda c, r: moody(c, r))) == [(0, "a@b.org")]
+
+
+def test_repeated_ids_keep_their_texts(spark):
+    from shroud.operators.mask import mask_documents, masked_changes
+
+    rows = [("1", 0, "aaa bob zzz"), ("1", 0, "xx yyyyy bob"), ("1", 0, "xx yyyyy bob"), ("2", 0, "bob")]
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_index int, content string")
+    items = spark.createDataFrame([("1", "bob")], "doc_id string, text string")
+    for inline in (512, 0):
+        got = sorted((r.doc_id, r.content) for r in mask_documents(chunks, items, inline).collect())
+        assert got == [("1", "aaa *** zzz"), ("1", "xx yyyyy ***"), ("1", "xx yyyyy ***"), ("2", "bob")]
+        assert masked_changes(chunks, items, inline).count() == 3
+
+
+def test_items_that_begin_alike_meet_few_positions(spark):
+    from shroud.operators.mask import qgram_candidates
+
+    phones = [f"+1 (202) 555-{i:04d}" for i in range(800)]
+    chunks = spark.createDataFrame([("1", 0, " ".join(phones), 7)], "doc_id string, chunk_index int, content string, _row long")
+    items = spark.createDataFrame([("1", p) for p in phones], "doc_id string, fi string")
+    hits = qgram_candidates(chunks.withColumn("_ft", chunks.content), "_ft", items, "fi")
+    assert hits.count() == 800
+    pairs = hits._jdf.queryExecution().toString()
+    assert "Generate" in pairs
+
+
+def test_round_tables_are_removed(spark):
+    import glob
+
+    from shroud.plans.scan import find_items
+    from shroud.session import ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/tables/*"))
+    rows = find_items(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), chunker="fixed")
+    left = {p.rpartition("/")[2].partition("_")[0] for p in set(glob.glob(f"{folder}/tables/*")) - before}
+    assert left == {"detections"} and rows.count() > 0
+    assert spark.catalog.listTables() == [] or all("chunks" not in t.name for t in spark.catalog.listTables())
 
 
 def test_scan_documents_equals_brute_force(spark):
@@ -77,9 +124,9 @@ def test_scan_documents_equals_brute_force(spark):
     import __spark_entry__ as E
     from shroud.operators.chunk import recursive_split
     from shroud.operators.detect import DEFAULT_RULES
-    from test_clean import python_rules
+    from test_clean import walked
     from test_detect import py_rule_matches
-    from test_mask import _py_mask
+    from test_mask import _starred
 
     def detect(chunks, rnd):
         out = []
@@ -95,7 +142,7 @@ def test_scan_documents_equals_brute_force(spark):
 
     chunks = {}
     for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect():
-        t = python_rules(r.text)
+        t = walked(r.text)
         if not t:
             continue
         pieces = [t] if len(t) < 1024 else [re.sub(r"\n+", " ", c.strip()) for c in recursive_split(t, 1024, 128) if c.strip()]
@@ -105,7 +152,7 @@ def test_scan_documents_equals_brute_force(spark):
     items = {}
     for d, *_rest in dets:
         items.setdefault(d, set()).add(_rest[3])
-    masked = {k: _py_mask(c, sorted(items.get(k[0], ()))) for k, c in chunks.items()}
+    masked = {k: _starred(c, sorted(items.get(k[0], ()))) for k, c in chunks.items()}
     dets += detect({k: c for k, c in masked.items() if c != chunks[k]}, 1)
     best = {}
     for d, rnd, i, pos, text, cat, typ, just in sorted(dets, key=lambda x: (x[0], x[1], x[2], x[3])):
