@@ -4,6 +4,8 @@ The fold is "NFKD, then drop combining marks", restricted to what keeps
 character offsets usable: a character whose fold is exactly one character is
 mapped to it, a combining mark is deleted, and a character whose fold has
 several characters (ligatures, fractions, Hangul syllables) is left as it is.
+The existence test needs no offsets: there, such characters and those beyond the
+basic plane are spelled out first (:func:`spell_out`), Hangul syllables excepted.
 The tables are computed on the driver from ``unicodedata`` (a rule, not a
 hand list) and shipped as one ``translate`` literal, so the work is a JVM
 per-character lookup with no Python worker.
@@ -12,6 +14,7 @@ per-character lookup with no Python worker.
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -69,6 +72,32 @@ def casefold_tables(limit: int = BMP_LIMIT) -> tuple[str, str, tuple[tuple[str,
     return "".join(src), "".join(dst), tuple(multi)
 
 
+@functools.lru_cache(maxsize=None)
+def spelled_tables() -> tuple[dict[str, str], str]:
+    """What :func:`fold` leaves as it is though its full fold differs: the map, and a regex class of its keys."""
+    table = {}
+    for cp in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)]:
+        f = _fold_char(chr(cp))
+        if f != chr(cp) and (len(f) > 1 or cp >= BMP_LIMIT):
+            table[chr(cp)] = f
+    codes, runs = sorted(map(ord, table)), []
+    for cp in codes:
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return table, "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+def spell_out(c: Column) -> Column:
+    """Characters whose full fold has several characters, or that lie beyond the basic plane, as their fold
+    (a ligature as its letters, a mathematical letter as the plain one). Other texts come back as they are."""
+    table, odd = spelled_tables()
+    spelled = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    one = lambda x: F.when(x.rlike(odd), F.coalesce(F.try_element_at(spelled, x), x)).otherwise(x)
+    return F.when(c.rlike(odd), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+
+
 def fold(c: Column) -> Column:
     """Accent fold (M1): case kept, offsets kept except where combining marks are dropped."""
     src, dst = fold_tables()
@@ -92,9 +121,9 @@ def match_key(c: Column, case_insensitive: bool = True, normalize: bool = True)
     tokens, same result).
     """
     if case_insensitive and normalize:
-        return F.when(c.rlike(r"^[\x00-\x7f]*$"), F.lower(c)).otherwise(casefold(fold(c)))
+        return F.when(c.rlike(r"^[\x00-\x7f]*$"), F.lower(c)).otherwise(casefold(fold(spell_out(c))))
     if normalize:
-        c = fold(c)
+        c = fold(spell_out(c))
     if case_insensitive:
         c = casefold(c)
     return c

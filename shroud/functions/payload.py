@@ -56,6 +56,15 @@ def parse_items(c: Column) -> Column:
     return F.when(shaped & (F.size(parsed) > 0), parsed)
 
 
+def reject_reason(c: Column, require_fence: bool = True) -> Column:
+    """Why an answer gives no items; null for a good answer and for an empty list (nothing found)."""
+    body = strip_fence(c, require_fence)
+    shaped = body.rlike(r"(?s)^" + _JSON_WS + r"*\[.*\]" + _JSON_WS + r"*\z")
+    empty = body.rlike(r"^" + _JSON_WS + r"*\[" + _JSON_WS + r"*\]" + _JSON_WS + r"*\z")
+    return (F.when(c.isNull(), "no answer").when(body.isNull(), "no fence").when(~shaped, "not a JSON array")
+            .when(~empty & parse_items(body).isNull(), "invalid JSON"))
+
+
 def item_struct(text: Column, category: Column, type_: Column, justification: Column) -> Column:
     return F.struct(
         text.alias("text"), category.alias("category"), type_.alias("type"), justification.alias("justification")

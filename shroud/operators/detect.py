@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from shroud.functions.fold import match_key
 from shroud.functions.text import PY_SPACE
-from shroud.functions.payload import item_struct, parse_items, strip_fence
+from shroud.functions.payload import reject_reason, item_struct, parse_items, strip_fence
 from shroud.session import ship_package
 
 DETECTIONS = T.StructType(
@@ -134,7 +134,27 @@ def octets_valid(x: Column) -> Column:
     return F.forall(F.split(x, r"\."), lambda o: o.cast("int") <= 255)
 
 
-CHECKS = {"luhn": luhn_valid, "octets": octets_valid}
+def luhn_digits_valid(x: Column) -> Column:
+    """Luhn checksum over the digits of a number written in groups."""
+    return luhn_valid(F.regexp_replace(x, "[ -]", ""))
+
+
+CHECKS = {"luhn": luhn_valid, "octets": octets_valid, "luhn_digits": luhn_digits_valid}
+
+# Forms beyond the default table, written in more than one way.
+MORE_RULES: tuple[Rule, ...] = (
+    Rule("phone number", "direct", r"\(\d{3}\) ?\d{3}-\d{4}\b", "A phone number reaches one person directly.", needs="("),
+    Rule("phone number", "direct", r"\b\d{3}[ .-]\d{3}[ .-]\d{4}\b", "A phone number reaches one person directly."),
+    Rule("phone number", "direct", r"\+\d{1,3}(?:[ .-]\d{2,4}){2,4}\b", "A phone number reaches one person directly.", needs="+"),
+    Rule("ip address", "indirect", r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
+         "An IP address can single out a person's device when combined with other data.", needs=":"),
+    Rule("payment card", "direct", r"\b\d{13,19}\b", "A card number belongs to one account holder.", check="luhn"),
+    Rule("payment card", "direct", r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}\b", "A card number belongs to one account holder.",
+         check="luhn_digits"),
+    Rule("device identifier", "indirect", r"\b\d{15}\b", "An equipment number identifies one device and so its user.", check="luhn"),
+    Rule("bank account", "direct", r"\b[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?\b",
+         "An account number belongs to one account holder."),
+)
 
 
 def with_checks(rules: Sequence[Rule] = DEFAULT_RULES) -> tuple[Rule, ...]:
@@ -218,6 +238,10 @@ def terms_table(spark, terms: Iterable[tuple[str, str, str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+#: Distinct first tokens of a term list that is compared inside a chunk's token array.
+PREFILTER_TERMS = 10_000
+
+
 def detect_dictionary(chunks: DataFrame, terms: DataFrame, round_: int | None = None, pos_offset: int = 0,
                       broadcast_max_rows: int = 1_000_000) -> DataFrame:
     """Token sequences equal (accent- and case-insensitively) to a dictionary term.
@@ -235,14 +259,20 @@ def detect_dictionary(chunks: DataFrame, terms: DataFrame, round_: int | None =
         .dropDuplicates(["keys", "category", "type", "justification"])  # a term may have several categories
         .withColumn("key", F.col("keys")[0])
     )
+    # with a short term list, tokens are compared before they become rows
+    few = keyed_terms.select("key").distinct().limit(PREFILTER_TERMS + 1).collect()
+    listed = [r["key"] for r in few] if len(few) <= PREFILTER_TERMS else None
     longest = keyed_terms.agg(F.max(F.size("keys"))).first()[0] or 1  # one scalar
     keyed_terms = checked_broadcast(keyed_terms, broadcast_max_rows)
     if longest == 1:
         # single-token terms only: tokens alone, no separators to check
+        found = F.transform(F.regexp_extract_all(F.col("content"), F.lit(TOKEN_PATTERN), 0),
+                            lambda t, i: F.struct(i.alias("item_pos"), t.alias("text"), match_key(t).alias("key")))
+        if listed is not None:
+            found = F.filter(found, lambda t: t["key"].isin(listed))
         single = chunks.select(
-            "doc_id", "chunk_index", _round_col(chunks, round_).cast("int").alias("round"),
-            F.posexplode(F.regexp_extract_all(F.col("content"), F.lit(TOKEN_PATTERN), 0)).alias("item_pos", "text"),
-        ).withColumn("key", match_key(F.col("text")))
+            "doc_id", "chunk_index", _round_col(chunks, round_).cast("int").alias("round"), F.explode(found).alias("t"),
+        ).select("doc_id", "chunk_index", "round", "t.item_pos", "t.text", "t.key")
         return single.join(keyed_terms.drop("keys"), "key").select(
             "doc_id", "chunk_index", "round", (F.col("item_pos").cast("long") + F.lit(pos_offset)).alias("item_pos"),
             "text", "category", "type", "justification")
@@ -302,16 +332,14 @@ def render_prompt(content: Column, template: str = PROMPT_TEMPLATE) -> Column:
     return F.replace(F.lit(template), F.lit("{text}"), content)
 
 
-def detect_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series] | None = None,
-                round_: int | None = None, require_fence: bool = True, use_prompt: bool = False,
-                rebalance: int | None = None, pos_offset: int = 0,
-                setup: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
-    """D3: items from a caller's function of chunk text -> raw answer text.
+def answers_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series] | None = None,
+                 round_: int | None = None, use_prompt: bool = False, rebalance: int | None = None,
+                 setup: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
+    """D3: raw answers of a caller's function: ``doc_id, chunk_index, round, answer``.
 
     ``answer`` receives a pandas Series of texts (one Arrow batch) and returns
     a Series of answers. Alternatively ``setup`` is called once per task to
     build that function (open a client or load a model once, not per batch).
-    Answers go through the fence and JSON gates; a bad answer gives no items.
     ``rebalance`` spreads chunks over that many partitions first, worth it
     when the function is costly per chunk.
     """
@@ -332,8 +360,33 @@ def detect_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series] | No
             out["answer"] = fn(pdf["content"]).astype(object).values if len(pdf) else []
             yield out
 
-    answered = src.mapInPandas(run, "doc_id string, chunk_index int, round int, answer string")
-    parsed = answered.select("doc_id", "chunk_index", "round",
-                             parse_items(strip_fence(F.col("answer"), require_fence)).alias("items"))
+    return src.mapInPandas(run, "doc_id string, chunk_index int, round int, answer string")
+
+
+def split_rejects(answers: DataFrame, require_fence: bool = True, pos_offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Answers -> (item rows, rejects ``doc_id, chunk_index, round, reason, rejected``).
+
+    An answer that fails the fence or JSON gate is a reject with its text; so is
+    an item without text or document, with the item as JSON. Both results read
+    ``answers``, so write it first when it is costly.
+    """
+    reason = reject_reason(F.col("answer"), require_fence)
+    parsed = answers.select("doc_id", "chunk_index", "round", parse_items(strip_fence(F.col("answer"), require_fence)).alias("items"))
     rows = _explode_items(parsed.where(F.col("items").isNotNull()), F.col("items"), F.col("round"), pos_offset)
-    return rows.where(F.col("text").isNotNull() & (F.col("doc_id") != ""))
+    good = F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.col("doc_id") != "")
+    bad_answers = answers.select("doc_id", "chunk_index", "round", reason.alias("reason"), F.col("answer").alias("rejected"))
+    bad_items = rows.where(~good).select(
+        "doc_id", "chunk_index", "round", F.when(F.col("text").isNull(), "item without text").otherwise("no document").alias("reason"),
+        F.to_json(F.struct("text", "category", "type", "justification")).alias("rejected"))
+    return rows.where(good), bad_answers.where("reason is not null").unionByName(bad_items)
+
+
+def detect_with(chunks: DataFrame, answer: Callable[[pd.Series], pd.Series] | None = None,
+                round_: int | None = None, require_fence: bool = True, use_prompt: bool = False,
+                rebalance: int | None = None, pos_offset: int = 0,
+                setup: Callable[[], Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
+    """Item rows of a caller's function (see :func:`answers_with`); bad answers give no items.
+
+    Use :func:`answers_with` and :func:`split_rejects` to keep them as rejects.
+    """
+    return split_rejects(answers_with(chunks, answer, round_, use_prompt, rebalance, setup), require_fence, pos_offset)[0]

@@ -7,7 +7,7 @@ Queries left out (rows-only check): ``chunk_recursive`` and ``scan_documents``
 from __future__ import annotations
 
 from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN
-from shroud.operators.detect import DEFAULT_RULES, with_checks
+from shroud.operators.detect import DEFAULT_RULES, MORE_RULES, with_checks
 from shroud.plans import sqlgen as S
 from shroud.plans.queries import DICTIONARY_TERMS
 
@@ -74,6 +74,16 @@ def _payload_parse() -> str:
           FROM ({modes}) x WHERE items IS NOT NULL) y"""
 
 
+def _answer_rejects() -> str:
+    """The variants that are rejected, by what is wrong with each (payloads themselves are good)."""
+    wrong = [("bare", "detect", "no fence"), ("object", "detect", "not a JSON array"), ("object", "combine", "not a JSON array"),
+             ("truncated", "detect", "not a JSON array"), ("truncated", "combine", "not a JSON array"),
+             ("trailing", "detect", "not a JSON array"), ("trailing", "combine", "not a JSON array")]
+    rows = ", ".join(f"({S.lit(v)}, {S.lit(m)}, {S.lit(r)})" for v, m, r in wrong)
+    return f"""SELECT doc_id, chunk_index, variant, mode, reason
+               FROM (SELECT DISTINCT doc_id, chunk_index FROM ({_round0()}) d), (VALUES {rows}) w(variant, mode, reason)"""
+
+
 def _dictionary() -> str:
     terms = " UNION ALL ".join(
         f"SELECT {S.lit(t)} AS term, {S.lit(c)} AS category, {S.lit(ty)} AS type, {S.lit(j)} AS justification"
@@ -178,6 +188,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_short": f"""SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars
                            FROM ({_chunks(tidy=False)}) c GROUP BY doc_id""",
         "detect_rules": r0,
+        "detect_rules_more": S.detections(chunks, 0, MORE_RULES),
+        "answer_rejects": _answer_rejects(),
         "detect_rules_checked": S.detections(chunks, 0, with_checks()),
         "detect_rules_pages": S.detections(pages_chunks, 0),
         "detect_rules_conversations": S.detections(conv_chunks, 0),

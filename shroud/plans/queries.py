@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.functions.fold import casefold, fold
-from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN, ITEM_FIELDS, fenced, parse_items, strip_fence
+from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN, ITEM_FIELDS, fenced, parse_items, reject_reason, strip_fence
 from shroud.functions.text import clean_text
 from shroud.operators.chunk import chunk_documents, examinable
-from shroud.operators.detect import (DEFAULT_RULES, detect_dictionary, detect_rules, detect_with,
+from shroud.operators.detect import (DEFAULT_RULES, MORE_RULES, detect_dictionary, detect_rules, detect_with,
                                      render_prompt, terms_table, with_checks)
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
@@ -373,7 +373,23 @@ def q_scan_pages(spark, sf_dir):
     return find_items(pages, id_col="page_id", text_col="html", chunker="fixed")
 
 
+def q_detect_rules_more(spark, sf_dir):
+    """D1 with looser forms: national phones, IPv6, grouped cards, equipment numbers, grouped account numbers."""
+    return detect_rules(fixed_chunks(spark, sf_dir), MORE_RULES, round_=0)
+
+
+def q_answer_rejects(spark, sf_dir):
+    """Why malformed answers give no items, as the detection and as the combining step read them."""
+    answers = _answer_variants(payloads(round0(spark, sf_dir)))
+    both = answers.select("doc_id", "chunk_index", "variant", F.explode(F.array(
+        F.struct(F.lit("detect").alias("mode"), reject_reason(F.col("answer"), True).alias("reason")),
+        F.struct(F.lit("combine").alias("mode"), reject_reason(F.col("answer"), False).alias("reason")))).alias("m"))
+    return both.select("doc_id", "chunk_index", "variant", "m.mode", "m.reason").where("reason is not null")
+
+
 QUERIES.update({
+    "detect_rules_more": q_detect_rules_more,
+    "answer_rejects": q_answer_rejects,
     "stage_counts": q_stage_counts,
     "detect_rules_checked": q_detect_rules_checked,
     "mask_documents_indexed": q_mask_documents_indexed,

@@ -116,6 +116,9 @@ CHECKS = {
              "THEN 2 * CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) - 9 "
              "ELSE 2 * CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) END) "
              "ELSE CAST(substr(m, length(m) - i + 1, 1) AS INTEGER) END)) % 10 = 0"),
+    "luhn_digits": ("list_sum(list_transform(string_split(reverse(regexp_replace(m, '[ -]', '', 'g')), ''), lambda d, i: "
+                    "CASE WHEN i % 2 = 1 THEN CAST(d AS INTEGER) WHEN CAST(d AS INTEGER) > 4 THEN 2 * CAST(d AS INTEGER) - 9 "
+                    "ELSE 2 * CAST(d AS INTEGER) END)) % 10 = 0"),
     "octets": "list_bool_and(list_transform(string_split(m, '.'), lambda o: CAST(o AS INTEGER) <= 255))",
 }
 

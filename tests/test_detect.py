@@ -152,3 +152,28 @@ def test_a_term_keeps_all_its_categories(spark):
     chunks = spark.createDataFrame([("d", 0, "In Paris today")], "doc_id string, chunk_index int, content string")
     terms = terms_table(spark, [("Paris", "name", "direct", "n"), ("paris", "location data", "indirect", "l"), ("Paris", "name", "direct", "n")])
     assert sorted(r.category for r in detect_dictionary(chunks, terms).collect()) == ["location data", "name"]
+
+
+def test_more_rules(spark):
+    from shroud.operators.detect import MORE_RULES, detect_rules
+
+    cases = [("(202) 555-0123", True), ("202.555.0123", True), ("+44 20 7946 0958", True), ("2001:db8:0:0:0:0:0:1", True),
+             ("4539148803436467", True), ("4539148803436468", False), ("4539 1488 0343 6467", True), ("4539-1488-0343-6468", False),
+             ("490154203237518", True), ("490154203237519", False), ("DE89 3704 0044 0532 0130 00", True), ("12.50.2024", False)]
+    chunks = spark.createDataFrame([(str(i), 0, f"see {t} here") for i, (t, _) in enumerate(cases)],
+                                   "doc_id string, chunk_index int, content string")
+    rows = detect_rules(chunks, MORE_RULES).collect()
+    assert {int(r.doc_id) for r in rows if r.text == cases[int(r.doc_id)][0]} == {i for i, c in enumerate(cases) if c[1]}
+    assert {r.doc_id for r in rows} == {str(i) for i, c in enumerate(cases) if c[1]}
+
+
+def test_rejects_keep_what_was_wrong(spark):
+    from shroud.operators.detect import answers_with, split_rejects
+
+    good = '```json\n[{"text":"J","category":"name"},{"category":"x"}]\n```'
+    texts = {"a": good, "b": "no fence", "c": "```json\n[{\n```", "d": "```json\n[]\n```", "e": "```json\n[{]\n```"}
+    chunks = spark.createDataFrame([(k, 0, v) for k, v in texts.items()], "doc_id string, chunk_index int, content string")
+    rows, rejects = split_rejects(answers_with(chunks, lambda s: s, round_=0))
+    assert [(r.doc_id, r.text) for r in rows.collect()] == [("a", "J")]
+    assert sorted((r.doc_id, r.reason) for r in rejects.collect()) == [
+        ("a", "item without text"), ("b", "no fence"), ("c", "not a JSON array"), ("e", "invalid JSON")]
