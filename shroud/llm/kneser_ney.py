@@ -44,8 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm import textscan as ts
-from shroud.llm.common import shared_path
-from shroud.session import ship_package
+from shroud.llm.common import python_workers, shared_path
 
 END, START = np.uint64(1), np.uint64(2)
 WORD_BITS = 48
@@ -343,7 +342,7 @@ def mapped_folder(spark, prefix: str) -> str:
 def train(docs: DataFrame, model_dir: str | None = None) -> Model:
     """Count ``docs`` (text) and write the model's arrays."""
     spark = docs.sparkSession
-    ship_package(spark)
+    python_workers(spark)
     folder = model_dir or mapped_folder(spark, "kneser-ney")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shard_bits = max(3, int(size // SHARD_BYTES).bit_length())
@@ -391,7 +390,7 @@ def train(docs: DataFrame, model_dir: str | None = None) -> Model:
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
               "base_score double, score double")
 

@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm import textscan as ts
-from shroud.llm.common import materialize, row_key, sorted_groups
-from shroud.session import ship_package
+from shroud.llm.common import materialize, python_workers, row_key, sorted_groups
 
 LINE_SCHEMA = ("dd_ord long, dd_key long, pos long, occ long, cnt long, h long, "
                "a long, b long, pa long, pb long")
@@ -136,7 +135,7 @@ def common_blocks(x: dict, min_bytes: int) -> list[tuple[int, int]]:
 def deletions(docs: DataFrame, min_bytes: int) -> DataFrame:
     """(dd_key, first, last): blocks of lines to delete from the document with this key.
     ``docs`` has dd_ord, dd_key and text."""
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
     lines = docs.select("dd_ord", "dd_key", "text").mapInArrow(_line_rows, LINE_SCHEMA)
     held = ["dd_ord", "dd_key", "pos", "cnt", "a", "b", "pa", "pb"]
     # written, so that the join below deals both sides itself and hot lines can be split

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from shroud.llm.common import python_workers
 from shroud.llm.tokenize import tokenizer
-from shroud.session import ship_package
 
 WINDOW = 2048
 END_ID = 1
@@ -126,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     """One row per piece of ``docs`` (doc_id, text), see the module text; ``window`` is a power of two."""
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)

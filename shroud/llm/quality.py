@@ -32,8 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm import textscan as ts
-from shroud.llm.common import materialize, small_side
-from shroud.session import ship_package
+from shroud.llm.common import materialize, python_workers, small_side
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -137,7 +136,7 @@ def fit_logistic(features: np.ndarray, label: np.ndarray, ridge: float = 1.0, st
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> LogisticModel:
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
     sample = (
         labels.filter("doc_id is not null and quality is not null")
         .groupBy("doc_id").agg(F.min("quality").alias("qe_label"))
@@ -158,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Logis
 
 def with_evidence(docs: DataFrame, model: LogisticModel) -> DataFrame:
     """``docs`` with qe_evidence, the log odds that the text alone adds."""
-    ship_package(docs.sparkSession)
+    python_workers(docs.sparkSession)
 
     @F.arrow_udf("double")
     def evidence(text: pa.Array) -> pa.Array:

@@ -36,7 +36,7 @@ def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def parts(off: np.ndarray, max_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def parts(off: np.ndarray, max_bytes: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``max_bytes`` each; one longer text is a range of its own."""
     lo, n = 0, len(off) - 1
     while lo < n:
@@ -54,7 +54,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(16, int(n).bit_length()))
+    up, down = _powers(1 << max(19, int(n).bit_length()))
     return up[:n], down[:n]
 
 

@@ -118,7 +118,7 @@ class WordTokenizer:
         ids = every[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
         return ids, total[np.searchsorted(cuts, off)]
 
-    def encode(self, texts: list[str], max_chars: int = 1_000_000) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str], max_chars: int = 300_000) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         lo = 0
         while lo < len(texts):
