@@ -32,16 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shroud.llm.common import materialize
+from shroud.llm.common import materialize, python_workers
 from shroud.llm.vectors import is_query, matrix, merged, once_per_id, valid_vectors, vector_column
-from shroud.session import ship_package
 
 NODES = 32
 SAMPLE = 2_000
 BLOCK = 4_096
 #: Queries that meet a block in one task.
 GROUP = 2_048
-LEAF = 96
+#: Points of a leaf of the data and of the queries at most (or more where all are equal).
+LEAF, QUERY_LEAF = 64, 16
+#: A node whose net would have children of fewer points than this on average stays a leaf: points that lie so far
+#: apart can't be pruned, and one product compares them faster than many small ones.
+SPREAD = 8
 #: Radius of a child net over its parent's.
 SHRINK = 0.75
 
@@ -49,8 +52,8 @@ SHRINK = 0.75
 class CoverTree:
     """Nested nets: children's centres are more than the child radius apart and cover the parent's points."""
 
-    def __init__(self, points: np.ndarray):
-        self.points = points
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.points, self.leaf = points, leaf
         self.centre: list[np.ndarray] = []
         self.radius: list[float] = []
         self.norm: list[float] = []
@@ -68,13 +71,15 @@ class CoverTree:
         self.norm.append(float(np.sqrt((centre**2).sum())))
         self.members.append(idx)
         self.children.append([])
-        if len(idx) > LEAF and self.radius[node] > 0:
-            reach, rest = self.radius[node] * SHRINK, idx
-            while len(rest):
+        if len(idx) > self.leaf and self.radius[node] > 0:
+            reach, rest, nets = self.radius[node] * SHRINK, idx, []
+            while len(rest) and len(nets) <= len(idx) // SPREAD:
                 d = ((self.points[rest] - self.points[rest[0]]) ** 2).sum(1)
                 near = d <= reach * reach
-                self.children[node].append(self._add(rest[near], 0))
+                nets.append(rest[near])
                 rest = rest[~near]
+            if not len(rest):
+                self.children[node] = [self._add(net, 0) for net in nets]
         return node
 
     @property
@@ -103,9 +108,10 @@ class TopK:
         some = np.flatnonzero(useful.any(1))
         if not len(some):
             return
-        rows = rows[some]
-        every = np.where(useful[some], score[some], -np.inf)
-        ids = np.where(useful[some], vec[None, :], np.iinfo(np.int64).max)
+        rows, cols = rows[some], np.flatnonzero(useful.any(0))
+        useful, score, vec = useful[np.ix_(some, cols)], score[np.ix_(some, cols)], vec[cols]
+        every = np.where(useful, score, -np.inf)
+        ids = np.where(useful, vec[None, :], np.iinfo(np.int64).max)
         every = np.concatenate([self.score[rows], every], 1)
         ids = np.concatenate([self.vec[rows], ids], 1)
         by = np.lexsort((ids, -every), axis=1)[:, : self.k]
@@ -177,7 +183,7 @@ def _assigned(points: DataFrame, centres: np.ndarray) -> DataFrame:
 def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, id_col: str = "vec_id",
           vector: str = "embedding", nodes: int = NODES, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows whose id is divisible by ``query_every``, over all rows."""
-    ship_package(df.sparkSession)
+    python_workers(df.sparkSession)
     whole = valid_vectors(df, id_col, vector).select(
         "vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
     whole = materialize(whole, "whole-vectors")
@@ -243,7 +249,7 @@ def _searched(data: DataFrame, queries: DataFrame, k: int, with_scores: bool) ->
         ids, q = right.column("query_id").to_numpy(), matrix(right.column("q"))
         top = TopK(ids, k, right.column("floor").to_numpy())
         if len(x) and len(q):
-            dual_search(CoverTree(q), CoverTree(x), vec, top)
+            dual_search(CoverTree(q, QUERY_LEAF), CoverTree(x), vec, top)
         if not with_scores:
             return pa.table({"query_id": ids, "vec_id": np.zeros(len(ids), np.int64), "score": top.worst})
         real = np.isfinite(top.score)
