@@ -36,14 +36,18 @@ def envelope_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 def process_batch(batch: DataFrame, batch_id: int, output_dir: str, **options) -> None:
     """One micro-batch: envelopes -> findings and rejects under ``batch_id=<n>``."""
-    docs, rejects = from_envelope(batch, unique_ids=True)
-    prepared = docs.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
-    result = detect_documents(prepared, clean=False, **options)
-    out = findings(result.detections).withColumn("batch_id", F.lit(batch_id))
-    out.write.mode("overwrite").parquet(os.path.join(output_dir, "findings", f"batch_id={batch_id}"))
-    docs.select("id").distinct().write.mode("overwrite").parquet(
-        os.path.join(output_dir, "documents", f"batch_id={batch_id}"))
-    rejects.write.mode("overwrite").parquet(os.path.join(output_dir, "rejects", f"batch_id={batch_id}"))
+    batch = batch.persist()  # read for the detections, the document list and the rejects
+    try:
+        docs, rejects = from_envelope(batch, unique_ids=True)
+        prepared = docs.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
+        result = detect_documents(prepared, clean=False, **options).drop_chunks()
+        out = findings(result.detections).withColumn("batch_id", F.lit(batch_id))
+        out.write.mode("overwrite").parquet(os.path.join(output_dir, "findings", f"batch_id={batch_id}"))
+        docs.select("id").distinct().write.mode("overwrite").parquet(
+            os.path.join(output_dir, "documents", f"batch_id={batch_id}"))
+        rejects.write.mode("overwrite").parquet(os.path.join(output_dir, "rejects", f"batch_id={batch_id}"))
+    finally:
+        batch.unpersist()
 
 
 def detect_stream(spark: SparkSession, source_dir: str, output_dir: str, checkpoint_dir: str | None = None,

@@ -83,3 +83,16 @@ def test_recursive_chunks_equal_plain_python(spark):
         pieces = [t] if len(t) < 1024 else [re.sub(r"\n+", " ", c.strip()) for c in recursive_split(t, 1024, 128) if c.strip()]
         want[d] = dict(enumerate(pieces))
     assert got == want
+
+
+def test_fixed_windows_count_code_points(spark):
+    import random
+
+    from shroud.operators.chunk import fixed_windows
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab\n\r é\U0001f600 ") for _ in range(n)) for n in [*range(30), 100, 333]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size, overlap in ((10, 3), (10, 5), (7, 0), (10, 9), (1, 0)):
+        for r in df.select("t", fixed_windows(F.col("t"), size, overlap).alias("w")).collect():
+            assert r.w == [r.t[p : p + size] for p in range(0, max(len(r.t) - overlap, 1), size - overlap)]
