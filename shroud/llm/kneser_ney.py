@@ -348,7 +348,7 @@ def train(docs: DataFrame, model_dir: str | None = None) -> Model:
     shard_bits = max(3, int(size // SHARD_BYTES).bit_length())
     if shard_bits > BUCKET_BITS:
         raise ValueError("over 2**16 shards: raise SHARD_BYTES")
-    word_bits = shard_bits - 2
+    word_bits = shard_bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
