@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BMP_LIMIT = 0x10000
+LATIN_END = 0x180
 
 
 def _fold_char(c: str) -> str:
@@ -73,8 +74,9 @@ def casefold_tables(limit: int = BMP_LIMIT) -> tuple[str, str, tuple[tuple[str,
 
 
 @functools.lru_cache(maxsize=None)
-def spelled_tables() -> tuple[dict[str, str], str]:
-    """What :func:`fold` leaves as it is though its full fold differs: the map, and a regex class of its keys."""
+def spelled_tables() -> tuple[dict[str, str], str, str]:
+    """What :func:`fold` leaves as it is though its full fold differs: the map, a regex class of its keys, and a
+    much shorter class that holds them all (Latin texts fail it at once)."""
     table = {}
     for cp in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)]:
         f = _fold_char(chr(cp))
@@ -86,16 +88,17 @@ def spelled_tables() -> tuple[dict[str, str], str]:
             runs[-1][1] = cp
         else:
             runs.append([cp, cp])
-    return table, "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+    near = "".join(rf"\x{{{cp:X}}}" for cp in codes if cp < LATIN_END)
+    return table, "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]", rf"[{near}\x{{{LATIN_END:X}}}-\x{{10FFFF}}]"
 
 
 def spell_out(c: Column) -> Column:
     """Characters whose full fold has several characters, or that lie beyond the basic plane, as their fold
     (a ligature as its letters, a mathematical letter as the plain one). Other texts come back as they are."""
-    table, odd = spelled_tables()
+    table, odd, maybe = spelled_tables()
     spelled = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
     one = lambda x: F.when(x.rlike(odd), F.coalesce(F.try_element_at(spelled, x), x)).otherwise(x)
-    return F.when(c.rlike(odd), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
+    return F.when(c.rlike(maybe) & c.rlike(odd), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
 def fold(c: Column) -> Column:
