@@ -135,17 +135,21 @@ def test_consecutive_ids_across_partitions(spark):
     assert [(g, k) for _, g, k in got] == want
 
 
-def test_file_listing_query_against_brute_force(spark):
-    """Rows-only file_listing: one text file per (lang, source), numbered 0.. in path order, all plain text."""
-    import __spark_entry__ as E
-
-    sf = "/root/testdata/sf0.001"
-    rows = E.queries()["file_listing"](spark, sf).collect()
-    groups = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "source").distinct().count()
-    assert len(rows) == groups
-    assert sorted(int(r.id) for r in rows) == list(range(groups))
-    assert {r.type for r in rows} == {"text/plain"}
-    assert all(r.name.endswith(".txt") and r.n_chars > 0 for r in rows)
+def test_written_files_are_listed_in_order(spark, tmp_path):
+    """Files that Spark writes: numbered 0.. in path order, all plain text, with the text they were written with."""
+    from shroud.sources.envelope import from_envelope
+    from shroud.sources.files import extract_documents, files_to_envelopes, list_files
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = f"{tmp_path}/corpus"
+    docs.select("lang", "source", "text").repartition("lang", "source").write.partitionBy("lang", "source").text(out)
+    files = list_files(spark, out, recursive=True, extensions=["txt"], with_content=True)
+    ok, rejects = extract_documents(files)
+    rows = from_envelope(files_to_envelopes(ok))[0].collect()
+    listed = sorted((r.path, int(r.file_id)) for r in files.collect())
+    assert [i for _, i in listed] == list(range(len(rows))) == sorted(int(r.id) for r in rows)
+    assert {r.type for r in rows} == {"text/plain"} and rejects.count() == 0
+    assert sum(len(r.text) for r in ok.collect()) == sum(len(r.text) + 1 for r in docs.collect())
 
 
 def test_odt_keeps_text_in_order():
