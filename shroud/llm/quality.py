@@ -163,7 +163,8 @@ def with_evidence(docs: DataFrame, model: LogisticModel) -> DataFrame:
     def evidence(text: pa.Array) -> pa.Array:
         return pa.array(model.evidence(text_features(text)), pa.float64())
 
-    return docs.withColumn("qe_evidence", evidence(F.col("text")))
+    # never null, so that no filter on null evidence is inferred, which would run the function a second time
+    return docs.withColumn("qe_evidence", F.coalesce(evidence(F.col("text")), F.lit(0.0)))
 
 
 def _odds(p: Column) -> Column:
