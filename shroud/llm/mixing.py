@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from shroud.llm.common import materialize, small_side
 
-#: Hexadecimal digits of the order key that make a bucket: 16 ** 3 buckets a leaf.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of the order key that make a bucket, coarse and fine: 16 ** 4 buckets a leaf.
+BUCKET_DIGITS = (2, 4)
 LEVELS = ["mx_domain", "mx_language", "mx_source"]
 TOKEN = r"[^ \t\n\x0B\f\r]+"
 
@@ -120,13 +120,13 @@ def mix(docs: DataFrame, domain: Column, language: Column, source: Column, budge
         "mix-budgets")
 
     last = order_key(seed, F.col("mx_whole"), F.col("doc_id"))
-    cut = materialize(_cuts(light.join(small_side(budgets), LEVELS).withColumn("mx_order", last)), "mix-cuts")
+    cut = _cuts(light.join(small_side(budgets), LEVELS).withColumn("mx_order", last))
     plan = budgets.select(*LEVELS, "mx_whole").join(cut, LEVELS, "left").select(
         *LEVELS, "mx_whole", "mx_bucket", "mx_left")
     plan = materialize(plan, "mix-plan")
 
     joined = keyed.join(small_side(plan), LEVELS)
-    bucket = F.substring(order_key(seed, F.col("mx_whole"), F.col("doc_id")), 1, BUCKET_DIGITS)
+    bucket = F.substring(order_key(seed, F.col("mx_whole"), F.col("doc_id")), 1, BUCKET_DIGITS[-1])
     names = [*docs.columns, *LEVELS, "mx_tokens"]
     epochs = F.col("mx_whole") + F.when(bucket < F.col("mx_bucket"), 1).otherwise(0)
     full = joined.withColumn("mx_epochs", epochs).filter("mx_epochs > 0 and mx_tokens > 0").select(
@@ -144,11 +144,21 @@ def mix(docs: DataFrame, domain: Column, language: Column, source: Column, budge
 
 
 def _cuts(light: DataFrame) -> DataFrame:
-    """Per leaf with a partial epoch: the bucket its prefix ends in, tokens before it and left for it."""
-    sums = light.filter("mx_rest > 0").groupBy(
-        *LEVELS, F.substring("mx_order", 1, BUCKET_DIGITS).alias("mx_bucket")).agg(
-        F.sum("mx_tokens").alias("t"), F.min("mx_rest").alias("rest"))
-    upto = Window.partitionBy(*LEVELS).orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    at = sums.withColumn("mx_before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
-    return at.filter("mx_before < rest and rest <= mx_before + t").select(
-        *LEVELS, "mx_bucket", (F.col("rest") - F.col("mx_before")).alias("mx_left"))
+    """Per leaf with a partial epoch: the bucket its prefix ends in, and the tokens left for it.
+
+    Buckets are found digits by digits, so a window sees at most 16 ** 2 rows of a leaf.
+    """
+    at, left = None, F.col("mx_rest")
+    for digits in BUCKET_DIGITS:
+        rows = light.filter("mx_rest > 0")
+        if at is not None:
+            rows = rows.join(small_side(at), LEVELS).filter(F.substring("mx_order", 1, before_digits) == F.col("mx_bucket")).drop("mx_bucket")
+            left = F.col("mx_left")
+        sums = rows.groupBy(*LEVELS, F.substring("mx_order", 1, digits).alias("mx_bucket")).agg(
+            F.sum("mx_tokens").alias("t"), F.min(left).alias("rest"))
+        upto = Window.partitionBy(*LEVELS).orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        found = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).filter(
+            "before < rest and rest <= before + t")
+        at = materialize(found.select(*LEVELS, "mx_bucket", (F.col("rest") - F.col("before")).alias("mx_left")), "mix-cuts")
+        before_digits = digits
+    return at
