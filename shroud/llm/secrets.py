@@ -90,11 +90,11 @@ def scan_blobs(versions: DataFrame, due: DataFrame, rules: list[Rule]) -> DataFr
     """(blob, kind, rule_version, start, end) of the due pairs; ``due`` is ``unseen``'s table, written."""
     keyed = versions.select("content", address(F.col("content")).alias("blob"),
                             row_key("path", "version").alias("pv")).withColumn("vk", F.xxhash64("pv", "blob"))
-    texts = keyed.select("vk", F.coalesce("content", F.lit("")).alias("content")).join(
-        due.hint("shuffle_hash"), "vk")
-    any_rule = "|".join(f"(?:{r.pattern})" if not r.pattern.startswith("(?i)") else f"(?i:{r.pattern[4:]})" for r in rules)
-    hit = texts.filter(F.col("content").rlike(any_rule))
-    per_rule = hit.select(
+    texts = keyed.select("vk", F.coalesce("content", F.lit("")).alias("content"))
+    texts = texts.join(due.hint("shuffle_hash"), "vk")
+    # rules are tried inside the generator, where no filter on the text can move below the join:
+    # a text that is not due is not read by any pattern
+    per_rule = texts.select(
         "blob", F.explode(F.array(*[_matches(r, F.col("content"), F.col("todo")) for r in rules])).alias("m"))
     each = per_rule.select(
         "blob", "m.kind", "m.rule_version", "m.least",
