@@ -381,8 +381,10 @@ def train(docs: DataFrame, model_dir: str | None = None) -> Model:
 
     row = "blob binary, stats array<long>"
     pairs = docs.select("text").mapInArrow(count, f"shard int, {row}")
-    parts = pairs.repartition(1 << shard_bits, "shard").sortWithinPartitions("shard").mapInArrow(merge, f"u int, {row}")
-    totals = parts.repartition((1 << word_bits) + 1, "u").sortWithinPartitions("u").mapInArrow(
+    # one shard a task: dealt by its number, since hashes of so few numbers would put several together
+    parts = pairs.repartitionById(1 << shard_bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(
+        merge, f"u int, {row}")
+    totals = parts.repartitionById((1 << word_bits) + 1, F.col("u") + 1).sortWithinPartitions("u").mapInArrow(
         finish, ", ".join(f"{s} long" for s in STATS))
     got = totals.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS]).first()
     return Model(folder, shard_bits, word_bits, got.asDict())
