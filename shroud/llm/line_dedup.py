@@ -3,13 +3,18 @@
 Documents are ordered by (doc_id, content key). Every line occurrence (line
 hash, which occurrence of it in its document) finds the earliest document that
 holds it; so a later document meets each earlier one it shares lines with
-through at most as many rows as it has lines, whatever the size of a group of
-copies. Per pair of documents the shared lines are aligned by patience: lines
-that occur once in both (the rare ones) give the longest increasing chain of
-anchors, stretches between anchors that are equal byte by byte (by their
-running hashes) join them into one block, and blocks grow over equal
-neighbouring lines that are not unique. Blocks of ``min_bytes`` or more are
-deleted from the later document.
+through at most a few rows per line, whatever the size of a group of copies.
+Lines that a document repeats are numbered from both ends, and the earliest
+holder gives its first and its last one, so that a line meets its like whether
+it is repeated in the earlier document, in the later one or in both. Per pair
+of documents the shared lines are aligned by patience: lines that occur once in
+both and repeated lines of ``min_bytes`` or more give the longest increasing
+chain of anchors, stretches between anchors that are equal byte by byte (by
+their running hashes) join them into one block, and blocks grow over equal
+neighbouring lines that are short and repeated. Blocks of ``min_bytes`` or more
+are deleted from the later document. An alignment is one to one: of a passage
+that the later document holds more often than the earlier one, the surplus
+stays.
 
 Shuffles: line rows (no text) by line for the earliest holder and for the join
 (hot lines are pre-aggregated, and the join is open to skew splitting), shared
@@ -41,7 +46,8 @@ _M = (1 << 64) - 1
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per non-empty line: its position, occurrence number and count in the document,
-    hash, byte range, and the document's running byte hash at both ends."""
+    hash, byte range, and the document's running byte hash at both ends. A line that the document
+    repeats has a second row, with its occurrence number from the end (-1 is the last)."""
     names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
     for batch in batches:
         order, key = np.asarray(batch.column("dd_ord")), np.asarray(batch.column("dd_key"))
@@ -67,7 +73,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = [order[lo:hi][doc], key[lo:hi][doc], breaks[s] - breaks[begin], occ, cnt, h.view(np.int64),
                     s - begin, e - begin, ((prefix[s] - prefix[begin]) * down[begin]).view(np.int64),
                     ((prefix[e] - prefix[begin]) * down[begin]).view(np.int64)]
-            for at in range(0, len(s), 100_000):
+            again = np.flatnonzero(cnt > 1)
+            cols = [np.concatenate([c, (occ - cnt if c is occ else c)[again]]) for c in cols]
+            for at in range(0, len(cols[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], pa.int64()) for c in cols], names=names)
 
 
@@ -104,15 +112,16 @@ def _same_between(x: dict, i: int, j: int) -> bool:
 def common_blocks(x: dict, min_bytes: int) -> list[tuple[int, int]]:
     """[first, last] line numbers, in the later document, of the blocks that align with the earlier.
 
-    ``x`` holds the shared lines of one pair, sorted by position in the later document.
+    ``x`` holds the shared lines of one pair, sorted by position in the later document and, where a
+    line may align with several of the earlier one, from the last of them to the first.
     """
     pos, f_pos = x["pos"].tolist(), x["f_pos"].tolist()
-    rare = [i for i in range(len(pos)) if x["cnt"][i] == 1 and x["f_cnt"][i] == 1]
-    chain = [rare[k] for k in longest_chain([f_pos[i] for i in rare])]
-    where = {p: i for i, p in enumerate(pos)}
+    anchors = np.flatnonzero((x["cnt"] == 1) & (x["f_cnt"] == 1) | (x["b"] - x["a"] >= min_bytes)).tolist()
+    chain = [anchors[k] for k in longest_chain([f_pos[i] for i in anchors])]
+    where = {p: i for i, p in enumerate(zip(pos, f_pos, strict=True))}
 
     def grow(i: int, step: int, stop: int) -> int:
-        while (k := where.get(pos[i] + step)) is not None and f_pos[k] == f_pos[i] + step and pos[k] != stop:
+        while (k := where.get((pos[i] + step, f_pos[i] + step))) is not None and pos[k] != stop:
             i = k
         return i
 
@@ -141,19 +150,22 @@ def deletions(docs: DataFrame, min_bytes: int) -> DataFrame:
     # written, so that the join below deals both sides itself and hot lines can be split
     first = materialize(
         lines.groupBy("h", "occ").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*held)).alias("f"))
-        .filter("n > 1")
-        .select("h", "occ", *[F.col(f"f.{c}").alias(f"f_{c}") for c in held]),
+        .filter("n > 1 or occ < 0")
+        # first and last occurrences meet each other too, as a document without repeats has no rows from the end
+        .select("h", F.explode(F.expr("case when occ in (0, -1) then array(0L, -1L) else array(occ) end")).alias("occ"),
+                *[F.col(f"f.{c}").alias(f"f_{c}") for c in held]),
         "earliest-lines",
     )
-    shared = lines.join(first, ["h", "occ"]).filter("dd_key <> f_dd_key").drop("h", "occ", "dd_ord", "f_dd_ord")
-    ordered = shared.repartition("dd_key").sortWithinPartitions("dd_key", "f_dd_key", "pos")
+    shared = lines.join(first, ["h", "occ"]).filter(
+        "f_dd_ord < dd_ord or f_dd_ord = dd_ord and f_dd_key < dd_key").drop("h", "occ", "dd_ord", "f_dd_ord")
+    ordered = shared.repartition("dd_key").sortWithinPartitions("dd_key", "f_dd_key", "pos", F.desc("f_pos"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
         for cols, lo, hi in sorted_groups(batches, ["dd_key", "f_dd_key"]):
             pair = {n: c[lo:hi] for n, c in cols.items()}
-            keep = np.ones(hi - lo, bool)  # rows equal in id and text give equal rows
-            keep[1:] = pair["pos"][1:] != pair["pos"][:-1]
+            keep = np.ones(hi - lo, bool)  # rows equal in id and text give equal rows, as do both numberings
+            keep[1:] = (pair["pos"][1:] != pair["pos"][:-1]) | (pair["f_pos"][1:] != pair["f_pos"][:-1])
             key = int(pair["dd_key"][0])
             out += [(key, s, e) for s, e in common_blocks({n: c[keep] for n, c in pair.items()}, min_bytes)]
             if len(out) >= 10_000:

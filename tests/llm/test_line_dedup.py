@@ -42,6 +42,17 @@ def test_moved_lines_align_by_the_longest_chain(spark):
     assert got[2][1] == p[4]
 
 
+def test_repeated_passages(spark):
+    """A passage that either document repeats goes as often as the earlier one holds it, in whatever order."""
+    p, q = lines("p", 3), lines("q", 3)
+    a = [*p, *lines("a", 1), *p]
+    assert run(spark, [(1, "\n".join(a)), (2, "\n".join(["head", *p, "tail"]))])[1][1] == "head\ntail"
+    assert run(spark, [(1, "\n".join(a)), (2, "\n".join([*p, "mid", *p, "tail"]))])[1][1] == "mid\ntail"
+    assert run(spark, [(1, "\n".join(p)), (2, "\n".join([*p, "mid", *p]))])[1][3] == 3
+    assert run(spark, [(1, "\n".join(q + p)), (2, "\n".join(p + q + p))])[1][1] == "\n".join(p)
+    assert run(spark, [(1, "\n".join(p + q + p)), (2, "\n".join([*q, *p, "tail"]))])[1][1] == "tail"
+
+
 def test_many_copies(spark):
     text = "\n".join(lines("copy", 5))
     got = run(spark, [(i, text) for i in range(200)])
