@@ -4,17 +4,21 @@ Documents are ordered by (doc_id, content key). Every line occurrence (line
 hash, which occurrence of it in its document) finds the earliest document that
 holds it; so a later document meets each earlier one it shares lines with
 through at most a few rows per line, whatever the size of a group of copies.
-Lines that a document repeats are numbered from both ends, and the earliest
+A line under ``min_bytes`` also stands for the shortest run of lines from it on
+that has ``min_bytes``, and the run finds the earliest document that holds all
+of it, so that a block of short lines stays whole where each of them has a
+holder of its own. Lines and runs that a document repeats are numbered from both ends, and the earliest
 holder gives its first and its last one, so that a line meets its like whether
 it is repeated in the earlier document, in the later one or in both. Per pair
-of documents the shared lines are aligned by patience: lines that occur once in
-both and repeated lines of ``min_bytes`` or more give the longest increasing
+of documents the shared lines and runs are aligned by patience: lines that occur once in
+both, runs, and repeated lines of ``min_bytes`` or more give the longest increasing
 chain of anchors, stretches between anchors that are equal byte by byte (by
 their running hashes) join them into one block, and blocks grow over equal
 neighbouring lines that are short and repeated. Blocks of ``min_bytes`` or more
 are deleted from the later document. An alignment is one to one: of a passage
 that the later document holds more often than the earlier one, the surplus
-stays.
+stays. It also keeps the order: of two passages that the documents hold in
+opposite orders the one off the longest chain stays.
 
 Shuffles: line rows (no text) by line for the earliest holder and for the join
 (hot lines are pre-aggregated, and the join is open to skew splitting), shared
@@ -39,15 +43,16 @@ from pyspark.sql import functions as F
 from shroud.llm import textscan as ts
 from shroud.llm.common import materialize, python_workers, row_key, sorted_groups
 
-LINE_SCHEMA = ("dd_ord long, dd_key long, pos long, occ long, cnt long, h long, "
+LINE_SCHEMA = ("dd_ord long, dd_key long, pos long, last long, occ long, cnt long, h long, "
                "a long, b long, pa long, pb long")
 _M = (1 << 64) - 1
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per non-empty line: its position, occurrence number and count in the document,
-    hash, byte range, and the document's running byte hash at both ends. A line that the document
-    repeats has a second row, with its occurrence number from the end (-1 is the last)."""
+def _line_rows(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One row per non-empty line, and one per line under ``min_bytes`` for the shortest run of lines from
+    it on that has ``min_bytes``: its first and last position, occurrence number and count in the document,
+    hash, byte range, and the document's running byte hash at both ends. A line or run that the
+    document repeats has a second row, with its occurrence number from the end (-1 is the last)."""
     names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
     for batch in batches:
         order, key = np.asarray(batch.column("dd_ord")), np.asarray(batch.column("dd_key"))
@@ -58,11 +63,16 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(s):
                 continue
             prefix = ts.prefix_hash(raw.astype(np.uint64) + np.uint64(1))
-            h = ts.span_hash(prefix, s, e)
             breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+            final = np.searchsorted(e, s + min_bytes)
+            run = np.flatnonzero((final > np.arange(len(s))) & (final < len(s)))
+            run = run[doc[final[run]] == doc[run]]
+            last = np.concatenate([breaks[s], breaks[s[final[run]]]])
+            s, e, doc = (np.concatenate([x, y]) for x, y in ((s, s[run]), (e, e[final[run]]), (doc, doc[run])))
+            h = ts.span_hash(prefix, s, e)
             begin = o[doc]
             _, down = ts.powers(len(prefix))
-            by = np.lexsort((s, h, doc))  # occurrences of one line in one document stand together
+            by = np.lexsort((s, h, doc))  # occurrences of one line or run in one document stand together
             fresh = np.ones(len(by), bool)
             fresh[1:] = (h[by][1:] != h[by][:-1]) | (doc[by][1:] != doc[by][:-1])
             group = np.cumsum(fresh) - 1
@@ -70,8 +80,8 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             occ, cnt = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
             occ[by] = np.arange(len(by)) - first[group]
             cnt[by] = np.diff(np.append(first, len(by)))[group]
-            cols = [order[lo:hi][doc], key[lo:hi][doc], breaks[s] - breaks[begin], occ, cnt, h.view(np.int64),
-                    s - begin, e - begin, ((prefix[s] - prefix[begin]) * down[begin]).view(np.int64),
+            cols = [order[lo:hi][doc], key[lo:hi][doc], breaks[s] - breaks[begin], last - breaks[begin], occ, cnt,
+                    h.view(np.int64), s - begin, e - begin, ((prefix[s] - prefix[begin]) * down[begin]).view(np.int64),
                     ((prefix[e] - prefix[begin]) * down[begin]).view(np.int64)]
             again = np.flatnonzero(cnt > 1)
             cols = [np.concatenate([c, (occ - cnt if c is occ else c)[again]]) for c in cols]
@@ -79,9 +89,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], pa.int64()) for c in cols], names=names)
 
 
-def longest_chain(values: list[int]) -> list[int]:
+def longest_chain(values: list) -> list[int]:
     """Indices of a longest strictly increasing subsequence (patience sorting)."""
-    tops: list[int] = []
+    tops: list = []
     at: list[int] = []
     back: list[int] = []
     for i, v in enumerate(values):
@@ -112,17 +122,19 @@ def _same_between(x: dict, i: int, j: int) -> bool:
 def common_blocks(x: dict, min_bytes: int) -> list[tuple[int, int]]:
     """[first, last] line numbers, in the later document, of the blocks that align with the earlier.
 
-    ``x`` holds the shared lines of one pair, sorted by position in the later document and, where a
-    line may align with several of the earlier one, from the last of them to the first.
+    ``x`` holds the shared lines and runs of one pair, sorted by first and last position in the later
+    document and, where one may align with several of the earlier, from the last of them to the first.
     """
-    pos, f_pos = x["pos"].tolist(), x["f_pos"].tolist()
+    pos, stop_at, f_pos = x["pos"].tolist(), x["last"].tolist(), x["f_pos"].tolist()
     anchors = np.flatnonzero((x["cnt"] == 1) & (x["f_cnt"] == 1) | (x["b"] - x["a"] >= min_bytes)).tolist()
-    chain = [anchors[k] for k in longest_chain([f_pos[i] for i in anchors])]
-    where = {p: i for i, p in enumerate(zip(pos, f_pos, strict=True))}
+    # a line and the run from it on may both stand in the chain
+    chain = [anchors[k] for k in longest_chain([(f_pos[i], stop_at[i] - pos[i]) for i in anchors])]
+    where = {(pos[i], f_pos[i]): i for i in range(len(pos)) if pos[i] == stop_at[i]}
 
     def grow(i: int, step: int, stop: int) -> int:
-        while (k := where.get((pos[i] + step, f_pos[i] + step))) is not None and pos[k] != stop:
-            i = k
+        edge = (stop_at[i] if step > 0 else pos[i]) + step
+        while (k := where.get((edge, edge + f_pos[i] - pos[i]))) is not None and edge != stop:
+            i, edge = k, edge + step
         return i
 
     out, last = [], -1
@@ -130,12 +142,12 @@ def common_blocks(x: dict, min_bytes: int) -> list[tuple[int, int]]:
     while at < len(chain):
         begin = grow(chain[at], -1, last)
         end = chain[at]
-        while at + 1 < len(chain) and _same_between(x, end, chain[at + 1]):
+        while at + 1 < len(chain) and (pos[chain[at + 1]] <= stop_at[end] or _same_between(x, end, chain[at + 1])):
             at += 1
-            end = chain[at]
+            end = max(end, chain[at], key=stop_at.__getitem__)
         at += 1
         end = grow(end, 1, pos[chain[at]] if at < len(chain) else -1)
-        last = pos[end]
+        last = stop_at[end]
         if x["b"][end] - x["a"][begin] >= min_bytes:
             out.append((pos[begin], last))
     return out
@@ -145,7 +157,8 @@ def deletions(docs: DataFrame, min_bytes: int) -> DataFrame:
     """(dd_key, first, last): blocks of lines to delete from the document with this key.
     ``docs`` has dd_ord, dd_key and text."""
     python_workers(docs.sparkSession)
-    lines = docs.select("dd_ord", "dd_key", "text").mapInArrow(_line_rows, LINE_SCHEMA)
+    lines = docs.select("dd_ord", "dd_key", "text").mapInArrow(
+        lambda batches: _line_rows(batches, min_bytes), LINE_SCHEMA)
     held = ["dd_ord", "dd_key", "pos", "cnt", "a", "b", "pa", "pb"]
     # written, so that the join below deals both sides itself and hot lines can be split
     first = materialize(
@@ -158,14 +171,14 @@ def deletions(docs: DataFrame, min_bytes: int) -> DataFrame:
     )
     shared = lines.join(first, ["h", "occ"]).filter(
         "f_dd_ord < dd_ord or f_dd_ord = dd_ord and f_dd_key < dd_key").drop("h", "occ", "dd_ord", "f_dd_ord")
-    ordered = shared.repartition("dd_key").sortWithinPartitions("dd_key", "f_dd_key", "pos", F.desc("f_pos"))
+    ordered = shared.repartition("dd_key").sortWithinPartitions("dd_key", "f_dd_key", "pos", "last", F.desc("f_pos"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
         for cols, lo, hi in sorted_groups(batches, ["dd_key", "f_dd_key"]):
             pair = {n: c[lo:hi] for n, c in cols.items()}
             keep = np.ones(hi - lo, bool)  # rows equal in id and text give equal rows, as do both numberings
-            keep[1:] = (pair["pos"][1:] != pair["pos"][:-1]) | (pair["f_pos"][1:] != pair["f_pos"][:-1])
+            keep[1:] = np.any([pair[n][1:] != pair[n][:-1] for n in ("pos", "last", "f_pos")], axis=0)
             key = int(pair["dd_key"][0])
             out += [(key, s, e) for s, e in common_blocks({n: c[keep] for n, c in pair.items()}, min_bytes)]
             if len(out) >= 10_000:

@@ -53,6 +53,18 @@ def test_repeated_passages(spark):
     assert run(spark, [(1, "\n".join(p + q + p)), (2, "\n".join([*q, *p, "tail"]))])[1][1] == "tail"
 
 
+def test_short_lines_with_holders_of_their_own(spark):
+    """A block goes whole if one earlier document holds it, though each of its lines has an earlier holder."""
+    block = [f"short line {i}" for i in range(6)]
+    rows = [(i, f"{x}\nother words {i}") for i, x in enumerate(block)]
+    rows += [(10, "\n".join(["ten", *block, "ten again"])), (11, "\n".join(["first", *block[:4], "", *block[4:], "tail"])),
+             (12, "\n".join(["head", *block, "tail"]))]
+    got = {r[0]: r for r in run(spark, rows)}
+    assert all(got[i][3] == 0 for i in range(6)) and got[10][3] == 0
+    assert got[12][1] == "head\ntail" and got[12][3] == 6
+    assert got[11][1] == "\n".join(["first", "", *block[4:], "tail"])
+
+
 def test_many_copies(spark):
     text = "\n".join(lines("copy", 5))
     got = run(spark, [(i, text) for i in range(200)])
