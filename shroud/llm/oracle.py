@@ -111,3 +111,74 @@ s AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
+
+
+def _crc_table() -> list[int]:
+    """The remainders of all bytes by the reflected CRC-32 polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _least_draw(children: list[tuple[str, str]], columns: str) -> str:
+    """The child with the least draw; all weigh alike, so the weights cancel."""
+    draw = "-ln((('0x' || substr(md5('{path}:' || key), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+    listed = ", ".join(f"{{'draw': {draw.replace('{path}', path)} / {weight}, 'name': '{path.rpartition('/')[2]}'}}" for path, weight in children)
+    return f"list_min([{listed}]).name AS {columns}"
+
+
+def _descent(regions: dict[str, dict[str, list[int]]], alias: str) -> str:
+    """CASE expressions over the three levels of a tree of shards of weight 1."""
+    size = {r: sum(len(s) for s in racks.values()) for r, racks in regions.items()}
+    region = _least_draw([(f"/{r}", size[r]) for r in sorted(regions)], "region")
+    rack = " ".join(f"WHEN '{r}' THEN ({_least_draw([(f'/{r}/{k}', len(s)) for k, s in sorted(racks.items())], 'x').removesuffix(' AS x')})"
+                    for r, racks in regions.items())
+    shard = " ".join(
+        f"WHEN '{r}/{k}' THEN ({_least_draw([(f'/{r}/{k}/{i}', 1) for i in sorted(s)], 'x').removesuffix(' AS x')})"
+        for r, racks in regions.items() for k, s in racks.items())
+    return f"""
+{alias}_1 AS (SELECT *, {region} FROM k),
+{alias}_2 AS (SELECT *, CASE region {rack} END AS rack FROM {alias}_1),
+{alias} AS (SELECT row, (CASE region || '/' || rack {shard} END)::INTEGER AS shard FROM {alias}_2)"""
+
+
+_EIGHT = {"g0": {"r0": [0, 1], "r1": [2, 3]}, "g1": {"r0": [4, 5], "r1": [6, 7]}}
+
+HASH_TREE = f"""
+WITH k AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id::VARCHAR, 'null') AS key,
+         coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+         xor(4294967295::BIGINT, list_reduce(
+           list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
+           lambda a, x: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+  FROM documents),
+{_descent(_EIGHT, 'old')},
+{_descent({**_EIGHT, 'of 8': {'r0': [8]}}, 'grown')}
+SELECT doc_id, size, text_crc32, 'key' AS law, old.shard AS shard,
+       row_number() OVER (PARTITION BY old.shard ORDER BY md5(key || '|' || size || '|' || text_crc32), doc_id, size, text_crc32) - 1 AS slot,
+       grown.shard AS grown_shard
+FROM k JOIN old USING (row) JOIN grown USING (row)
+"""
+
+FILL_IN_MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+c AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+         CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>')
+                OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b, substr(x, 1, least(c1, c2)) AS pre,
+         substr(x, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS mid, substr(x, greatest(c1, c2) + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE x END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM p
+"""

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm import adaptive_scan, cover_tree, kneser_ney, oracle, pii
+from shroud.llm import adaptive_scan, cover_tree, hash_tree, kneser_ney, oracle, pii
 from shroud.llm.common import table
+from shroud.llm.fill_in_middle import fill_in_middle, restore
 from shroud.llm.jaccard_forest import jaccard_join
 from shroud.llm.line_dedup import dedup_lines
 from shroud.llm.mixing import mix
 from shroud.llm.packing import pack_documents
 from shroud.llm.quality import quality_scores
-
 from shroud.llm.secrets import findings_by_path, scan_history
+from shroud.llm.whitening import whiten
 
 
 def tokenizer_file() -> str:
@@ -87,6 +88,28 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptive_scan.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight even shards in two regions of two racks; a ninth would come as a region of its own."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", hash_tree.text_size(F.col("text")).alias("size"), hash_tree.text_crc32(F.col("text")).alias("text_crc32"))
+    tree, key = hash_tree.Tree.even(8), F.col("doc_id")
+    placed = hash_tree.slots(docs, ["doc_id", "size", "text_crc32"], hash_tree.shard_of(tree, key))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+                         hash_tree.shard_of(tree.with_region(8), key).alias("grown_shard"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"),
+                      F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+                      F.sha2("text", 256).alias("output_sha256"),
+                      F.sha2(restore(F.col("text"), F.col("fim_form")), 256).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_packing": op2_packing,
@@ -98,10 +121,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_forest": op8_jaccard_forest,
     "op9_quality": op9_quality,
     "op10_adaptive_scan": op10_adaptive_scan,
+    "op11_hash_tree": op11_hash_tree,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
     "op4_cover_tree": oracle.TOP_K,
     "op7_secrets": oracle.SECRETS,
+    "op11_hash_tree": oracle.HASH_TREE,
+    "op12_fill_in_middle": oracle.FILL_IN_MIDDLE,
     "op5_mixing": oracle.MIXING.format(weights=" ".join(f"WHEN '{k}' THEN {v}" for k, v in LANGUAGE_WEIGHTS.items())),
 }
