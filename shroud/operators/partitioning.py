@@ -8,7 +8,7 @@ plain files in the shared checkpoint folder, and ``drop_table`` removes them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -43,8 +43,10 @@ def save_table(df: DataFrame, prefix: str = "shroud") -> DataFrame:
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that :func:`save_table` wrote (or unpersist a persisted one)."""
     df.unpersist()
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/tables/" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

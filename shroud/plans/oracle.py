@@ -9,6 +9,7 @@ from __future__ import annotations
 from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN
 from shroud.operators.detect import DEFAULT_RULES, MORE_RULES, with_checks
 from shroud.plans import sqlgen as S
+from shroud.plans.file_queries import FILE_ORACLE
 from shroud.plans.queries import DICTIONARY_TERMS
 
 ITEMS_JSON_TYPE = '[{"text":"VARCHAR","category":"VARCHAR","type":"VARCHAR","justification":"VARCHAR"}]'
@@ -217,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "findings": S.findings(two),
         "two_rounds_first_match": S.two_rounds(chunks, "WHERE item_pos = 0"),
         "findings_first_match": S.findings(S.two_rounds(chunks, "WHERE item_pos = 0")),
+        **FILE_ORACLE,
         "file_listing": """
             SELECT lang, source, CAST(sum(length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) + 1) AS BIGINT)
                      AS n_chars,

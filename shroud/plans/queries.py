@@ -24,6 +24,7 @@ from shroud.operators.detect import (DEFAULT_RULES, MORE_RULES, detect_dictionar
 from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
 from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
 from shroud.operators.partitioning import save_table, spread
+from shroud.plans.file_queries import FILE_QUERIES, result
 from shroud.plans.scan import find_items, first_match_detector, rules_detector, scan_rounds
 from shroud.session import ensure_checkpoint_dir
 from shroud.sources.envelope import documents_as_envelopes, from_envelope
@@ -271,12 +272,12 @@ def q_file_listing(spark, sf_dir):
     base = os.path.join(ensure_checkpoint_dir(spark), f"corpus-{uuid.uuid4().hex}")
     docs = table(spark, sf_dir, "documents")
     docs.select("lang", "source", "text").where("text is not null").write.partitionBy("lang", "source").text(base)
-    files = list_files(spark, base, recursive=True, extensions=["txt"], with_content=True, id_mode="hash")
-    ok, _ = extract_documents(files)
+    ok, _ = extract_documents(list_files(spark, base, recursive=True, extensions=["txt"], id_mode="hash"))
     folder = ok.select(F.regexp_extract("path", "/lang=([^/]*)/source=([^/]*)/", 1).alias("lang"),
                        F.regexp_extract("path", "/lang=([^/]*)/source=([^/]*)/", 2).alias("source"),
                        F.length("text").alias("n"), F.regexp_count("text", F.lit("\n")).alias("lines"))
-    return folder.groupBy("lang", "source").agg(F.sum("n").cast("long").alias("n_chars"), F.sum("lines").cast("long").alias("n_lines"))
+    sums = folder.groupBy("lang", "source").agg(F.sum("n").cast("long").alias("n_chars"), F.sum("lines").cast("long").alias("n_lines"))
+    return result(sums, base)
 
 
 def q_scan_documents(spark, sf_dir):
@@ -398,3 +399,4 @@ QUERIES.update({
     "scan_documents_fixed": q_scan_documents_fixed,
     "scan_pages": q_scan_pages,
 })
+QUERIES.update(FILE_QUERIES)

@@ -1,31 +1,30 @@
 """Document files on a (distributed) file system.
 
-Listing is Spark's ``binaryFile`` source: path filters, size limits and
-column pruning reach the file index, so a listing that does not select
-``content`` never opens a file, and size-filtered files are never read.
-Text formats decode natively; container formats (docx, odt) are unpacked by
-a small per-file Python helper in ``mapInPandas``; pdf and rtf take a
-caller-supplied function. Every failure stays on its own row.
+Directories are listed in tasks (``walk``), which sees every name. Filters, sort
+and ids work on the listing alone; a file is opened where its row is, after all of
+them, so no content is ever shuffled and no filtered file is read. Text kinds
+are decoded, container formats (docx, odt: ``parts``) unpacked and other kinds
+given to caller-supplied functions in one pass (``extract_documents``). Every
+failure stays on its own row.
 """
 
 from __future__ import annotations
 
-import io
 import json
 import logging
 import mimetypes
 import re
-import zipfile
-from typing import Callable, Iterable
-from xml.etree import ElementTree
+from typing import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from shroud.operators.partitioning import save_table
 from shroud.session import ship_package
 from shroud.sources.envelope import envelope_col
+from shroud.sources.parts import docx_text, odt_text
+from shroud.sources.walk import dealt, reachable, read_bytes, read_files, walk
 
 log = logging.getLogger(__name__)
 
@@ -88,20 +87,22 @@ def mime_type(path: Column, content: Column | None = None) -> Column:
 def consecutive_ids(df: DataFrame, order: list[Column], name: str = "file_id", start: int = 0) -> DataFrame:
     """Consecutive positions in a global sort order without a single-partition window.
 
-    Range-partition by the order, number rows inside each partition, then add
-    each partition's offset (a table of one row per partition). The numbered
-    rows are written first: both the offsets and the result must see the same
-    partitions, which a plan evaluated twice does not promise.
+    One range shuffle; a sorted partition numbers its rows by itself, and its
+    offset is the sum of the counts before it (one row per partition, at most
+    ``spark.sql.shuffle.partitions``). The numbered rows are written first: the
+    offsets and the result must see the same partitions, which a plan evaluated
+    twice does not promise.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id())
-    local = ordered.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    local = save_table(local, prefix="numbered")
+    place = F.monotonically_increasing_id()  # partition << 33 | row within it
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    local = save_table(ordered, prefix="numbered").withColumn("_pid", F.shiftright("_place", 33))
     sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
     )
     out = local.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, F.coalesce("_off", F.lit(0)) + F.col("_local") - 1 + start).drop("_pid", "_local", "_off")
+    row = F.col("_place").bitwiseAND((1 << 33) - 1)
+    return out.withColumn(name, F.coalesce("_off", F.lit(0)) + row + start).drop("_pid", "_place", "_off")
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -112,137 +113,115 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub(r"/+$", "", fs.makeQualified(p).toString())
 
 
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def list_files(spark: SparkSession, path: str, recursive: bool = False, extensions: Iterable[str] | None = None,
                max_mb: float | None = None, sort_by: str = "name", names: Iterable[str] | None = None,
                with_content: bool = False, id_mode: str = "position", id_start: int = 0) -> DataFrame:
     """``path, filename, ext, length, modificationTime, file_id[, content]``.
 
-    Flat mode keeps only files directly in ``path``. A missing directory
-    gives an empty result, not an error. ``id_mode='position'`` numbers the
-    files from ``id_start`` (0, or 1 as the notebook variant does) in sort
-    order; ``'hash'`` uses a path hash (no global sort).
+    Flat mode opens ``path`` alone. A missing directory gives an empty result,
+    not an error. ``id_mode='position'`` numbers the files from ``id_start`` (0,
+    or 1 as the notebook variant does) in sort order; ``'hash'`` uses a path hash
+    (no global sort). A store that only Spark reads (viewfs) is listed by its
+    ``binaryFile`` source, which leaves out names that start with ``_`` or ``.``.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    try:
-        files = reader.load(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            log.warning("Directory not found: %s", path)
-            cols = "path string, filename string, ext string, length bigint, modificationTime timestamp, file_id string"
-            if with_content:
-                cols += ", content binary"
-            return spark.createDataFrame([], cols)
-        raise
+    base = qualified(spark, path)
+    columns = ["path", "length", "modificationTime"]
+    own = reachable(base)
+    if not _is_directory(spark, path):
+        log.warning("Directory not found: %s", path)
+        files = spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
+    elif own:
+        files = walk(spark, base, recursive)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(*columns)
+        if not recursive:
+            files = files.where(F.regexp_replace(F.col("path"), r"/[^/]*$", "") == F.lit(base))
     if max_mb:
         files = files.where(F.col("length") <= F.lit(float(max_mb) * 1024 * 1024))
-    if not recursive:
-        parent = F.regexp_replace(F.col("path"), r"/[^/]*$", "")
-        files = files.where(parent == F.lit(qualified(spark, path)))
     files = files.withColumn("filename", basename(F.col("path"))).withColumn("ext", extension(F.col("path")))
     if extensions:
         files = files.where(F.col("ext").isin(normalize_extensions(extensions)))
     if names:
         files = files.where(F.col("filename").isin(list(names)))
-    cols = ["path", "filename", "ext", "length", "modificationTime"] + (["content"] if with_content else [])
-    files = files.select(*cols)
+    files = files.select("path", "filename", "ext", "length", "modificationTime")
     if id_mode == "hash":
-        return files.withColumn("file_id", F.sha2(F.col("path"), 256))
-    key = SORT_KEYS.get(sort_by, "path")
-    order = [F.col(key), F.col("path")] if key != "path" else [F.col("path")]
-    meta = consecutive_ids(files.drop("content") if with_content else files, order, start=id_start).withColumn(
-        "file_id", F.col("file_id").cast("string"))
+        files = files.withColumn("file_id", F.sha2(F.col("path"), 256))
+    else:
+        key = SORT_KEYS.get(sort_by, "path")
+        order = [F.col(key), F.col("path")] if key != "path" else [F.col("path")]
+        files = consecutive_ids(files, order, start=id_start).withColumn("file_id", F.col("file_id").cast("string"))
     if with_content:
-        return meta.join(files.select("path", "content"), "path")
-    return meta
+        if own:
+            return read_files(files)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return files.join(found.select("path", "content"), "path")
+    return files
 
 
 # --- content extraction ----------------------------------------------------------------
 
-
-def _odt_line(node) -> str:
-    """All text of a paragraph in order: nested spans and links with their tails, tabs, line breaks, spaces."""
-    own = {"tab": "\t", "line-break": "\n", "s": " " * int(next((v for k, v in node.attrib.items() if k.endswith("}c")), 1))}
-    out = [own.get(node.tag.rpartition("}")[2], ""), node.text or ""]
-    for child in node:
-        if child.tag.rpartition("}")[2] not in ("note", "annotation"):
-            out.append(_odt_line(child))
-        out.append(child.tail or "")
-    return "".join(out)
-
-
-def _xml_text(xml: bytes, para_tag: str, text_tags: tuple[str, ...]) -> str:
-    root = ElementTree.fromstring(xml)
-    paras = []
-    for p in root.iter():
-        if p.tag.endswith(para_tag):
-            paras.append("".join(t.text or "" for t in p.iter() if t.tag.endswith(text_tags)))
-    return "\n".join(paras)
-
-
-def docx_text(data: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return _xml_text(z.read("word/document.xml"), "}p", ("}t",))
-
-
-def odt_text(data: bytes) -> str:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("content.xml"))
-    return "\n".join(_odt_line(p) for p in root.iter() if p.tag.endswith(("}p", "}h")))
+DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".odt": odt_text}
 
 
-DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], str]] = {".docx": docx_text, ".odt": odt_text}
+def plain_text(data: bytes) -> str:
+    """UTF-8 text with line ends as Python's text mode reads them; invalid bytes are an error."""
+    return data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
 
 
 def extract_documents(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None
                       ) -> tuple[DataFrame, DataFrame]:
-    """Files with ``content`` -> (``path, ... , text``, rejects ``path, error``).
+    """A listing -> (``path, ... , text``, rejects ``path, error``).
 
-    Text kinds decode natively (UTF-8; invalid bytes reject the file; line
-    ends read as Python's text mode does). Other kinds go to ``extractors``
-    by lower-cased extension in a ``mapInPandas``; unsupported kinds and
-    extractor failures become rejects.
+    One pass over the rows: a file is opened by its path, or taken from the
+    column ``content`` where there is one. Text kinds decode (UTF-8; invalid
+    bytes reject the file), other kinds go to ``extractors`` by lower-cased
+    extension; files of unsupported kinds are not opened. Files that can't be read
+    and extractor failures become rejects.
     """
-    table = dict(DEFAULT_EXTRACTORS)
-    table.update(extractors or {})
-    ext = F.col("ext")
-    decoded = F.col("content").cast("string")
-    as_text = F.regexp_replace(decoded, r"\r\n?", "\n")
-    keep = [c for c in files.columns if c != "content"]
-    text_rows = files.where(ext.isin(*TEXT_KINDS)).select(
-        *keep,
-        F.when(F.is_valid_utf8(decoded), as_text).alias("text"),
-        F.when(~F.is_valid_utf8(decoded), F.lit("invalid UTF-8")).alias("error"),
-    )
-    supported = list(TEXT_KINDS) + [e for e in table if e not in TEXT_KINDS]
-    unsupported = files.where(~ext.isin(*supported)).select(
-        *keep, F.lit(None).cast("string").alias("text"),
-        F.concat(F.lit("Unsupported file format: "), ext).alias("error"))
-
-    binary = files.where(ext.isin(*[e for e in table if e not in TEXT_KINDS]))
+    table: dict[str, Callable[[bytes], str]] = {**dict.fromkeys(TEXT_KINDS, plain_text), **DEFAULT_EXTRACTORS, **(extractors or {})}
     ship_package(files.sparkSession)
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
-    out_schema += ", text string, error string"
-
-    def run(batches):
-        for pdf in batches:
-            texts, errors = [], []
-            for e, data in zip(pdf["ext"], pdf["content"]):
-                try:
-                    texts.append(table[e](bytes(data)))
-                    errors.append(None)
-                except Exception as exc:  # one bad file must not fail the batch
-                    texts.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            out = pdf.drop(columns=["content"])
-            out["text"] = texts
-            out["error"] = errors
-            yield out
-
-    extracted = binary.mapInPandas(run, out_schema)
-    allrows = text_rows.unionByName(unsupported).unionByName(extracted)
-    ok = allrows.where(F.col("error").isNull()).drop("error")
-    rejects = allrows.where(F.col("error").isNotNull()).select("path", "error")
-    return ok, rejects
+    held = "content" in files.columns
+    keep = [c for c in files.columns if c != "content"]
+    out_schema = files.select(*keep).schema.add("text", "string").add("error", "string")
+    source = files if held else dealt(files)
+
+    def one(ext: str, path: str, content: bytes | None) -> tuple[str | None, str | None]:
+        if ext not in table:
+            return None, f"Unsupported file format: {ext}"
+        try:
+            data = content if held else read_bytes(path)
+            if data is None:
+                return None, "not readable"
+            return table[ext](data), None
+        except UnicodeDecodeError:
+            return None, "invalid UTF-8"
+        except Exception as exc:  # one bad file must not fail the batch
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+            kept = [cols[c] for c in keep]
+            lo, rows, size = 0, [], 0
+            for i in range(b.num_rows):
+                content = cols["content"][i].as_py() if held else None
+                rows.append(one(cols["ext"][i].as_py(), cols["path"][i].as_py(), content))
+                size += len(rows[-1][0] or "")
+                if size >= 16 << 20 or i == b.num_rows - 1:
+                    texts, errors = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[c.slice(lo, i + 1 - lo) for c in kept], pa.array(texts, pa.string()), pa.array(errors, pa.string())],
+                        names=[*keep, "text", "error"])
+                    lo, rows, size = i + 1, [], 0
+
+    rows = source.mapInArrow(run, out_schema)
+    return rows.where(F.col("error").isNull()).drop("error"), rows.where(F.col("error").isNotNull()).select("path", "error")
 
 
 def files_to_envelopes(extracted: DataFrame) -> DataFrame:
@@ -264,8 +243,9 @@ def load_directory(spark: SparkSession, path: str, recursive: bool = False, exte
     ``loaded``/``rejected`` counters (``Observation``; read ``.get`` after an
     action on the returned frames).
     """
-    files = list_files(spark, path, recursive, extensions, max_mb, sort_by, names, with_content=True)
-    if names and list_files(spark, path, recursive, extensions, max_mb, sort_by, names).limit(1).count() == 0:
+    files = list_files(spark, path, recursive, extensions, max_mb, sort_by, names,
+                       with_content=not reachable(qualified(spark, path)))
+    if names and files.isEmpty():
         raise ValueError(f"none of the requested files found in {path}")
     ok, rejects = extract_documents(files, extractors)
     if metrics is not None:
