@@ -1,14 +1,11 @@
-"""DuckDB oracle statements, one per SQL-expressible registered query.
-
-Queries left out (rows-only check): ``chunk_recursive`` and ``scan_documents``
-(the recursive splitter is a sequential walk per document, not relational).
-"""
+"""DuckDB oracle statements, one per registered query."""
 
 from __future__ import annotations
 
 from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN
 from shroud.operators.detect import DEFAULT_RULES, MORE_RULES, with_checks
 from shroud.plans import sqlgen as S
+from shroud.plans import sqlsplit
 from shroud.plans.file_queries import FILE_ORACLE
 from shroud.plans.queries import DICTIONARY_TERMS
 
@@ -186,6 +183,9 @@ def oracle_sql() -> dict[str, str]:
         "clean_pages": f"SELECT page_id, {S.clean('html')} AS content FROM pages",
         "chunk_fixed": _chunks(tidy=False),
         "chunk_tidy": chunks,
+        "chunk_recursive": sqlsplit.recursive_rows("documents", "doc_id", "text"),
+        "scan_documents": sqlsplit.over_chunks(sqlsplit.recursive_rows("documents", "doc_id", S.clean("text")),
+                                               S.findings(S.two_rounds("SELECT * FROM chunk_rows"))),
         "chunk_short": f"""SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars
                            FROM ({_chunks(tidy=False)}) c GROUP BY doc_id""",
         "detect_rules": r0,

@@ -96,3 +96,72 @@ def test_fixed_windows_count_code_points(spark):
     for size, overlap in ((10, 3), (10, 5), (7, 0), (10, 9), (1, 0)):
         for r in df.select("t", fixed_windows(F.col("t"), size, overlap).alias("w")).collect():
             assert r.w == [r.t[p : p + size] for p in range(0, max(len(r.t) - overlap, 1), size - overlap)]
+
+
+def windows_by_definition(text, size, overlap, separators):
+    """The splitter from its rules alone, on positions: spans cut level by level, runs of short pieces merged by
+    trying every start and end (no code of the library)."""
+    if not separators[0] or separators[0] in text:
+        sep = separators[0]
+        if sep:
+            cuts = [0, *[m.start() for m in re.finditer(re.escape(sep), text)], len(text)]
+        else:
+            cuts = list(range(len(text) + 1))
+        cuts = sorted(set(cuts))
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        out, run = [], []
+        for a, b in [*spans, (None, None)]:
+            if a is not None and b - a < size:
+                run.append((a, b))
+                continue
+            i = 0
+            while i < len(run):
+                fits = [j for j in range(i, len(run)) if run[j][1] - run[i][0] <= size]
+                j = max(fits) + 1
+                out.append(text[run[i][0] : run[j - 1][1]])
+                if j == len(run):
+                    break
+                i = next(k for k in range(i, j + 1) if run[j][0] - run[k][0] <= overlap and run[j][1] - run[k][0] <= size)
+            run = []
+            if a is not None:
+                out += windows_by_definition(text[a:b], size, overlap, separators[1:]) if len(separators) > 1 else [text[a:b]]
+        return out
+    return windows_by_definition(text, size, overlap, separators[1:])
+
+
+def test_recursive_split_equals_its_definition(spark):
+    import random
+
+    from shroud.operators.chunk import DEFAULT_SEPARATORS
+
+    rng = random.Random(8)
+    marks = ["\n\n", "\n", "\n\n\n", ". ", "! ", "; ", ", ", "... ", " ", "  ", "é", "\U0001f600", "a", "bcd", "x" * 30]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string")
+    for size, overlap in ((20, 5), (25, 0), (12, 11), (60, 20)):
+        got = {}
+        for r in chunk_documents(df, size, overlap, tidy=False).collect():
+            got.setdefault(r.doc_id, []).append((r.chunk_index, r.content))
+        for i, t in enumerate(texts):
+            if len(t) >= size:
+                want = [x for c in windows_by_definition(t, size, overlap, DEFAULT_SEPARATORS) if (x := c.strip())]
+                assert [c for _, c in sorted(got.get(i, []))] == want, (t, size, overlap)
+
+
+def test_recursive_split_equals_sql(spark, tmp_path):
+    """The relations of plans.sqlsplit on texts that the given tables do not have."""
+    import random
+
+    import duckdb
+
+    from shroud.plans.sqlsplit import recursive_rows
+
+    rng = random.Random(9)
+    marks = ["\n\n", "\n", ". ", "? ", ": ", ", ", " ", "a", "bcd", "é", "x" * 25, "\t"]
+    rows = [(i, "".join(rng.choice(marks) for _ in range(rng.randrange(0, 120)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, content string")
+    df.write.parquet(str(tmp_path / "t"))
+    sql = recursive_rows(f"read_parquet('{tmp_path}/t/*.parquet')", "doc_id", "content", 30, 8)
+    want = sorted(duckdb.sql(sql).fetchall())
+    got = chunk_documents(df, 30, 8).select(F.col("doc_id").cast("string"), "chunk_index", "content").collect()
+    assert sorted(map(tuple, got)) == want
