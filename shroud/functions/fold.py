@@ -6,6 +6,7 @@ mapped to it, a combining mark is deleted, and a character whose fold has
 several characters (ligatures, fractions, Hangul syllables) is left as it is.
 The existence test needs no offsets: there, such characters and those beyond the
 basic plane are spelled out first (:func:`spell_out`), Hangul syllables excepted.
+Masking compares full folds and maps matches back to the original characters (:func:`full_fold`, :func:`origins`).
 The tables are computed on the driver from ``unicodedata`` (a rule, not a
 hand list) and shipped as one ``translate`` literal, so the work is a JVM
 per-character lookup with no Python worker.
@@ -82,14 +83,9 @@ def spelled_tables() -> tuple[dict[str, str], str, str]:
         f = _fold_char(chr(cp))
         if f != chr(cp) and (len(f) > 1 or cp >= BMP_LIMIT):
             table[chr(cp)] = f
-    codes, runs = sorted(map(ord, table)), []
-    for cp in codes:
-        if runs and cp == runs[-1][1] + 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
+    codes = sorted(map(ord, table))
     near = "".join(rf"\x{{{cp:X}}}" for cp in codes if cp < LATIN_END)
-    return table, "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]", rf"[{near}\x{{{LATIN_END:X}}}-\x{{10FFFF}}]"
+    return table, f"[{_runs(codes)}]", rf"[{near}\x{{{LATIN_END:X}}}-\x{{10FFFF}}]"
 
 
 def spell_out(c: Column) -> Column:
@@ -101,6 +97,54 @@ def spell_out(c: Column) -> Column:
     return F.when(c.rlike(maybe) & c.rlike(odd), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
+def _runs(codes) -> str:
+    """Code points as the inside of a regex class."""
+    runs = []
+    for cp in sorted(codes):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+@functools.lru_cache(maxsize=None)
+def special_class() -> str:
+    """A regex class of the characters whose full fold is not what :func:`fold` puts in their place, one for one:
+    dropped marks, ligatures, fractions, Hangul, letters beyond the basic plane."""
+    src, dst = fold_tables()
+    return "[" + _runs({ord(c) for c in src[len(dst):]} | {ord(c) for c in spelled_tables()[0]}) + r"\x{AC00}-\x{D7A3}]"
+
+
+def _hangul(c: str) -> str:
+    """The letters of a Hangul syllable, by the arithmetic of its code point."""
+    letters = lambda first, n: "'" + "".join(map(chr, range(first, first + n))) + "'"
+    at = f"(ascii({c}) - 44032)"
+    return (f"concat(substring({letters(0x1100, 19)}, {at} div 588 + 1, 1), substring({letters(0x1161, 21)}, {at} % 588 div 28 + 1, 1), "
+            f"if({at} % 28 > 0, substring({letters(0x11A8, 27)}, {at} % 28, 1), ''))")
+
+
+def special_folds(name: str) -> Column:
+    """Every character's full fold ("NFKD, combining marks dropped") of a column as an array; null where :func:`fold`
+    does it all."""
+    table, odd, maybe = spelled_tables()
+    src, dst = (x.replace("\\", "\\\\").replace("'", "\\'") for x in fold_tables())
+    spelled = f"from_json(r'{json.dumps(table)}', 'map<string,string>')"
+    return F.expr(f"""if({name} rlike r'{maybe}' and {name} rlike r'{special_class()}', transform(split({name}, ''), x -> case
+        when x rlike r'{odd}' then coalesce(try_element_at({spelled}, x), x)
+        when x rlike r'[\\x{{AC00}}-\\x{{D7A3}}]' then {_hangul("x")} else translate(x, '{src}', '{dst}') end), null)""")
+
+
+def full_fold(c: Column, folds: Column) -> Column:
+    """The full fold of a text, ``folds`` being its :func:`special_folds`."""
+    return F.coalesce(F.array_join(folds, ""), fold(c))
+
+
+def origins(folds: str) -> Column:
+    """For every character of a full fold the 0-based position it comes from; null where that is its own."""
+    return F.expr(f"flatten(transform({folds}, (f, i) -> array_repeat(i, length(f))))")
+
+
 def fold(c: Column) -> Column:
     """Accent fold (M1): case kept, offsets kept except where combining marks are dropped."""
     src, dst = fold_tables()

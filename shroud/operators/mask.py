@@ -17,21 +17,24 @@ its document's items depends on how many distinct items the document has:
 A chunk is known by ``(doc_id, chunk_index)`` and a hash of its text, so
 several texts under one id keep apart on both paths.
 
-Semantics (fixed by the reference's behaviour): positions are found in the
-folded chunk; the original text at that position, over the *original* item
-length, must fold to the folded item; every occurrence counts, overlapping
-ones too; overlapping or touching ranges merge; each range becomes as many
-``*`` as it is long. Items that fold to '' are ignored.
+Semantics: positions are found in the fully folded chunk ("NFKD, combining marks
+dropped") and mapped back to the original characters, so a ligature, a fraction
+sign, a Hangul syllable or a decomposed accent neither hides an item nor shifts
+what follows it; a range goes from the character that gives the match's first
+folded character to the one that gives its last. Every occurrence counts,
+overlapping ones too; overlapping or touching ranges merge; each range becomes as
+many ``*`` as it is long. Items that fold to '' are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shroud.functions.fold import fold, match_key
+from shroud.functions.arrays import once, running
+from shroud.functions.fold import fold, full_fold, match_key, origins, special_folds
 
 DEFAULT_MAX_INLINE_ITEMS = 512
 DEFAULT_Q = 64
@@ -42,9 +45,15 @@ RANGE_TYPE = "array<struct<s:int,e:int>>"
 # --- per-document item lists ---------------------------------------------------
 
 
-def mask_key(c: Column, case_insensitive: bool = False) -> Column:
-    """What masking compares: the folded text, lower-cased too when masking ignores case (Q9 option)."""
-    return F.lower(fold(c)) if case_insensitive else fold(c)
+def _folded(df: DataFrame, text: str, case_insensitive: bool, key: str, origin: str | None = None) -> DataFrame:
+    """``df`` with what masking compares as ``key``: the folded text, lower-cased too when masking ignores case (Q9
+    option); ``origin``: where its characters come from."""
+    out = df.withColumn("_folds", special_folds(text))
+    folded = full_fold(F.col(text), F.col("_folds"))
+    cols = {key: F.lower(folded) if case_insensitive else folded}
+    if origin:
+        cols[origin] = origins("_folds")
+    return out.withColumns(cols).drop("_folds")
 
 
 def doc_items(detections: DataFrame) -> DataFrame:
@@ -85,51 +94,53 @@ def split_by_item_count(items: DataFrame, max_inline_items: int, key: str = "fi"
 # --- in-row matching (bounded item lists) -----------------------------------------
 
 
-def match_ranges_col(content: Column, ft: Column, items: Column, case_insensitive: bool = False) -> Column:
-    """M5: 0-based [s, e) ranges of every occurrence of every item in ``content``.
+def occurrences(text: str, item: str) -> str:
+    """0-based positions of every occurrence of ``item`` in ``text``, overlapping ones too.
 
-    ``ft`` must be a column holding ``fold(content)`` computed beforehand: it is
-    read once per candidate position, so passing the expression itself would
-    fold the whole chunk again at every position.
+    The text is cut in front of every occurrence (a look-ahead, so cuts may lie inside an occurrence); the running sum
+    of the pieces' lengths gives the positions. Linear in the text, where a substring per position walks it each time.
     """
+    quoted = rf"concat(r'(?=\Q', replace({item}, r'\E', r'\E\\E\Q'), r'\E)')"
+    ends = running(f"transform(split({text}, {quoted}, -1), x -> length(x))", "a + b")
+    inner = "slice(ends, 1, size(ends) - 1)"  # the last piece ends where the text does
+    at = f"if(startswith({text}, {item}), concat(array(0), {inner}), {inner})"
+    return f"if(instr({text}, {item}) > 0, {once(ends, 'ends', at)}, cast(array() as array<int>))"
 
-    def for_item(i):
-        lf = F.length(i["fi"])
-        starts = F.sequence(F.lit(1), F.greatest(F.length(ft) - lf + 1, F.lit(1)))
-        hits = F.filter(
-            starts,
-            lambda p: (F.substring(ft, p, lf) == i["fi"])
-            & (mask_key(F.substring(content, p, i["li"]), case_insensitive) == i["fi"]),
-        )
-        found = F.transform(hits, lambda p: F.struct((p - 1).alias("s"), (p - 1 + i["li"]).alias("e")))
-        return F.when(F.instr(ft, i["fi"]) > 0, found).otherwise(F.array().cast(RANGE_TYPE))
 
-    per_item = F.transform(F.coalesce(items, F.array()), for_item)
-    return F.flatten(per_item).cast(RANGE_TYPE)
+def match_ranges_col(ft: str, origin: str, items: str) -> Column:
+    """M5: 0-based [s, e) ranges of every occurrence of every item in a chunk.
+
+    ``ft`` is a column that holds the folded chunk, computed beforehand; ``origin`` holds the original position of
+    each of its characters (null: its own).
+    """
+    back = lambda p: f"coalesce(get({origin}, {p}), {p})"
+    found = f"struct({back('p')} as s, {back('p + length(it.fi) - 1')} + 1 as e)"
+    per_item = f"transform({occurrences(ft, 'it.fi')}, p -> {found})"
+    return F.expr(f"cast(flatten(transform(coalesce({items}, array()), it -> {per_item})) as {RANGE_TYPE})")
 
 
-def merge_ranges_col(ranges: Column) -> Column:
-    """M6: sort and merge overlapping or touching ranges."""
-    ordered = F.array_sort(ranges)
+def merge_ranges(ranges: str) -> str:
+    """M6: overlapping or touching ranges merged: sorted, swept with the running maximum of their ends. A range that
+    begins beyond all ends before it opens an island; an island ends at the maximum before the next one opens."""
+    opens = "filter(sequence(0, size(o) - 1), i -> i = 0 or get(o, i).s > get(top, i - 1))"
+    island = "struct(get(o, i).s as s, get(top, coalesce(get(idx, j + 1), size(o)) - 1) as e)"
+    islands = once(opens, "idx", f"transform(idx, (i, j) -> {island})")
+    swept = once(f"array_sort({ranges})", "o", once(running("transform(o, r -> r.e)", "greatest(a, b)"), "top", islands))
+    return f"cast(if(size({ranges}) <= 1, {ranges}, {swept}) as {RANGE_TYPE})"
 
-    def step(acc, r):
-        last = F.element_at(acc, -1)
-        merged = F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], r["e"]).alias("e"))),
-        )
-        return F.when((F.size(acc) > 0) & (r["s"] <= last["e"]), merged).otherwise(F.concat(acc, F.array(r)))
 
-    return F.aggregate(ordered, F.array().cast(RANGE_TYPE), step)
+def merge_ranges_col(ranges: str) -> Column:
+    return F.expr(merge_ranges(ranges))
 
 
-def apply_ranges_col(content: Column, merged: Column) -> Column:
+def apply_ranges_col(content: str, ranges: str) -> Column:
     """M7: replace every merged range by as many '*' as it is long."""
-    return F.aggregate(
-        merged,
-        content,
-        lambda t, r: F.overlay(t, F.repeat(F.lit("*"), r["e"] - r["s"]), r["s"] + 1, r["e"] - r["s"]),
-    )
+    between = lambda a, b: f"array_join(slice(chars, {a} + 1, {b} - {a}), '')"
+    before = lambda i: f"coalesce(get(merged, {i} - 1).e, 0)"
+    part = f"concat({between(before('i'), 'r.s')}, repeat('*', r.e - r.s))"
+    starred = f"concat(array_join(transform(merged, (r, i) -> {part}), ''), {between(before('size(merged)'), 'size(chars)')})"
+    masked = once(merge_ranges(ranges), "merged", once(f"split({content}, '')", "chars", starred))
+    return F.expr(f"if(size({ranges}) > 0, {masked}, {content})")
 
 
 def contains_any_col(tk: Column, keys: Column) -> Column:
@@ -182,11 +193,12 @@ def _prefix_rows(chunks: DataFrame, key_col: str, lengths: list[int]) -> DataFra
     return chunks.select(*_CHUNK, F.explode(entries).alias("e")).select(*_CHUNK, "e.p", "e.key")
 
 
-def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_key: str, q: int = DEFAULT_Q) -> DataFrame:
+def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_key: str, q: int = DEFAULT_Q,
+                     keep: Sequence[str] = ()) -> DataFrame:
     """Exact substring hits of item keys in chunk keys, via an equi-join on prefixes.
 
-    ``chunks`` carry ``_row``. Returns the chunk's identity, ``p`` (1-based) and
-    the item columns, only for verified hits. Chunk text is not carried through
+    ``chunks`` carry ``_row``. Returns the chunk's identity, ``p`` (1-based), ``keep``
+    and the item columns, only for verified hits. Chunk text is not carried through
     the explode; the verification joins the candidates back to the chunks.
     """
     item_side = items.withColumn("_ik", F.col(item_key)).withColumn("_kl", _key_length(F.col("_ik"), q))
@@ -195,7 +207,7 @@ def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_k
     prefixes = _prefix_rows(chunks, chunk_key, lengths or [1])
     item_side = item_side.withColumn("key", F.expr("substring(_ik, 1, _kl)")).drop("_kl")
     cands = prefixes.join(item_side, ["doc_id", "key"]).drop("key")
-    texts = chunks.select(*_CHUNK, F.col(chunk_key).alias("_ck"), "content")
+    texts = chunks.select(*_CHUNK, F.col(chunk_key).alias("_ck"), *keep)
     verified = cands.join(texts, _CHUNK).where(
         F.substring(F.col("_ck"), F.col("p"), F.length("_ik")) == F.col("_ik")
     )
@@ -205,10 +217,6 @@ def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_k
 # --- chunk-level operators -----------------------------------------------------------
 
 
-def _with_fold(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("_ft", fold(F.col("content")))
-
-
 def _part(chunks: DataFrame) -> list[str]:
     """Work-unit key of a chunk table: ``doc_id``, or ``(doc_id, grp)`` when long documents are split."""
     return ["doc_id", "grp"] if "grp" in chunks.columns else ["doc_id"]
@@ -226,10 +234,10 @@ def _per_part(chunks: DataFrame, by_doc_table: DataFrame) -> DataFrame:
     return groups.join(by_doc_table, "doc_id")
 
 
-def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column) -> DataFrame:
-    """Chunks of documents that have items, with ``key`` (e.g. the folded text) as column ``name``.
+def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Chunks of documents that have items, with the columns that ``keyed`` adds (e.g. the folded text).
 
-    The key is computed below the join with the item arrays on purpose: a
+    A key is computed below the join with the item arrays on purpose: a
     filter or projection above the join can then only refer to the column,
     so the optimizer cannot substitute the expression back into a per-position
     lambda (which would fold the chunk once per position).
@@ -237,7 +245,7 @@ def _keyed_chunks(chunks: DataFrame, arrays: DataFrame, name: str, key: Column)
     part = _part(chunks)
     arrays = _per_part(chunks, arrays)
     ids = arrays.select(*part)
-    return chunks.join(ids, part, "left_semi").withColumn(name, key).join(arrays, part)
+    return keyed(chunks.join(ids, part, "left_semi")).join(arrays, part)
 
 
 def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEFAULT_MAX_INLINE_ITEMS,
@@ -247,26 +255,23 @@ def ranges_per_chunk(chunks: DataFrame, items: DataFrame, max_inline_items: int
     ``items`` holds ``doc_id, text`` (e.g. :func:`doc_items`); the comparison
     keys are derived here so they always match ``case_insensitive``.
     """
-    items = (items.select("doc_id", "text", mask_key(F.col("text"), case_insensitive).alias("fi"),
-                          F.length("text").alias("li"))
-             .where(F.length("fi") > 0))
+    # a text folds to '' either way or not at all: the short test spares the optimizer a second copy of the long one
+    items = _folded(items.where(F.length(fold(F.col("text"))) > 0), "text", case_insensitive, "fi").select("doc_id", "fi")
     arrays, heavy_items, heavy_ids = split_by_item_count(items, max_inline_items)
     part = _part(chunks)
-    light = _keyed_chunks(chunks, arrays, "_ft", mask_key(F.col("content"), case_insensitive)).select(
+    folded = lambda df: _folded(df, "content", case_insensitive, "_ft", "_origin")
+    light = _keyed_chunks(chunks, arrays, folded).select(
         *part, "chunk_index", "content", *keep,
-        match_ranges_col(F.col("content"), F.col("_ft"), F.col("items"), case_insensitive).alias("ranges"),
+        match_ranges_col("_ft", "_origin", "items").alias("ranges"),
     )
     if heavy_ids is None:
         return light
-    heavy_chunks = _with_row(chunks.join(_per_part(chunks, heavy_ids), part, "left_semi")) \
-        .withColumn("_ft", mask_key(F.col("content"), case_insensitive))
-    hits = qgram_candidates(heavy_chunks, "_ft", heavy_items, "fi", q).where(
-        mask_key(F.substring(F.col("content"), F.col("p"), F.col("li")), case_insensitive) == F.col("fi")
-    )
-    heavy_ranges = hits.groupBy(*_CHUNK).agg(
-        F.collect_set(F.struct((F.col("p") - 1).alias("s"), (F.col("p") - 1 + F.col("li")).alias("e"))).alias("ranges")
-    )
-    heavy = heavy_chunks.drop("_ft").join(heavy_ranges, _CHUNK, "left").select(
+    heavy_chunks = folded(_with_row(chunks.join(_per_part(chunks, heavy_ids), part, "left_semi")))
+    hits = qgram_candidates(heavy_chunks, "_ft", heavy_items, "fi", q, keep=["_origin"])
+    back = lambda p: F.coalesce(F.get("_origin", p), p)
+    heavy_ranges = hits.groupBy(*_CHUNK).agg(F.collect_set(F.struct(
+        back(F.col("p") - 1).alias("s"), (back(F.col("p") + F.length("fi") - 2) + 1).alias("e"))).alias("ranges"))
+    heavy = heavy_chunks.drop("_ft", "_origin").join(heavy_ranges, _CHUNK, "left").select(
         *part, "chunk_index", "content", *keep, F.coalesce(F.col("ranges"), F.array().cast(RANGE_TYPE)).alias("ranges")
     )
     return light.unionByName(heavy)
@@ -279,7 +284,7 @@ def chunks_with_items(chunks: DataFrame, items: DataFrame, max_inline_items: int
         .where(F.length("k") > 0).distinct()
     arrays, heavy_items, heavy_ids = split_by_item_count(keyed, max_inline_items, key="k")
     light = (
-        _keyed_chunks(chunks, arrays, "_tk", match_key(F.col("content"), case_insensitive, normalize))
+        _keyed_chunks(chunks, arrays, lambda df: df.withColumn("_tk", match_key(F.col("content"), case_insensitive, normalize)))
         .where((F.length("content") > 0) & contains_any_col(F.col("_tk"), F.col("items")["k"]))
         .drop("items", "_tk")
     )
@@ -302,7 +307,7 @@ def mask_chunks(chunks: DataFrame, items: DataFrame, max_inline_items: int = DEF
     """
     r = ranges_per_chunk(chunks, items, max_inline_items, q, case_insensitive)
     return r.select(
-        "doc_id", "chunk_index", apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("content")
+        "doc_id", "chunk_index", apply_ranges_col("content", "ranges").alias("content")
     )
 
 
@@ -318,7 +323,7 @@ def masked_changes(chunks: DataFrame, items: DataFrame, max_inline_items: int =
     extra = [c for c in chunks.columns if c not in (*part, "chunk_index", "content", "changed")]
     keyed = chunks.withColumn("_kept", F.struct(F.lit(0), *extra))
     r = ranges_per_chunk(keyed, items, max_inline_items, q, case_insensitive, keep=["_kept"])
-    masked = F.explode_outer(F.array(apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges")))))
+    masked = F.explode_outer(F.array(apply_ranges_col("content", "ranges")))
     return (r.select(*part, "chunk_index", "_kept", F.col("content").alias("_was"), masked.alias("content"))
             .where(F.col("content") != F.col("_was")).select(*part, "chunk_index", "content", *[f"_kept.{c}" for c in extra]))
 
@@ -340,7 +345,7 @@ def mask_documents(chunks: DataFrame, items: DataFrame, max_inline_items: int =
     r = ranges_per_chunk(base, items, max_inline_items, q, case_insensitive)
     masked = r.select(
         *part, "chunk_index", "content",
-        apply_ranges_col(F.col("content"), merge_ranges_col(F.col("ranges"))).alias("_masked"),
+        apply_ranges_col("content", "ranges").alias("_masked"),
     ).select(*part, "chunk_index", F.col("_masked").alias("content"),
              (F.col("_masked") != F.col("content")).alias("changed"))
     ids = _per_part(base, items.select("doc_id").distinct()).select(*part)

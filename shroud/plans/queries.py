@@ -195,7 +195,7 @@ def q_match_ranges(spark, sf_dir):
 def q_merged_ranges(spark, sf_dir):
     chunks, dets = mask_inputs(spark, sf_dir)
     r = ranges_per_chunk(chunks, doc_items(dets))
-    return r.select("doc_id", "chunk_index", F.explode(merge_ranges_col(F.col("ranges"))).alias("r")).select(
+    return r.select("doc_id", "chunk_index", F.explode(merge_ranges_col("ranges")).alias("r")).select(
         "doc_id", "chunk_index", "r.s", "r.e")
 
 
