@@ -34,8 +34,9 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
 import numpy as np
@@ -53,6 +54,8 @@ _WORD = np.uint64((1 << WORD_BITS) - 1)
 FLUSH = 4_000_000
 SHARD_BYTES = 32 << 20
 BUCKET_BITS = 16
+#: Files that a scoring worker maps at a time.
+MAX_MAPS = 1_024
 STATS = ["bigrams1", "bigrams2", "bigrams3", "bigrams4", "types", "words", "tokens", "starts",
          "words1", "words2", "words3", "words4"]
 
@@ -135,7 +138,7 @@ def _count_pairs(before: np.ndarray, word: np.ndarray, shard_bits: int) -> Itera
 
 
 def _load_pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    before, word, times = [], [], []
+    before, word, times = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for blob in blobs:
         b, runs, w, t = _split(blob)
         before.append(np.repeat(_unpack_words(b), _large(runs)))
@@ -147,7 +150,7 @@ def _load_pairs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _write(path: str, parts: list[bytes]) -> None:
     """Write a file of a task: whole under its final name, or not there."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
-    temporary = f"{path}.{os.getpid()}.tmp"
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
     with open(temporary, "wb") as f:
         f.write(_join(parts))
     os.replace(temporary, path)
@@ -170,7 +173,7 @@ def _bigram_shard(shard: int, blobs: list[bytes], folder: str, shard_bits: int,
     key = pair_key(before, word)
     by = np.argsort(key)
     first = _runs(key[by])
-    times = np.add.reduceat(times[by], first)
+    times = np.add.reduceat(times[by], first) if len(first) else times
     at = by[first]
     key, before, word = key[at], before[at], word[at]
     bucket = (key >> np.uint64(64 - BUCKET_BITS - shard_bits)) & np.uint64((1 << BUCKET_BITS) - 1)
@@ -194,8 +197,8 @@ def _bigram_shard(shard: int, blobs: list[bytes], folder: str, shard_bits: int,
 
 def _word_shard(u: int, blobs: list[bytes], folder: str) -> list[int]:
     parts = [_split(b) for b in blobs]
-    keys = np.concatenate([_unpack_words(p[0]) for p in parts])
-    keys, cols = _sums(keys, *[np.concatenate([_large(p[i]) for p in parts]) for i in range(1, 6)])
+    keys = np.concatenate([np.empty(0, np.uint64), *[_unpack_words(p[0]) for p in parts]])
+    keys, cols = _sums(keys, *[np.concatenate([np.empty(0, np.int64), *[_large(p[i]) for p in parts]]) for i in range(1, 6)])
     one, two, more, types, count = cols
     _write(f"{folder}/words/{u}", [
         keys.astype("<u8").tobytes(), one.astype("<u4").tobytes(), two.astype("<u4").tobytes(),
@@ -212,8 +215,10 @@ def _shards(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
                 yield held, blobs, stats
                 blobs, stats = [], []
             held = k
-            blobs.append(blob)
-            stats.append(st)
+            if blob is not None:
+                blobs.append(blob)
+            if st is not None:
+                stats.append(st)
     if held is not None:
         yield held, blobs, stats
 
@@ -226,11 +231,12 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 class Model:
     """The arrays of a written model, mapped into memory, and its smoothing constants."""
 
-    def __init__(self, folder: str, shard_bits: int, word_bits: int, stats: dict[str, int]):
+    def __init__(self, folder: str, shard_bits: int, word_bits: int, stats: dict[str, int], max_maps: int = MAX_MAPS):
         self.folder, self.shard_bits, self.word_bits, self.stats = folder, shard_bits, word_bits, stats
+        self.max_maps = max_maps
         self.discount2 = _discounts([stats[f"bigrams{i}"] for i in range(1, 5)])
         self.discount1 = _discounts([stats[f"words{i}"] for i in range(1, 5)])
-        self._open: dict[str, list[np.ndarray] | None] = {}
+        self._open: dict[str, list[np.ndarray]] = {}  # least recently used first
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_open"}
@@ -238,18 +244,20 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state, _open={})
 
-    def _arrays(self, name: str, types: list[str]) -> list[np.ndarray] | None:
-        if name not in self._open:
-            path = f"{self.folder}/{name}"
-            if not os.path.exists(path):  # no training bigram fell into this shard
-                self._open[name] = None
-                return None
-            whole = np.memmap(path, np.uint8, "r")
-            n = int(whole[:8].view("<i8")[0])
-            sizes = whole[8 : 8 * (n + 1)].view("<i8")
-            ends = 8 * (n + 1) + np.cumsum(sizes)
-            self._open[name] = [np.frombuffer(whole, t, int(size) // np.dtype(t).itemsize, int(end - size))
-                                for t, size, end in zip(types, sizes, ends, strict=True)]
+    def _arrays(self, name: str, types: list[str]) -> list[np.ndarray]:
+        """The arrays of one file; at most ``max_maps`` files are mapped at a time. Every shard has a file, so one that
+        is not there is lost, or the folder is not shared: an error, not a shard without words."""
+        if name in self._open:
+            self._open[name] = self._open.pop(name)
+            return self._open[name]
+        while len(self._open) >= self.max_maps:
+            self._open.pop(next(iter(self._open)))
+        whole = np.memmap(f"{self.folder}/{name}", np.uint8, "r")
+        n = int(whole[:8].view("<i8")[0])
+        sizes = whole[8 : 8 * (n + 1)].view("<i8")
+        ends = 8 * (n + 1) + np.cumsum(sizes)
+        self._open[name] = [np.frombuffer(whole, t, int(size) // np.dtype(t).itemsize, int(end - size))
+                            for t, size, end in zip(types, sizes, ends, strict=True)]
         return self._open[name]
 
     def bigram_counts(self, key: np.ndarray) -> np.ndarray:
@@ -259,10 +267,11 @@ class Model:
         cuts = np.searchsorted(shard, np.arange((1 << self.shard_bits) + 1))
         for i in range(1 << self.shard_bits):
             lo, hi = int(cuts[i]), int(cuts[i + 1])
-            found = self._arrays(f"bigrams/{i}", ["<u4", "<u4", "u1", "<i8", "<i8"]) if lo < hi else None
-            if found is None:
+            if lo == hi:
+                continue
+            starts, rest, count, many, times = self._arrays(f"bigrams/{i}", ["<u4", "<u4", "u1", "<i8", "<i8"])
+            if not len(rest):
                 continue
-            starts, rest, count, many, times = found
             k = key[lo:hi]
             bucket = ((k >> np.uint64(64 - BUCKET_BITS - self.shard_bits)) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
             want = ((k >> np.uint64(32 - BUCKET_BITS - self.shard_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -288,7 +297,7 @@ class Model:
         for u in range(1 << self.word_bits):
             lo, hi = int(cuts[u]), int(cuts[u + 1])
             found = self._arrays(f"words/{u}", ["<u8", "<u4", "<u4", "<u4", "<u4", "<i8"]) if lo < hi else None
-            if found is None:
+            if found is None or not len(found[0]):
                 continue
             at = np.minimum(np.searchsorted(found[0], key[lo:hi]), len(found[0]) - 1)
             hit = found[0][at] == key[lo:hi]
@@ -307,27 +316,37 @@ class Model:
         uniform = 1 / (st["words"] + 1)
         types, count = rows[3][w].astype(np.float64), rows[4][w]
         if st["types"]:
-            spare = sum(d * st[f"words{i}"] for i, d in enumerate(self.discount1[:2], 1))
-            spare += self.discount1[2] * (st["words"] - st["words1"] - st["words2"])
-            low = (types - _taken(types, self.discount1)) / st["types"] + spare / st["types"] * uniform
+            each = (st["words1"], st["words2"], st["words"] - st["words1"] - st["words2"])
+            discounts = self.discount1 if any(d * n for d, n in zip(self.discount1, each, strict=True)) else DISCOUNTS
+            spare = sum(d * n for d, n in zip(discounts, each, strict=True))
+            low = (types - _taken(types, discounts)) / st["types"] + spare / st["types"] * uniform
         else:
             low = np.full(len(word), uniform)
         total = np.where(before == START, st["starts"], rows[4][b]).astype(np.float64)
-        held = sum(d * rows[i][b] for i, d in enumerate(self.discount2))
         seen = total > 0
         safe = np.where(seen, total, 1)
-        p = np.where(seen, (pair - _taken(pair, self.discount2)) / safe + held / safe * low, low)
+        held = sum(d * rows[i][b] for i, d in enumerate(self.discount2))
+        taken = _taken(pair, self.discount2)
+        # small or repetitive text can lack a count of counts, and a word before keep nothing for other words
+        none = seen & (held <= 0)
+        held = np.where(none, sum(d * rows[i][b] for i, d in enumerate(DISCOUNTS)), held)
+        taken = np.where(none, _taken(pair, DISCOUNTS), taken)
+        p = np.where(seen, (pair - taken) / safe + held / safe * low, low)
         base = np.log10((count + 0.1) / (st["tokens"] + 0.1 * (st["words"] + 1)))
         return np.log10(p), base, count
 
 
+#: Discounts of counts 1, 2 and 3 or more where those of the counts of counts leave nothing for what was not seen.
+DISCOUNTS = (0.5, 0.75, 1.0)
+
+
 def _discounts(n: list[int]) -> list[float]:
     """The modified discounts of counts 1, 2 and 3 or more, from the counts of counts."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     return [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.0), float(i)) if n[i - 1] else 0.0 for i in (1, 2, 3)]
 
 
-def _taken(count: np.ndarray, discounts: list[float]) -> np.ndarray:
+def _taken(count: np.ndarray, discounts: Sequence[float]) -> np.ndarray:
     return np.array([0.0, *discounts])[np.minimum(count, 3).astype(np.int64)]
 
 
@@ -339,16 +358,18 @@ def mapped_folder(spark, prefix: str) -> str:
     return url.path
 
 
-def train(docs: DataFrame, model_dir: str | None = None) -> Model:
-    """Count ``docs`` (text) and write the model's arrays."""
+def train(docs: DataFrame, model_dir: str | None = None, shard_bytes: int | None = None, max_maps: int = MAX_MAPS) -> Model:
+    """Count ``docs`` (text) and write the model's arrays: about one shard for every ``shard_bytes`` (``SHARD_BYTES``) of text, at most
+    2**16 (beyond, shards grow: a shard of 100 TB has 1.5 GB of text). Scoring maps ``max_maps`` files at a time."""
     spark = docs.sparkSession
     python_workers(spark)
     folder = model_dir or mapped_folder(spark, "kneser-ney")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shard_bits = max(3, int(size // SHARD_BYTES).bit_length())
-    if shard_bits > BUCKET_BITS:
-        raise ValueError("over 2**16 shards: raise SHARD_BYTES")
+    shard_bits = min(BUCKET_BITS, max(3, int(size // (shard_bytes or SHARD_BYTES)).bit_length()))
     word_bits = shard_bits
+    # every shard has a file, also one that no bigram or word falls into
+    empty = spark.range(1 << shard_bits).select(F.col("id").cast("int").alias("shard"), F.lit(None).cast("binary").alias("blob"),
+                                                F.lit(None).cast("array<long>").alias("stats"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -380,14 +401,15 @@ def train(docs: DataFrame, model_dir: str | None = None) -> Model:
             yield _batch([tuple(row)], STATS, [pa.int64()] * len(STATS))
 
     row = "blob binary, stats array<long>"
-    pairs = docs.select("text").mapInArrow(count, f"shard int, {row}")
+    pairs = docs.select("text").mapInArrow(count, f"shard int, {row}").unionByName(empty)
     # one shard a task: dealt by its number, since hashes of so few numbers would put several together
     parts = pairs.repartitionById(1 << shard_bits, F.col("shard")).sortWithinPartitions("shard").mapInArrow(
         merge, f"u int, {row}")
-    totals = parts.repartitionById((1 << word_bits) + 1, F.col("u") + 1).sortWithinPartitions("u").mapInArrow(
+    words = parts.unionByName(empty.withColumnRenamed("shard", "u"))
+    totals = words.repartitionById((1 << word_bits) + 1, F.col("u") + 1).sortWithinPartitions("u").mapInArrow(
         finish, ", ".join(f"{s} long" for s in STATS))
     got = totals.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in STATS]).first()
-    return Model(folder, shard_bits, word_bits, got.asDict())
+    return Model(folder, shard_bits, word_bits, got.asDict(), max_maps)
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:

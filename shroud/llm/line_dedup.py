@@ -45,7 +45,6 @@ from shroud.llm.common import materialize, python_workers, row_key, sorted_group
 
 LINE_SCHEMA = ("dd_ord long, dd_key long, pos long, last long, occ long, cnt long, h long, "
                "a long, b long, pa long, pb long")
-_M = (1 << 64) - 1
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -71,7 +70,6 @@ def _line_rows(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa
             s, e, doc = (np.concatenate([x, y]) for x, y in ((s, s[run]), (e, e[final[run]]), (doc, doc[run])))
             h = ts.span_hash(prefix, s, e)
             begin = o[doc]
-            _, down = ts.powers(len(prefix))
             by = np.lexsort((s, h, doc))  # occurrences of one line or run in one document stand together
             fresh = np.ones(len(by), bool)
             fresh[1:] = (h[by][1:] != h[by][:-1]) | (doc[by][1:] != doc[by][:-1])
@@ -81,8 +79,8 @@ def _line_rows(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa
             occ[by] = np.arange(len(by)) - first[group]
             cnt[by] = np.diff(np.append(first, len(by)))[group]
             cols = [order[lo:hi][doc], key[lo:hi][doc], breaks[s] - breaks[begin], last - breaks[begin], occ, cnt,
-                    h.view(np.int64), s - begin, e - begin, ((prefix[s] - prefix[begin]) * down[begin]).view(np.int64),
-                    ((prefix[e] - prefix[begin]) * down[begin]).view(np.int64)]
+                    h.view(np.int64), s - begin, e - begin, ts.between(prefix, begin, s, begin).view(np.int64),
+                    ts.between(prefix, begin, e, begin).view(np.int64)]
             again = np.flatnonzero(cnt > 1)
             cols = [np.concatenate([c, (occ - cnt if c is occ else c)[again]]) for c in cols]
             for at in range(0, len(cols[0]), 100_000):
@@ -114,9 +112,8 @@ def _same_between(x: dict, i: int, j: int) -> bool:
     b, fb = int(x["b"][i]), int(x["f_b"][i])
     if int(x["a"][j]) - b != int(x["f_a"][j]) - fb:
         return False
-    mine, other = (int(x["pa"][j]) - int(x["pb"][i])) & _M, (int(x["f_pa"][j]) - int(x["f_pb"][i])) & _M
-    inverse = int(ts._P_INV)
-    return mine * pow(inverse, b, 1 << 64) & _M == other * pow(inverse, fb, 1 << 64) & _M
+    mine = ts.shifted_difference(int(x["pa"][j]), int(x["pb"][i]), b)
+    return mine == ts.shifted_difference(int(x["f_pa"][j]), int(x["f_pb"][i]), fb)
 
 
 def common_blocks(x: dict, min_bytes: int) -> list[tuple[int, int]]:

@@ -1,8 +1,10 @@
 """Vectorised token and line hashing straight from Arrow text buffers (numpy only).
 
 A token is a run of bytes between separator bytes and never crosses a document.
-Its 64-bit hash is a polynomial hash of its bytes, finished with a mixing step;
-all arithmetic wraps modulo 2**64.
+Its 64-bit hash is made of two polynomial hashes of its bytes, modulo two primes
+under 2**31, finished with a mixing step. (Modulo 2**64 no base is safe: regular
+words of two letters, such as the Thue-Morse word and its complement, collide.)
+Two different texts of n bytes agree modulo one prime for at most n of its bases.
 """
 
 from __future__ import annotations
@@ -15,8 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE = b" \t\n\x0b\x0c\r"
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The two primes and a base for each.
+PRIMES = (2**31 - 1, 2**31 - 19)
+BASES = (1_640_531_527, 1_013_904_243)
 
 
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +49,26 @@ def parts(off: np.ndarray, max_bytes: int = 500_000) -> Iterator[tuple[int, int]
         lo = hi
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _P, np.uint64), np.full(size, _P_INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _mod(x: np.ndarray, p: int) -> np.ndarray:
+    q = np.uint64(p)
+    return x - x // q * q
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(19, int(n).bit_length()))
-    return up[:n], down[:n]
+@lru_cache(maxsize=8)
+def _powers(size: int, base: int, p: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    n = 1
+    while n < size:
+        k = min(n, size - n)
+        out[n : n + k] = _mod(out[:k] * np.uint64(pow(base, n, p)), p)
+        n += k
+    return out
+
+
+def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of a base, or of its inverse, modulo its prime."""
+    p, base = PRIMES[which], BASES[which]
+    return _powers(1 << max(19, int(n).bit_length()), pow(base, -1, p) if inverse else base, p)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,16 +81,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Running sums of values[i] * P**i, with a leading 0."""
-    up, _ = powers(len(values))
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up, out=out[1:])
+    """Running sums of values[i] * base**i with a leading 0, one row for each prime."""
+    out = np.zeros((2, len(values) + 1), np.uint64)
+    for row, p in enumerate(PRIMES):
+        terms = _mod(_mod(values, p) * powers(len(values), row), p)
+        out[row, 1:] = _mod(np.cumsum(terms, dtype=np.uint64), p)
     return out
 
 
+def between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """The sums from starts to ends with the powers counted from ``origin``, both primes' in one number."""
+    out = []
+    for row, p in enumerate(PRIMES):
+        diff = _mod(prefix[row][ends] + np.uint64(p) - prefix[row][starts], p)
+        out.append(_mod(diff * powers(prefix.shape[1], row, inverse=True)[origin], p))
+    return out[0] << np.uint64(31) | out[1]
+
+
+def shifted_difference(high: int, low: int, by: int) -> tuple[int, ...]:
+    """What ``between`` gives for a stretch: from its running sums at the end and at the start of it, ``by`` bytes
+    after where they were counted from."""
+    mask = (1 << 31) - 1
+    parts = zip(((high >> 31) - (low >> 31), (high & mask) - (low & mask)), PRIMES, BASES, strict=True)
+    return tuple(d * pow(base, -by, p) % p for d, p, base in parts)
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix(between(prefix, starts, ends, starts) + mix((ends - starts).astype(np.uint64)))
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:

@@ -115,3 +115,35 @@ def test_empty_table(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (r,) = kn.score(one, model, F.lit(True)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_scores_are_finite_where_counts_of_counts_are_missing(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(5)], "doc_id long, text string")
+    model = kn.train(docs)
+    texts = ["a c b", "a z", "a b c", "", "z z z", "c b a"]
+    rows = kn.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, F.lit(True)).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
+def test_a_lost_file_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i} x y") for i in range(30)], "doc_id long, text string")
+    model = kn.train(docs, str(tmp_path / "m"))
+    assert sorted(p.name for p in (tmp_path / "m/bigrams").iterdir()) == sorted(map(str, range(8)))
+    assert sorted(p.name for p in (tmp_path / "m/words").iterdir()) == sorted(map(str, range(8)))
+    (tmp_path / "m/bigrams").rename(tmp_path / "m/gone")
+    with pytest.raises(Exception, match="No such file"):
+        kn.score(docs, model, F.lit(True)).collect()
+
+
+def test_more_shards_than_open_maps(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(40))) for i in range(60)], "doc_id long, text string")
+    few = kn.score(docs, kn.train(docs), F.lit(False)).collect()
+    model = kn.train(docs, shard_bytes=100, max_maps=3)
+    assert model.shard_bits >= 6
+    many = kn.score(docs, model, F.lit(False)).collect()
+    assert sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in few) == sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in many)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    buf, off = kn.ts.text_buffers(__import__("pyarrow").array([t for _, t in rows]))
+    before, word, _ = kn.bigrams(buf, off)
+    model.score(before, word)
+    assert len(model._open) <= 3
