@@ -21,6 +21,8 @@ Defined results: vectors that are null, empty, of another length than most, or
 hold null or non-finite components take no part, nor do null ids; rows that
 share the query's id are its own; a repeated candidate row counts each time,
 repeated queries once; an empty table gives no rows; other columns are ignored.
+Scores are whole numbers to the end; a score that does not fit in a long (about
+|query| * |row| * scale**2 of 2**63 and more) fails the job with a message.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ LEAF, QUERY_LEAF = 64, 16
 #: A node whose net would have children of fewer points than this on average stays a leaf: points that lie so far
 #: apart can't be pruned, and one product compares them faster than many small ones.
 SPREAD = 8
+#: Below every score.
+NOTHING = -(2**63 - 1)
 #: Radius of a child net over its parent's.
 SHRINK = 0.75
 
@@ -98,9 +102,9 @@ class TopK:
 
     def __init__(self, query_ids: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.k = query_ids, k
-        self.score = np.full((len(query_ids), k), -np.inf)
+        self.score = np.full((len(query_ids), k), NOTHING, np.int64)
         self.vec = np.full((len(query_ids), k), np.iinfo(np.int64).max)
-        self.worst = floor.astype(np.float64).copy()  # a known lower bound of the kth score
+        self.worst = np.maximum(floor, NOTHING).astype(np.int64)  # a known lower bound of the kth score
 
     def offer(self, rows: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
         own = self.ids[rows][:, None] == vec[None, :]
@@ -110,7 +114,7 @@ class TopK:
             return
         rows, cols = rows[some], np.flatnonzero(useful.any(0))
         useful, score, vec = useful[np.ix_(some, cols)], score[np.ix_(some, cols)], vec[cols]
-        every = np.where(useful, score, -np.inf)
+        every = np.where(useful, score, NOTHING)
         ids = np.where(useful, vec[None, :], np.iinfo(np.int64).max)
         every = np.concatenate([self.score[rows], every], 1)
         ids = np.concatenate([self.vec[rows], ids], 1)
@@ -120,9 +124,13 @@ class TopK:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers: in doubles while they fit, else in 64-bit integers."""
-    if not len(q) or not len(x) or np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
-        return q @ x.T
+    """Exact inner products of whole numbers: in doubles while they fit, else in 64-bit integers (whose sums may wrap
+    on the way, but not in the end)."""
+    about = q @ x.T
+    if not about.size or np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
+        return about.astype(np.int64)
+    if not np.abs(about).max() < 2.0**63 * (1 - 1e-9) or not max(np.abs(q).max(), np.abs(x).max()) < 2.0**63:
+        raise OverflowError("a score does not fit in a long")
     return q.astype(np.int64) @ x.astype(np.int64).T
 
 
@@ -140,7 +148,7 @@ def dual_search(queries: CoverTree, data: CoverTree, vec: np.ndarray, top: TopK)
         kids_a, kids_b = queries.children[a], data.children[b]
         if not kids_a and not kids_b:
             rows, cols = queries.members[a], data.members[b]
-            top.offer(rows, products(queries.points[rows], data.points[cols]).astype(np.float64), vec[cols])
+            top.offer(rows, products(queries.points[rows], data.points[cols]), vec[cols])
         elif kids_b and (not kids_a or rr[b] >= rq[a]):
             over = bound(cq[a], rq[a], nq[a], cr[kids_b], rr[kids_b], nr[kids_b])
             keep = np.flatnonzero(over >= worst)
@@ -207,11 +215,11 @@ def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, id
     asked = materialize(asked, "queries")
 
     # 1: a lower bound of each query's kth score from one block of its own node
-    own = asked.select("query_id", "q", F.lit(float("-inf")).alias("floor"), "node", F.lit(0).alias("part"),
+    own = asked.select("query_id", "q", F.lit(NOTHING).cast("long").alias("floor"), "node", F.lit(0).alias("part"),
                        F.col("part").alias("grp"))
     floors = _searched(data, own, k, with_scores=False).groupBy("query_id").agg(F.max("score").alias("floor"))
     asked = materialize(asked.join(floors, "query_id", "left").withColumn(
-        "floor", F.coalesce("floor", F.lit(float("-inf")))), "query-floors")
+        "floor", F.coalesce("floor", F.lit(NOTHING).cast("long"))), "query-floors")
 
     # 2: per group, the nodes that can still hold a better row
     grouped = asked.groupBy("node", F.col("part").alias("grp")).agg(
@@ -235,7 +243,7 @@ def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, id
         "query_id", "q", "floor", F.col("to").alias("node"), F.col("to_part").alias("part"),
         F.xxhash64("node", "grp").alias("grp"))
     found = _searched(data, sent, k, with_scores=True)
-    return merged(found, k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    return merged(found, k)
 
 
 def _searched(data: DataFrame, queries: DataFrame, k: int, with_scores: bool) -> DataFrame:
@@ -252,9 +260,9 @@ def _searched(data: DataFrame, queries: DataFrame, k: int, with_scores: bool) ->
             dual_search(CoverTree(q, QUERY_LEAF), CoverTree(x), vec, top)
         if not with_scores:
             return pa.table({"query_id": ids, "vec_id": np.zeros(len(ids), np.int64), "score": top.worst})
-        real = np.isfinite(top.score)
+        real = top.score > NOTHING
         row = np.nonzero(real)[0]
         return pa.table({"query_id": ids[row], "vec_id": top.vec[real], "score": top.score[real]})
 
     return held.groupBy("node", "part", "met_by").cogroup(queries.groupBy("node", "part", "grp")).applyInArrow(
-        search, "query_id long, vec_id long, score double")
+        search, "query_id long, vec_id long, score long")
