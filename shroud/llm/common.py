@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,15 @@ def materialize(df: DataFrame, prefix: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_aside(df: DataFrame, own) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with the columns for which ``own(name)`` holds under names of no meaning, and what names them back."""
+    prefix = "set_aside_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    names = {c: f"{prefix}{i}" for i, c in enumerate(df.columns) if own(c)}
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast hint for ``df`` only when a count proves it small; ``df`` should be a written table."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm import textscan as ts
-from shroud.llm.common import materialize, python_workers, row_key, sorted_groups
+from shroud.llm.common import materialize, python_workers, row_key, set_aside, sorted_groups
 
 LINE_SCHEMA = ("dd_ord long, dd_key long, pos long, last long, occ long, cnt long, h long, "
                "a long, b long, pa long, pb long")
@@ -193,6 +193,7 @@ def _block_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 def dedup_lines(docs: DataFrame, min_bytes: int = 40) -> DataFrame:
     """``docs`` with the text cut as described above, plus n_lines and n_deleted."""
+    docs, back = set_aside(docs, lambda c: c.startswith("dd_") or "." in c)
     keyed = docs.withColumn("dd_key", row_key("doc_id", "text")).withColumn(
         "dd_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
     blocks = deletions(keyed, min_bytes).distinct().groupBy("dd_key").agg(
@@ -207,4 +208,4 @@ def dedup_lines(docs: DataFrame, min_bytes: int = 40) -> DataFrame:
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.when(cut, F.size(lines) - F.size(kept)).otherwise(0).cast("long").alias("n_deleted"),
     )
-    return out
+    return back(out)

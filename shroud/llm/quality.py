@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shroud.llm import textscan as ts
-from shroud.llm.common import materialize, python_workers, small_side
+from shroud.llm.common import materialize, python_workers, set_aside, small_side
 
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -135,6 +135,10 @@ def fit_logistic(features: np.ndarray, label: np.ndarray, ridge: float = 1.0, st
     return LogisticModel(mean, scale, w, base)
 
 
+#: Columns that ``classify`` adds.
+ADDED = ("qe_evidence", "host_share", "path_share", "p_quality", "keep")
+
+
 def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> LogisticModel:
     python_workers(docs.sparkSession)
     sample = (
@@ -149,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Logis
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(x), pa.list_(pa.float64())), b.column("qe_label")], names=["x", "qe_label"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "qe_label").mapInArrow(
+    # one text for each id, however often the table repeats it: at most max_labels rows come to the driver
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "qe_label").agg(
+        F.min("text").alias("text"))
+    rows = texts.select("text", "qe_label").mapInArrow(
         features, "x array<double>, qe_label int").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_logistic(x, rows["qe_label"].to_numpy(float))
@@ -221,10 +228,11 @@ def with_quality(scored: DataFrame, sites: DataFrame, host: str, path: str, thre
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang",
              max_labels: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with qe_evidence, host_share, path_share, p_quality and keep."""
+    """``docs`` with the columns of ``ADDED``, which replace input columns of these names."""
+    docs, back = set_aside(docs.drop(*[c for c in ADDED if c not in (host, path)]), lambda c: c in ("qe_host", "qe_path"))
     model = train(docs, labels, max_labels)
     scored = with_evidence(docs, model)
-    return with_quality(scored, site_posteriors(scored, host, path, model), host, path, threshold)
+    return back(with_quality(scored, site_posteriors(scored, host, path, model), host, path, threshold))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang",
