@@ -7,10 +7,13 @@ of ``documents``; the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shroud.llm.common import materialize, table
+from shroud.llm.common import materialize, set_aside, table
 from shroud.llm.jaccard_forest import drop_near_duplicates
 from shroud.llm.line_dedup import dedup_lines
 from shroud.llm.mixing import mix
@@ -22,11 +25,30 @@ from shroud.llm.registry import LANGUAGE_WEIGHTS, site_group, tokenizer_file
 BUDGET_PERCENT = 90
 
 
+#: The columns that the stages read or write; others go through under names of no meaning.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def with_other_columns(stage: Stage) -> Stage:
+    """The stage, whatever names the other columns of ``docs`` have."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain, back = set_aside(docs, lambda c: c not in OWN)
+        return back(stage(spark, plain, sf_dir))
+
+    return run_stage
+
+
+@with_other_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
 
 
+@with_other_columns
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from the later document; a document of which nothing is left goes."""
     cut = dedup_lines(docs)
@@ -34,11 +56,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@with_other_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays."""
     return drop_near_duplicates(docs)
 
 
+@with_other_columns
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's token prefix under its budget, no document twice; the document at the edge stays whole."""
     mixed = mix(docs, site_group(), F.col("lang"), F.col("source"), budget_percent=BUDGET_PERCENT,
