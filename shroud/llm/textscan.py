@@ -81,11 +81,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Running sums of values[i] * base**i with a leading 0, one row for each prime."""
+    """Running sums of values[i] * base**i with a leading 0, one row for each prime; they stay under 2**64 and are
+    brought below the prime only where two of them are subtracted."""
     out = np.zeros((2, len(values) + 1), np.uint64)
+    top = int(values.max(initial=0))
     for row, p in enumerate(PRIMES):
-        terms = _mod(_mod(values, p) * powers(len(values), row), p)
-        out[row, 1:] = _mod(np.cumsum(terms, dtype=np.uint64), p)
+        terms = (values if top < p else _mod(values, p)) * powers(len(values), row)
+        if min(top, p) * p * len(values) >= 1 << 64:
+            terms = _mod(terms, p)
+        np.cumsum(terms, out=out[row, 1:])
     return out
 
 
@@ -93,7 +97,7 @@ def between(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, origin: np
     """The sums from starts to ends with the powers counted from ``origin``, both primes' in one number."""
     out = []
     for row, p in enumerate(PRIMES):
-        diff = _mod(prefix[row][ends] + np.uint64(p) - prefix[row][starts], p)
+        diff = _mod(prefix[row][ends] - prefix[row][starts], p)
         out.append(_mod(diff * powers(prefix.shape[1], row, inverse=True)[origin], p))
     return out[0] << np.uint64(31) | out[1]
 
