@@ -46,14 +46,20 @@ def strip_fence(c: Column, require: bool = True) -> Column:
 
 
 def parse_items(c: Column) -> Column:
-    """A non-empty JSON array of item objects, else null.
+    """The items of an answer that is one non-empty JSON array of item objects, else null.
 
     ``from_json`` alone accepts a lone object as a one-element array and
-    ignores trailing text; the shape guard rejects both.
+    ignores what follows the first value. So the text is read inside ``[ ]``
+    and inside ``{"x": }``: what may follow the first value unnoticed in one
+    (a ``]`` or a ``}`` that closes the wrapping) breaks the other, and a
+    second value after a comma gives the outer array a second entry.
     """
     shaped = c.rlike(r"(?s)^" + _JSON_WS + r"*\[.*\]" + _JSON_WS + r"*\z")
-    parsed = F.from_json(c, ITEMS, {"mode": "PERMISSIVE"})
-    return F.when(shaped & (F.size(parsed) > 0), parsed)
+    strict = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+    listed = F.from_json(F.concat(F.lit("["), c, F.lit("]")), T.ArrayType(ITEMS), strict)
+    keyed = F.from_json(F.concat(F.lit('{"x":'), c, F.lit("}")), T.StructType([T.StructField("x", ITEMS)]), strict)["x"]
+    items = F.get(listed, F.lit(0))
+    return F.when(shaped & (F.size(listed) == 1) & (F.size(items) > 0) & keyed.isNotNull(), items)
 
 
 def reject_reason(c: Column, require_fence: bool = True) -> Column:

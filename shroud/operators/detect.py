@@ -8,10 +8,9 @@ justification``. ``(round, chunk_index, item_pos)`` is the order key that
 * ``detect_rules``: every rule is a ``regexp_extract_all``; all rules of a
   chunk are concatenated into one array and exploded once, so the scan runs
   once whatever the number of rules.
-* ``detect_dictionary``: tokens of the chunk equi-joined to a term table on
-  the folded, case-folded token. The term table is broadcast only when its
-  row count is under a checked bound, otherwise it is a shuffle join (AQE
-  splits a hot token's partition).
+* ``detect_dictionary``: a term table of measured size goes to the tasks as a
+  trie of folded, case-folded tokens, and only matches become rows; a larger one
+  is equi-joined to the chunks' tokens (AQE splits a hot token's partition).
 * ``detect_with``: a caller's function (for instance a model client) applied
   to Arrow batches of chunk texts by ``mapInPandas``; its raw answers go
   through the JSON gate of :mod:`shroud.functions.payload`.
@@ -19,15 +18,17 @@ justification``. ``(round, chunk_index, item_pos)`` is the order key that
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
-from typing import Callable, Iterable, Sequence
+from typing import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shroud.functions.fold import match_key
+from shroud.functions.fold import match_key, python_match_key
 from shroud.functions.text import PY_SPACE
 from shroud.functions.payload import reject_reason, item_struct, parse_items, strip_fence
 from shroud.session import ship_package
@@ -238,16 +239,115 @@ def terms_table(spark, terms: Iterable[tuple[str, str, str, str]]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+#: A dictionary up to this size (counted, not assumed) goes to the tasks as a trie.
+TRIE_TERMS, TRIE_BYTES = 1_000_000, 64 << 20
+
+
+class Trie:
+    """Terms by their token keys: ``children[key]`` of the root, then of each node; a node's items end there."""
+
+    def __init__(self, terms: Iterable[tuple[str, str, str, str]]):
+        self.root: tuple[dict, list] = ({}, [])
+        tokens = _token_regex()
+        for term, *item in terms:
+            node = self.root
+            for token in tokens.findall(term or ""):
+                node = node[0].setdefault(python_match_key(token), ({}, []))
+            if node is not self.root and item not in node[1]:  # a term may have several categories
+                node[1].append(item)
+        first = self.root[0]
+
+        class Known(dict):
+            """The node of a token's key, None for most tokens; every distinct token is folded once."""
+
+            def __missing__(self, token):
+                self[token] = first.get(python_match_key(token))
+                return self[token]
+
+        self.known = Known()
+
+    def find(self, content: str, tokens) -> list[tuple[int, str, list]]:
+        """(number of the first token, text as written, item) of every match."""
+        known = self.known
+        found, out, spans = [(i, n) for i, t in enumerate(tokens.findall(content)) if (n := known[t]) is not None], [], None
+        for i, node in found:
+            if spans is None:
+                spans = [m.span() for m in tokens.finditer(content)]
+            at = i
+            while True:
+                out += [(i, content[spans[i][0] : spans[at][1]], item) for item in node[1]]
+                if not node[0] or at + 1 == len(spans) or not content[spans[at][1] : spans[at + 1][0]].isspace():
+                    break
+                node = node[0].get(python_match_key(content[slice(*spans[at + 1])]))
+                if node is None:
+                    break
+                at += 1
+        if len(known) > 1_000_000:
+            known.clear()
+        return out
+
+
+def _token_regex():
+    import regex
+
+    return regex.compile(TOKEN_PATTERN)
+
+
+#: The trie that a worker process built last, by the name of its dictionary.
+_TRIES: dict[str, Trie] = {}
+
+
+def _detect_with_trie(chunks: DataFrame, terms: list[tuple], round_: int | None, pos_offset: int) -> DataFrame:
+    """Rows of matches alone leave a task; tokens never become rows."""
+    spark = chunks.sparkSession
+    ship_package(spark)
+    sent, name = spark.sparkContext.broadcast(terms), uuid.uuid4().hex
+    source = chunks.select(F.col("doc_id"), "chunk_index", _round_col(chunks, round_).cast("int").alias("round"), "content")
+    out = source.select("doc_id", "chunk_index", "round").schema
+    for column, kind in (("item_pos", "long"), ("text", "string"), ("category", "string"), ("type", "string"), ("justification", "string")):
+        out = out.add(column, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (trie := _TRIES.get(name)) is None:
+            _TRIES.clear()
+            trie = _TRIES[name] = Trie(sent.value)
+        tokens = _token_regex()
+        for b in batches:
+            rows = [(k, *m) for k, c in enumerate(b.column(3).to_pylist()) if c for m in trie.find(c, tokens)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            items = [pa.array([r[3][j] for r in rows], pa.string()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(j).take(at) for j in range(3)], pa.array([r[1] + pos_offset for r in rows], pa.int64()),
+                 pa.array([r[2] for r in rows], pa.string()), *items], names=out.names)
+
+    return source.mapInArrow(run, out)
+
+
+def _small_dictionary(terms: DataFrame) -> list[tuple] | None:
+    """The terms as rows if their number and bytes are within the bounds, both measured."""
+    plain = terms.select(*[F.col(c).cast("string").alias(c) for c in ("term", "category", "type", "justification")])
+    if plain.limit(TRIE_TERMS + 1).count() > TRIE_TERMS:
+        return None
+    size = plain.agg(F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in plain.columns))).first()[0] or 0
+    return [tuple(r) for r in plain.collect()] if size <= TRIE_BYTES else None
+
+
 def detect_dictionary(chunks: DataFrame, terms: DataFrame, round_: int | None = None, pos_offset: int = 0,
-                      broadcast_max_rows: int = 1_000_000) -> DataFrame:
+                      broadcast_max_rows: int = 1_000_000, trie: bool = True) -> DataFrame:
     """Token sequences equal (accent- and case-insensitively) to a dictionary term.
 
     A term of several tokens ("John Doe") matches the same tokens separated by
     whitespace only. The found text is the span as written in the chunk;
     ``item_pos`` is the position of its first token among the chunk's tokens.
-    Candidates come from an equi-join on the first token's key; the following
-    tokens are checked in-row against a window no longer than the longest term.
+
+    A dictionary within ``TRIE_TERMS`` rows and ``TRIE_BYTES`` goes to the tasks
+    as a trie of token keys, and only matches become rows. A larger one (or
+    ``trie=False``) is joined: tokens become rows, candidates come from an
+    equi-join on the first token's key, and the following tokens are checked
+    in-row against a window no longer than the longest term.
     """
+    if trie and (rows := _small_dictionary(terms)) is not None:
+        return _detect_with_trie(chunks, rows, round_, pos_offset)
     keyed_terms = (
         terms.select(F.transform(F.regexp_extract_all(F.col("term"), F.lit(TOKEN_PATTERN), 0), lambda t: match_key(t)).alias("keys"),
                      "category", "type", "justification")

@@ -56,6 +56,10 @@ def _payload_parse() -> str:
         "object": _fence("CAST(to_json(from_json(payload, '" + ITEMS_JSON_TYPE + "')[1]) AS VARCHAR)"),
         "truncated": _fence("substr(payload, 1, length(payload) - 2)"),
         "trailing": _fence("payload || 'x'"),
+        "twice": _fence("payload || payload"),
+        "listed": _fence("payload || ', ' || payload"),
+        "after": _fence("payload || ' [1]'"),
+        "closed": _fence("payload || '] [1]'"),
     }
     payloads = _payloads(_round0())
     variants = " UNION ALL ".join(
@@ -77,6 +81,7 @@ def _answer_rejects() -> str:
     wrong = [("bare", "detect", "no fence"), ("object", "detect", "not a JSON array"), ("object", "combine", "not a JSON array"),
              ("truncated", "detect", "not a JSON array"), ("truncated", "combine", "not a JSON array"),
              ("trailing", "detect", "not a JSON array"), ("trailing", "combine", "not a JSON array")]
+    wrong += [(v, m, "invalid JSON") for v in ("twice", "listed", "after", "closed") for m in ("detect", "combine")]
     rows = ", ".join(f"({S.lit(v)}, {S.lit(m)}, {S.lit(r)})" for v, m, r in wrong)
     return f"""SELECT doc_id, chunk_index, variant, mode, reason
                FROM (SELECT DISTINCT doc_id, chunk_index FROM ({_round0()}) d), (VALUES {rows}) w(variant, mode, reason)"""

@@ -139,6 +139,10 @@ def _answer_variants(answers: DataFrame) -> DataFrame:
         F.struct(F.lit("object").alias("variant"), fenced(first).alias("answer")),
         F.struct(F.lit("truncated").alias("variant"), fenced(F.expr("substring(payload, 1, length(payload) - 2)")).alias("answer")),
         F.struct(F.lit("trailing").alias("variant"), fenced(F.concat(p, F.lit("x"))).alias("answer")),
+        F.struct(F.lit("twice").alias("variant"), fenced(F.concat(p, p)).alias("answer")),
+        F.struct(F.lit("listed").alias("variant"), fenced(F.concat(p, F.lit(", "), p)).alias("answer")),
+        F.struct(F.lit("after").alias("variant"), fenced(F.concat(p, F.lit(" [1]"))).alias("answer")),
+        F.struct(F.lit("closed").alias("variant"), fenced(F.concat(p, F.lit("] [1]"))).alias("answer")),
     )
     return answers.select("doc_id", "chunk_index", F.explode(variants).alias("v")).select(
         "doc_id", "chunk_index", "v.variant", "v.answer")
