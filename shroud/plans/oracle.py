@@ -224,6 +224,20 @@ def oracle_sql() -> dict[str, str]:
         "two_rounds_first_match": S.two_rounds(chunks, "WHERE item_pos = 0"),
         "findings_first_match": S.findings(S.two_rounds(chunks, "WHERE item_pos = 0")),
         **FILE_ORACLE,
+        "combine_with_function": f"""
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY round, chunk_index, item_pos) - 1 AS item_pos,
+                   text, category, type, justification FROM ({two}) t""",
+        "findings_nested": f"""
+            WITH d0 AS ({r0}),
+            d AS (
+              SELECT * REPLACE (CASE WHEN doc_id::BIGINT % 5 = 0 THEN '****' || text ELSE text END AS text) FROM d0
+              UNION ALL SELECT * REPLACE ('x****' || text AS text, 1 AS round) FROM d0 WHERE doc_id::BIGINT % 3 = 0),
+            f AS (
+              SELECT id, count(*) AS n, string_agg(text || '|' || category || '|' || type || '|' || justification, ';'
+                                                   ORDER BY round, chunk_index, item_pos) AS items
+              FROM ({S.findings('SELECT * FROM d')}) g GROUP BY id)
+            SELECT i.id, coalesce(f.n, 0) AS n_items, coalesce(f.items, '') AS items
+            FROM (SELECT DISTINCT doc_id AS id FROM d) i LEFT JOIN f ON i.id = f.id""",
         "file_listing": """
             SELECT lang, source, CAST(sum(length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) + 1) AS BIGINT)
                      AS n_chars,

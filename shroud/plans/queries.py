@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shroud.functions.fold import casefold, fold
-from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN, ITEM_FIELDS, fenced, parse_items, reject_reason, strip_fence
+from shroud.functions.payload import FENCE_CLOSE, FENCE_OPEN, ITEM_FIELDS, ITEMS, fenced, parse_items, reject_reason, strip_fence
 from shroud.functions.text import clean_text
 from shroud.operators.chunk import chunk_documents, examinable
 from shroud.operators.detect import (DEFAULT_RULES, MORE_RULES, detect_dictionary, detect_rules, detect_with,
                                      render_prompt, terms_table, with_checks)
-from shroud.operators.findings import combine_payloads, findings, model_answers, payloads
+from shroud.operators.findings import combine_payloads, combine_with, findings, model_answers, payloads, write_nested
 from shroud.operators.mask import chunks_with_items, doc_items, mask_documents, merge_ranges_col, ranges_per_chunk
 from shroud.operators.partitioning import save_table, spread
 from shroud.plans.file_queries import FILE_QUERIES, result
@@ -403,4 +403,34 @@ QUERIES.update({
     "scan_documents_fixed": q_scan_documents_fixed,
     "scan_pages": q_scan_pages,
 })
-QUERIES.update(FILE_QUERIES)
+
+
+def merge_lines(prompt: str) -> str:
+    """Deterministic stand-in for a model client: all objects of the lists' lines as one fenced array."""
+    import json
+
+    items = [x for line in prompt.split("\n") if line.startswith("- ") for x in json.loads(line[2:])]
+    return FENCE_OPEN + json.dumps(items) + FENCE_CLOSE
+
+
+def q_combine_with_function(spark, sf_dir):
+    """A caller's function merges each document's payloads of both rounds, in order."""
+    answers = model_answers(_two_rounds(spark, sf_dir).detections)
+    return combine_with(answers.select("doc_id", "round", "chunk_index", F.col("answer").alias("payload")), merge_lines)[0]
+
+
+def q_findings_nested(spark, sf_dir):
+    """The nested sink, read back. A fifth of the documents have masked items alone, so they keep an
+    empty list, and every third document one masked item more."""
+    dets = round0(spark, sf_dir)
+    masked = F.when(F.col("doc_id").cast("long") % 5 == 0, F.concat(F.lit("****"), F.col("text"))).otherwise(F.col("text"))
+    more = dets.where(F.col("doc_id").cast("long") % 3 == 0).withColumn("text", F.concat(F.lit("x****"), F.col("text")))
+    dets = dets.withColumn("text", masked).unionByName(more.withColumn("round", F.lit(1)))
+    base = os.path.join(ensure_checkpoint_dir(spark), f"nested-{uuid.uuid4().hex}")
+    write_nested(save_table(dets, prefix="detections"), base)
+    back = spark.read.schema(f"id string, pii {ITEMS.simpleString()}").json(base)
+    return result(back.select("id", F.size("pii").cast("long").alias("n_items"), F.array_join(F.transform(
+        "pii", lambda x: F.concat_ws("|", *[x[f] for f in ITEM_FIELDS])), ";").alias("items")), base)
+
+
+QUERIES.update({**FILE_QUERIES, "combine_with_function": q_combine_with_function, "findings_nested": q_findings_nested})

@@ -77,6 +77,34 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+class FileWriter:
+    """Text into a file that is there whole under its name, or not at all."""
+
+    def __init__(self, path: str, attempt: str):
+        self.path, self.temporary, self.local = path, f"{path}.{attempt}.tmp", local_path(path)
+        if self.local is not None:
+            self.temporary = local_path(self.temporary)
+            os.makedirs(os.path.dirname(self.local), exist_ok=True)
+            self.stream = open(self.temporary, "wb", buffering=1 << 20)
+            return
+        from pyarrow import fs
+
+        self.store, self.inner = fs.FileSystem.from_uri(path)
+        self.store.create_dir(os.path.dirname(self.inner))
+        self.stream = self.store.open_output_stream(f"{self.inner}.{attempt}.tmp", buffer_size=1 << 20)
+        self.temporary = f"{self.inner}.{attempt}.tmp"
+
+    def write(self, text: str) -> None:
+        self.stream.write(text.encode("utf-8", "surrogatepass"))
+
+    def close(self) -> None:
+        self.stream.close()
+        if self.local is not None:
+            os.replace(self.temporary, self.local)
+        else:
+            self.store.move(self.temporary, self.inner)
+
+
 def reachable(path: str) -> bool:
     """Whether tasks can open this store."""
     if local_path(path) is not None:
