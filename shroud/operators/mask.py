@@ -175,12 +175,14 @@ def _key_length(item: Column, q: int) -> Column:
     return F.greatest(*[F.when(n >= 1 << i, 1 << i) for i in range(q.bit_length())], F.lit(1))
 
 
-def _prefix_rows(chunks: DataFrame, key_col: str, lengths: list[int]) -> DataFrame:
+def _prefix_rows(chunks: DataFrame, key_col: str, items: DataFrame, lengths: list[int]) -> DataFrame:
     """One row per (chunk position, prefix length): the chunk's identity, ``p`` and ``key``.
 
-    The prefixes are built in-row and exploded once, so a position row holds
-    only its short prefix, not the chunk text.
+    Only positions with a character that some item (``doc_id, _ik``) of the document begins with are taken: no other
+    can meet one. The characters are cut once, so a position that isn't taken costs no walk through the text. The
+    prefixes are built in-row and exploded once, so a position row holds only its short prefix, not the chunk text.
     """
+    firsts = items.groupBy("doc_id").agg(F.array_join(F.collect_set(F.substring("_ik", 1, 1)), "").alias("_firsts"))
     k = F.col(key_col)
     n = F.length(k)
     lens = F.array(*[F.lit(x) for x in lengths])
@@ -189,8 +191,9 @@ def _prefix_rows(chunks: DataFrame, key_col: str, lengths: list[int]) -> DataFra
         fitting = F.filter(lens, lambda l: p + l - 1 <= n)
         return F.transform(fitting, lambda l: F.struct(p.alias("p"), F.substring(k, p, l).alias("key")))
 
-    entries = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at))
-    return chunks.select(*_CHUNK, F.explode(entries).alias("e")).select(*_CHUNK, "e.p", "e.key")
+    chars = F.transform(F.split(k, ""), lambda c, i: F.when(F.instr(F.col("_firsts"), c) > 0, i + 1))
+    entries = F.flatten(F.transform(F.filter(chars, lambda p: p.isNotNull()), at))
+    return chunks.join(firsts, "doc_id").select(*_CHUNK, F.explode(entries).alias("e")).select(*_CHUNK, "e.p", "e.key")
 
 
 def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_key: str, q: int = DEFAULT_Q,
@@ -204,7 +207,7 @@ def qgram_candidates(chunks: DataFrame, chunk_key: str, items: DataFrame, item_k
     item_side = items.withColumn("_ik", F.col(item_key)).withColumn("_kl", _key_length(F.col("_ik"), q))
     # at most seven lengths, so collecting them is bounded
     lengths = sorted(r["_kl"] for r in item_side.select("_kl").distinct().collect())
-    prefixes = _prefix_rows(chunks, chunk_key, lengths or [1])
+    prefixes = _prefix_rows(chunks, chunk_key, item_side, lengths or [1])
     item_side = item_side.withColumn("key", F.expr("substring(_ik, 1, _kl)")).drop("_kl")
     cands = prefixes.join(item_side, ["doc_id", "key"]).drop("key")
     texts = chunks.select(*_CHUNK, F.col(chunk_key).alias("_ck"), *keep)
