@@ -2,7 +2,8 @@
 
 Writing the folder only makes files to read; nothing of what the queries test is
 taken from it. The folders lie under the shared checkpoint folder and are removed
-when the (small) result has been written.
+when the (small) result has been written: files by the tasks, as the driver alone
+would take them one after the other.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from shroud.operators.partitioning import drop_folder, save_table, spread
 from shroud.session import ensure_checkpoint_dir, ship_package
 from shroud.sources.files import basename, extract_documents, list_files, qualified
-from shroud.sources.walk import local_path
+from shroud.sources.walk import local_path, remove_files
 
 # How names begin and end in the written folder, by document number.
 BEGINNINGS = ["_", ".", "", "", ""]
@@ -30,17 +31,23 @@ ENDINGS = [".txt", ".md", ".TXT", ".pdf", "", ".html"]
 LISTED, LIMIT_MB = ["txt", "MD", ".pdf"], 0.01
 
 
-def write_file(path: str, data: bytes) -> None:
+def write_file(path: str, data: bytes, made: set[str]) -> None:
+    """``made`` are the folders that the caller has made before."""
+    folder = os.path.dirname(path)
     local = local_path(path)
     if local is not None:
-        os.makedirs(os.path.dirname(local), exist_ok=True)
+        if folder not in made:
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            made.add(folder)
         with open(local, "wb") as f:
             f.write(data)
         return
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    store.create_dir(os.path.dirname(inner))
+    if folder not in made:
+        store.create_dir(os.path.dirname(inner))
+        made.add(folder)
     with store.open_output_stream(inner) as f:
         f.write(data)
 
@@ -52,10 +59,10 @@ def write_folder(rows: DataFrame, make) -> str:
     base = qualified(spark, os.path.join(ensure_checkpoint_dir(spark), f"files-{uuid.uuid4().hex}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, made = 0, set()
         for b in batches:
             for name, *parts in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                write_file(f"{base}/{name}", make(*parts))
+                write_file(f"{base}/{name}", make(*parts), made)
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
@@ -63,9 +70,10 @@ def write_folder(rows: DataFrame, make) -> str:
     return base
 
 
-def result(df: DataFrame, base: str) -> DataFrame:
-    """``df`` written, and the folder that it read removed."""
+def result(df: DataFrame, base: str, rows: DataFrame) -> DataFrame:
+    """``df`` written, and the folder that it read removed, with the files of ``rows`` (name)."""
     out = save_table(df, prefix="file-results")
+    remove_files(spread(rows.select("name")), base)
     drop_folder(df.sparkSession, base)
     return out
 
@@ -88,7 +96,7 @@ def q_file_load(spark, sf_dir):
     loaded = ok.select("filename", "file_id", "length", F.sha2("text", 256).alias("text_sha256"), F.lit(None).cast("string").alias("error"))
     failed = rejects.select(basename(F.col("path")).alias("filename"), F.lit(None).cast("string").alias("file_id"),
                             F.lit(None).cast("long").alias("length"), F.lit(None).cast("string").alias("text_sha256"), "error")
-    return result(loaded.unionByName(failed), base)
+    return result(loaded.unionByName(failed), base, rows)
 
 
 def packed_docx(text: str) -> bytes:
@@ -119,7 +127,7 @@ def q_file_containers(spark, sf_dir):
                                            (F.col("doc_id") % 2 == 0).alias("docx"))
     base = write_folder(rows, lambda text, docx: packed_docx(text) if docx else packed_odt(text))
     ok, _ = extract_documents(list_files(spark, base, id_mode="hash"))
-    return result(ok.select("filename", "ext", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")), base)
+    return result(ok.select("filename", "ext", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")), base, rows)
 
 
 FILE_QUERIES = {"file_load": q_file_load, "file_containers": q_file_containers}

@@ -77,6 +77,33 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
+def remove_files(names: DataFrame, base: str) -> None:
+    """The files ``base/name`` removed, each task those of its rows; one that is not there (any more) is passed over."""
+    ship_package(names.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                remove_file(f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    names.mapInArrow(run, "n long").count()
+
+
+def remove_file(path: str) -> None:
+    local = local_path(path)
+    try:
+        if local is not None:
+            os.unlink(local)
+            return
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        store.delete_file(inner)
+    except FileNotFoundError:
+        pass
+
+
 class FileWriter:
     """Text into a file that is there whole under its name, or not at all."""
 
