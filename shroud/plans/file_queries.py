@@ -29,6 +29,8 @@ BEGINNINGS = ["_", ".", "", "", ""]
 ENDINGS = [".txt", ".md", ".TXT", ".pdf", "", ".html"]
 #: Listed kinds, and the size limit in MB (10,485 bytes).
 LISTED, LIMIT_MB = ["txt", "MD", ".pdf"], 0.01
+#: Rows of whole texts that a writing task turns into Python objects at once.
+WRITE_ROWS = 500
 
 
 def write_file(path: str, data: bytes, made: set[str]) -> None:
@@ -61,9 +63,10 @@ def write_folder(rows: DataFrame, make) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, made = 0, set()
         for b in batches:
-            for name, *parts in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                write_file(f"{base}/{name}", make(*parts), made)
-                n += 1
+            for lo in range(0, b.num_rows, WRITE_ROWS):
+                for name, *parts in zip(*[c.to_pylist() for c in b.slice(lo, WRITE_ROWS).columns], strict=True):
+                    write_file(f"{base}/{name}", make(*parts), made)
+                    n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
     spread(rows).mapInArrow(run, "n long").agg(F.sum("n")).collect()

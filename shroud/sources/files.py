@@ -39,6 +39,8 @@ KNOWN_TYPES = {
 }
 TEXT_KINDS = (".txt", ".md")
 CONTAINER_KINDS = (".docx", ".odt")
+#: Characters of texts that a task holds before it hands them on, at most (a longer text is alone).
+PIECE_CHARS = 2 << 20
 SORT_KEYS = {"name": "path", "size": "length", "modified": "modificationTime"}
 
 
@@ -213,12 +215,13 @@ def extract_documents(files: DataFrame, extractors: dict[str, Callable[[bytes],
                 content = cols["content"][i].as_py() if held else None
                 rows.append(one(cols["ext"][i].as_py(), cols["path"][i].as_py(), content))
                 size += len(rows[-1][0] or "")
-                if size >= 16 << 20 or i == b.num_rows - 1:
-                    texts, errors = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [*[c.slice(lo, i + 1 - lo) for c in kept], pa.array(texts, pa.string()), pa.array(errors, pa.string())],
-                        names=[*keep, "text", "error"])
+                if size >= PIECE_CHARS or i == b.num_rows - 1:
+                    # the strings go before the piece is handed on, so none is held while the next ones are read
+                    answers = [pa.array([r[k] for r in rows], pa.string()) for k in range(2)]
+                    piece = [*[c.slice(lo, i + 1 - lo) for c in kept], *answers]
                     lo, rows, size = i + 1, [], 0
+                    yield pa.RecordBatch.from_arrays(piece, names=[*keep, "text", "error"])
+                    del answers, piece
 
     rows = source.mapInArrow(run, out_schema)
     return rows.where(F.col("error").isNull()).drop("error"), rows.where(F.col("error").isNotNull()).select("path", "error")

@@ -28,6 +28,29 @@ def test_the_driver_removes_no_file(spark, monkeypatch):
     assert seen == [[]] and out.count() == 39 and not os.path.exists(base.removeprefix("file:"))
 
 
+def test_texts_held_at_once(spark, tmp_path):
+    said = str(tmp_path / "said")
+    os.makedirs(said)
+
+    class Text(str):
+        live = most = 0
+
+        def __del__(self):
+            Text.live -= 1
+
+    def extract(data):
+        Text.live += 1
+        if Text.live > Text.most:
+            Text.most = Text.live
+            open(f"{said}/{os.getpid()}-{Text.most}", "w").close()
+        return Text("x" * (1 << 20))
+
+    files = spark.range(0, 60, 1, 1).select(F.concat(F.lit("/d/"), "id", F.lit(".big")).alias("path"), F.lit(".big").alias("ext"), F.lit(b"x").alias("content"))
+    ok, rejects = extract_documents(files, {".big": extract})
+    assert save_table(ok).agg(F.sum(F.length("text"))).first()[0] == 60 << 20 and rejects.isEmpty()
+    assert max(int(f.rpartition("-")[2]) for f in glob.glob(f"{said}/*")) <= 4
+
+
 def test_python_calls_for_a_blank_of_an_odt():
     data, calls = Q.packed_odt("a b " * 1_000), 0
 
