@@ -73,10 +73,11 @@ def write_folder(rows: DataFrame, make) -> str:
     return base
 
 
-def result(df: DataFrame, base: str, rows: DataFrame) -> DataFrame:
-    """``df`` written, and the folder that it read removed, with the files of ``rows`` (name)."""
+def result(df: DataFrame, base: str, rows: DataFrame | None = None) -> DataFrame:
+    """``df`` written, and the folder that it read removed; the files of ``rows`` (name) by the tasks, others by the driver."""
     out = save_table(df, prefix="file-results")
-    remove_files(spread(rows.select("name")), base)
+    if rows is not None:
+        remove_files(spread(rows.select("name")), base)
     drop_folder(df.sparkSession, base)
     return out
 
